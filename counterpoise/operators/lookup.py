@@ -93,3 +93,30 @@ def with_weights(units: DataFrame, weights: DataFrame, key: str, defaults: dict[
         name: F.coalesce(F.col(name), F.col(d) if isinstance(d, str) else F.lit(d)) for name, d in defaults.items()
     }
     return joined.withColumns(filled)
+
+
+def frequent_first_lookup(
+    rows: DataFrame, table: DataFrame, key: str, frequency: str, row_id: str, head_rows: int = 50_000
+) -> DataFrame:
+    """Left lookup of token-like keys whose frequencies are known, such as words in a vocabulary.
+
+    The ``head_rows`` most frequent keys hold every hot key; they are joined
+    first, by broadcast when their written size passes the planner's check.
+    Rows still open go to the rest of the table, where no key is hot. ``key``
+    must not contain a blank.
+    """
+    values = [c for c in table.columns if c not in (key, frequency)]
+    table = stage(table, "lookup")
+    if table.count() <= head_rows:
+        return rows.join(table.drop(frequency), key, "left")
+    head = stage(table.orderBy(F.col(frequency).desc(), key).limit(head_rows), "lookup-head").drop(frequency)
+    tail = table.join(head.select(key), key, "left_anti").select(
+        F.col(key).alias("_tail_key"), *[F.col(v).alias(f"_tail_{v}") for v in values]
+    )
+    first = rows.join(head.withColumn("_in_head", F.lit(True)), key, "left")
+    # Rows already answered get a key no table row has, spread by row id.
+    open_key = F.when(F.col("_in_head"), F.concat(F.lit(" "), F.col(row_id).cast("string"))).otherwise(F.col(key))
+    both = first.withColumn("_tail_key", open_key).join(tail, "_tail_key", "left")
+    return both.withColumns({v: F.coalesce(v, f"_tail_{v}") for v in values}).drop(
+        "_tail_key", "_in_head", *[f"_tail_{v}" for v in values]
+    )

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed schemas of the raw review and product files.
-REVIEW_SCHEMA = T.StructType.fromDDL(
+REVIEW_SCHEMA = (
     "rating float, title string, text string, images array<string>, asin string, parent_asin string, "
     "user_id string, timestamp bigint, verified_purchase boolean"
 )
-PRODUCT_SCHEMA = T.StructType.fromDDL(
+PRODUCT_SCHEMA = (
     "main_category string, title string, description array<string>, images array<map<string,string>>, "
     "videos array<map<string,string>>, details map<string,string>, parent_asin string"
 )
@@ -75,7 +75,11 @@ def read_splits(spark: SparkSession, splits: Mapping[str, str], name_column: str
     return out
 
 
-def read_generated_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON documents, one per model, each with an array of samples: one row per sample."""
-    docs = spark.read.schema("weight_column string, samples array<string>").option("multiLine", True).json(path)
+def read_generated_samples(spark: SparkSession, path: str | list[str], one_per_line: bool = False) -> DataFrame:
+    """JSON documents, each with an array of samples: one row per sample with its position.
+
+    A file is one (possibly indented) document, or with ``one_per_line`` a
+    splittable file of one document per line.
+    """
+    docs = spark.read.schema("weight_column string, samples array<string>").option("multiLine", not one_per_line).json(path)
     return docs.select("weight_column", F.posexplode("samples").alias("position", "text"))

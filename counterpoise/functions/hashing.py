@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 _DIGITS = 13
 
 
-def keyed_uniform(key: str | Column, seed: int = 42) -> Column:
-    """Uniform on [0, 1) from ``md5(seed|key)``; repeatable in any SQL engine with md5."""
+def keyed_uniform(key: str | Column, purpose: str, seed: int = 42) -> Column:
+    """Uniform on [0, 1) from ``md5(purpose|seed|key)``; repeatable in any SQL engine with md5.
+
+    The purpose keeps a row's draws independent of each other: with one hash
+    for all, a sample or a treatment would follow the split it is taken in.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+    digest = F.md5(F.concat_ws("|", F.lit(purpose), F.lit(str(seed)), key.cast("string")))
     return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 

@@ -37,8 +37,10 @@ MAX_CELLS = 65_536
 SINGLE_CELL_ROWS = 8_192
 CELL_ROWS = 1_024
 TILE_ROWS = 8_192
-# Elements of one distance matrix held by a task.
-_MATRIX = 1 << 22
+# Elements of one distance matrix held by a task: small enough for the processor cache.
+_MATRIX = 1 << 18
+# Pairs of one task, and a limit on tasks that keeps the shuffle's block count sane.
+_TASK_PAIRS, _MAX_TASKS = 10_000_000, 20_000
 
 
 def block_statistics(df: DataFrame, block: str, features: Sequence[str]) -> DataFrame:
@@ -184,16 +186,19 @@ def _best(
 def _spread(q: DataFrame, c: DataFrame, tile_rows: int, chunk: int) -> tuple[DataFrame, DataFrame]:
     """Cut crowded cells: candidates into tiles, queries into salted chunks, each copied to the other's parts."""
     key = ["block", "cell"]
-    load = (
-        c.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
-        .join(q.groupBy(*key).agg(F.count(F.lit(1)).alias("_q")), key)
-        .select(
-            *key, F.ceil(F.col("_c") / tile_rows).cast("int").alias("_tiles"),
-            F.ceil(F.col("_q") / chunk).cast("int").alias("_salts"),
-        )
-        .filter((F.col("_tiles") > 1) | (F.col("_salts") > 1))
+    load = stage(
+        c.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).join(q.groupBy(*key).agg(F.count(F.lit(1)).alias("_q")), key),
+        "knn-load",
     )
-    load = stage(load, "knn-load")
+    # The join is heavy in arithmetic and light in bytes, so its parallelism
+    # follows the number of pairs to look at, not the shuffled volume.
+    pairs = load.agg(F.sum(F.col("_c").cast("double") * F.col("_q"))).first()[0] or 0.0
+    floor = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(floor, min(math.ceil(pairs / _TASK_PAIRS), _MAX_TASKS))
+    load = load.select(
+        *key, F.ceil(F.col("_c") / tile_rows).cast("int").alias("_tiles"),
+        F.ceil(F.col("_q") / chunk).cast("int").alias("_salts"),
+    ).filter((F.col("_tiles") > 1) | (F.col("_salts") > 1))
     one = F.lit(1)
     tiles, salts = F.coalesce("_tiles", one), F.coalesce("_salts", one)
     q = q.join(load, key, "left").withColumns(
@@ -202,7 +207,10 @@ def _spread(q: DataFrame, c: DataFrame, tile_rows: int, chunk: int) -> tuple[Dat
     c = c.join(load, key, "left").withColumns(
         {"tile": salt("match_id", tiles), "salt": F.explode(F.sequence(F.lit(0), salts - 1))}
     )
-    return q.drop("_tiles", "_salts"), c.drop("_tiles", "_salts")
+    parts = ["block", "cell", "tile", "salt"]
+    return (
+        q.drop("_tiles", "_salts").repartition(tasks, *parts), c.drop("_tiles", "_salts").repartition(tasks, *parts)
+    )
 
 
 class _Cells:
@@ -230,7 +238,7 @@ class _Cells:
         count = F.least(F.ceil(wanted), F.ceil(F.col("n") / per_cell * F.lit(4)), F.floor(F.col("n") * F.lit(MAX_CELLS / total)))
         rates = big.select("block", (count / F.col("n")).alias("rate")).filter(count >= 2)
         sample = (
-            c.join(rates, "block").filter(keyed_uniform("match_id", seed) < F.col("rate"))
+            c.join(rates, "block").filter(keyed_uniform("match_id", "center", seed) < F.col("rate"))
             .select("block", "v").limit(2 * MAX_CELLS).toArrow()
         )
         centers = _centers(sample["block"], _matrix(sample["v"])) if sample.num_rows else {}

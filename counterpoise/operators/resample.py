@@ -48,7 +48,7 @@ def cumulative_intervals(df: DataFrame, weight: str, unit_id: str = "unit_id", s
     buckets = int(min(_MAX_BUCKETS, max(8, -(-n // _BUCKET_ROWS))))
     # Scaled to mean 1, so twelve decimals are fine whatever unit the weights have.
     scaled = (F.col(weight) * F.lit(n / mass if mass else 1.0)).cast(_EXACT)
-    keyed = rows.withColumns({"_w": scaled, "_u": keyed_uniform(unit_id, seed)}).withColumn(
+    keyed = rows.withColumns({"_w": scaled, "_u": keyed_uniform(unit_id, "layout", seed)}).withColumn(
         "_b", F.floor(F.col("_u") * buckets).cast("int")
     )
     sums = stage(keyed.groupBy("_b").agg(F.sum("_w").alias("_sum")), "bucket-sums")
@@ -69,7 +69,7 @@ def cumulative_intervals(df: DataFrame, weight: str, unit_id: str = "unit_id", s
 
 def uniform_draws(spark, n: int, seed: int = 42) -> DataFrame:
     """Independent uniform draws, each fixed by its number and the seed."""
-    return spark.range(n).select(F.col("id").alias("draw"), keyed_uniform("id", seed).alias("u"))
+    return spark.range(n).select(F.col("id").alias("draw"), keyed_uniform("id", "draw", seed).alias("u"))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, grid: int) -> DataFrame:

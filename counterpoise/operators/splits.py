@@ -25,7 +25,7 @@ def assign_split(
 ) -> DataFrame:
     """Disjoint half-open intervals of a keyed uniform, in one narrow pass."""
     shares = dict(shares or SPLIT_SHARES)
-    u = keyed_uniform(unit_id, seed)
+    u = keyed_uniform(unit_id, "split", seed)
     names = list(shares)
     label, upper = None, 0.0
     for name in names[:-1]:
@@ -44,10 +44,12 @@ def split_report(df: DataFrame, split: str = "split") -> DataFrame:
 
 def random_fold(df: DataFrame, unit_id: str = "unit_id", seed: int = 42, out: str = "fold") -> DataFrame:
     """Fold 0 or 1 by a fair keyed coin."""
-    return df.withColumn(out, F.when(keyed_uniform(unit_id, seed) < 0.5, 0).otherwise(1))
+    return df.withColumn(out, F.when(keyed_uniform(unit_id, "fold", seed) < 0.5, 0).otherwise(1))
 
 
-def shuffled_rank(df: DataFrame, unit_id: str = "unit_id", seed: int = 42, out: str = "rn", by: Sequence[str] = ()) -> DataFrame:
+def shuffled_rank(
+    df: DataFrame, unit_id: str = "unit_id", seed: int = 42, out: str = "rn", by: Sequence[str] = (), purpose: str = "order"
+) -> DataFrame:
     """1-based position in the seeded random order (per ``by`` group), without a global sort task.
 
     Rows go to equal-width buckets of the keyed uniform; a running total over
@@ -57,7 +59,7 @@ def shuffled_rank(df: DataFrame, unit_id: str = "unit_id", seed: int = 42, out:
     """
     by = list(by)
     buckets = int(min(_MAX_BUCKETS, max(1, -(-df.count() // _BUCKET_ROWS))))
-    keyed = df.withColumn("_u", keyed_uniform(unit_id, seed)).withColumn(
+    keyed = df.withColumn("_u", keyed_uniform(unit_id, purpose, seed)).withColumn(
         "_bucket", F.floor(F.col("_u") * buckets).cast("int")
     )
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -75,13 +77,13 @@ def shuffled_rank(df: DataFrame, unit_id: str = "unit_id", seed: int = 42, out:
 def exact_halves(df: DataFrame, unit_id: str = "unit_id", seed: int = 42, out: str = "fold") -> DataFrame:
     """Fold 0 is the first floor(n/2) rows of the seeded order, fold 1 the rest."""
     half = df.count() // 2
-    ranked = shuffled_rank(df, unit_id, seed, "_rank")
+    ranked = shuffled_rank(df, unit_id, seed, "_rank", purpose="fold")
     return ranked.withColumn(out, F.when(F.col("_rank") <= half, 0).otherwise(1)).drop("_rank")
 
 
 def shuffled(df: DataFrame, unit_id: str = "unit_id", seed: int = 42) -> DataFrame:
     """Seeded full shuffle as a range-partitioned sort."""
-    return df.orderBy(keyed_uniform(unit_id, seed), F.col(unit_id))
+    return df.orderBy(keyed_uniform(unit_id, "order", seed), F.col(unit_id))
 
 
 def sample_n(df: DataFrame, n: int, unit_id: str = "unit_id", seed: int = 42, driver_rows: int = 100_000) -> DataFrame:

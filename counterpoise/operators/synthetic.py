@@ -11,7 +11,7 @@ from counterpoise.functions.hashing import keyed_uniform
 
 def draw_treatment(df: DataFrame, p: str, unit_id: str = "unit_id", seed: int = 42, out: str = "s_synthetic") -> DataFrame:
     """``Bernoulli(p)`` from the row key, so a re-run or a lost task draws the same value."""
-    return df.withColumn(out, F.when(keyed_uniform(unit_id, seed) < F.col(p), 1).otherwise(0))
+    return df.withColumn(out, F.when(keyed_uniform(unit_id, "treatment", seed) < F.col(p), 1).otherwise(0))
 
 
 def semi_synthetic(

@@ -54,7 +54,7 @@ def naive_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SYNTHETIC = f"""WITH {UNITS_SQL}, p AS (SELECT *, least(greatest(x1/500000.0,0.001),0.999) AS q, category AS text FROM units WHERE s=1),
-drawn AS (SELECT *, CASE WHEN {u_sql('unit_id')}<1.0/(1.0+exp(-(2.0+2.0*ln(q/(1.0-q))))) THEN 1 ELSE 0 END AS s_synthetic FROM p)"""
+drawn AS (SELECT *, CASE WHEN {u_sql('unit_id', 'treatment')}<1.0/(1.0+exp(-(2.0+2.0*ln(q/(1.0-q))))) THEN 1 ELSE 0 END AS s_synthetic FROM p)"""
 
 
 @query(_SYNTHETIC + """ SELECT unit_id, s_synthetic, CASE WHEN s_synthetic=1 THEN text ELSE '(missing)' END AS text,
@@ -96,7 +96,7 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.knn_join(q, c, K, block=weights.PAIR, features=_Z).withColumn("dist", rounded("dist"))
 
 
-_VECTOR_EDGES = f"""WITH v AS (SELECT vec_id, embedding, CASE WHEN {u_sql('vec_id')}<0.5 THEN 0 ELSE 1 END AS fold FROM embeddings),
+_VECTOR_EDGES = f"""WITH v AS (SELECT vec_id, embedding, CASE WHEN {u_sql('vec_id', 'fold')}<0.5 THEN 0 ELSE 1 END AS fold FROM embeddings),
 d AS (SELECT a.vec_id AS query_id, m.vec_id AS match_id, list_sum(list_transform(list_zip(a.embedding::DOUBLE[],m.embedding::DOUBLE[]), lambda z: (z[1]-z[2])*(z[1]-z[2]))) AS dist
   FROM v a JOIN v m ON a.fold=0 AND m.fold=1)
 SELECT query_id, match_id, CAST(rnk AS INT) AS rank, round(dist,6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, match_id) AS rnk FROM d) WHERE rnk<=10"""
@@ -284,9 +284,9 @@ def weight_sanitize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DRAWS = 10_000
-_RESAMPLE = _RAW + f""", m AS (SELECT unit_id, CAST(w*(SELECT count(*)/sum(w) FROM clean WHERE w>0) AS DECIMAL(28,12)) AS w, {u_sql('unit_id')} AS u FROM clean WHERE w>0),
+_RESAMPLE = _RAW + f""", m AS (SELECT unit_id, CAST(w*(SELECT count(*)/sum(w) FROM clean WHERE w>0) AS DECIMAL(28,12)) AS w, {u_sql('unit_id', 'layout')} AS u FROM clean WHERE w>0),
 iv AS (SELECT unit_id, (sum(w) OVER o - w)::DOUBLE/(SELECT sum(w)::DOUBLE FROM m) AS lo, (sum(w) OVER o)::DOUBLE/(SELECT sum(w)::DOUBLE FROM m) AS hi FROM m WINDOW o AS (ORDER BY u, unit_id)),
-draws AS (SELECT range AS draw, {u_sql('range')} AS u FROM range({_DRAWS})),
+draws AS (SELECT range AS draw, {u_sql('range', 'draw')} AS u FROM range({_DRAWS})),
 picked AS (SELECT draw, unit_id FROM draws JOIN iv ON draws.u>=iv.lo AND draws.u<iv.hi)"""
 
 

@@ -53,13 +53,13 @@ def weighted_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as units with a nullable treatment and a positive row weight from the key."""
     return labelled_documents(spark, sf).select(
         F.col("doc_id").alias("unit_id"), F.col("lang").alias("category"), "text", F.col("quality").alias("s"),
-        (F.lit(0.5) + keyed_uniform("doc_id", 7)).alias("w_right"),
-        F.when(F.col("toxic") == 0, F.lit(1.0) + keyed_uniform("doc_id", 8)).alias("w_wrong"),
+        (F.lit(0.5) + keyed_uniform("doc_id", "weight", 7)).alias("w_right"),
+        F.when(F.col("toxic") == 0, F.lit(1.0) + keyed_uniform("doc_id", "weight", 8)).alias("w_wrong"),
     )
 
 
-def u_sql(key: str, seed: int = 42) -> str:
-    return f"(('0x'||substr(md5('{seed}|'||CAST({key} AS VARCHAR)),1,13))::BIGINT/4503599627370496.0)"
+def u_sql(key: str, purpose: str, seed: int = 42) -> str:
+    return f"(('0x'||substr(md5('{purpose}|{seed}|'||CAST({key} AS VARCHAR)),1,13))::BIGINT/4503599627370496.0)"
 
 
 UNITS_SQL = f"""units AS (
@@ -67,7 +67,7 @@ UNITS_SQL = f"""units AS (
     CAST(substr(o_orderpriority,1,1) AS INT) AS rating, CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END AS s,
     CASE WHEN CAST(substr(o_orderpriority,1,1) AS INT)<=2 THEN 1 ELSE -1 END AS b,
     CASE WHEN o_totalprice<{CUTS[0]} THEN 0 WHEN o_totalprice<{CUTS[1]} THEN 1 ELSE 2 END AS cut,
-    CASE WHEN {u_sql('o_orderkey')}<0.5 THEN 0 ELSE 1 END AS fold
+    CASE WHEN {u_sql('o_orderkey', 'fold')}<0.5 THEN 0 ELSE 1 END AS fold
   FROM orders JOIN customer ON o_custkey=c_custkey)"""
 
 PROPENSITY_SQL = UNITS_SQL + """,
@@ -85,8 +85,8 @@ weighted AS (SELECT unit_id, category, x1, x2, rating, s, b, cut, fold, f_right,
   coalesce(r1*target/avg(r1) OVER (PARTITION BY fold),0) AS ipw_right, coalesce(w1*target/avg(w1) OVER (PARTITION BY fold),0) AS ipw_wrong FROM capped)"""
 
 DOCS_SQL = f"""docs AS (
-  SELECT d.doc_id AS unit_id, lang AS category, text, quality AS s, 0.5+{u_sql('d.doc_id', 7)} AS w_right,
-    CASE WHEN toxic=0 THEN 1.0+{u_sql('d.doc_id', 8)} END AS w_wrong
+  SELECT d.doc_id AS unit_id, lang AS category, text, quality AS s, 0.5+{u_sql('d.doc_id', 'weight', 7)} AS w_right,
+    CASE WHEN toxic=0 THEN 1.0+{u_sql('d.doc_id', 'weight', 8)} END AS w_wrong
   FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id)"""
 
 

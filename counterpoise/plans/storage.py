@@ -71,7 +71,7 @@ def write_if_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT split, count(*) AS rows, round(sum(value),4) AS total FROM (SELECT value, CASE WHEN u<0.1 THEN 'propensity' WHEN u<0.4 THEN 'half_a' WHEN u<0.7 THEN 'half_b' ELSE 'test' END AS split
-FROM (SELECT value, {u_sql('event_id')} AS u FROM events)) GROUP BY split""")
+FROM (SELECT value, {u_sql('event_id', 'split')} AS u FROM events)) GROUP BY split""")
 def splits_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path, copy = scratch_path(spark, "splits"), scratch_path(spark, "split-copy")
     events = table(spark, sf, "events").select(F.col("event_id").alias("unit_id"), "value")

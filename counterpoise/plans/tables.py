@@ -152,14 +152,14 @@ def treated_untreated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT event_id AS unit_id, CASE WHEN u<0.1 THEN 'propensity' WHEN u<0.4 THEN 'half_a' WHEN u<0.7 THEN 'half_b' ELSE 'test' END AS split
-FROM (SELECT event_id, {u_sql('event_id')} AS u FROM events)""")
+FROM (SELECT event_id, {u_sql('event_id', 'split')} AS u FROM events)""")
 def split_assign(spark: SparkSession, sf: str) -> DataFrame:
     return splits.assign_split(table(spark, sf, "events").select(F.col("event_id").alias("unit_id")))
 
 
 @query(f"""SELECT split, count(*) AS rows, round(count(*)::DOUBLE/(SELECT count(*) FROM events),6) AS share FROM (
 SELECT CASE WHEN u<0.1 THEN 'propensity' WHEN u<0.4 THEN 'half_a' WHEN u<0.7 THEN 'half_b' ELSE 'test' END AS split
-FROM (SELECT event_id, {u_sql('event_id')} AS u FROM events)) GROUP BY split""")
+FROM (SELECT event_id, {u_sql('event_id', 'split')} AS u FROM events)) GROUP BY split""")
 def split_report(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_report(split_assign(spark, sf)).withColumn("share", r6("share"))
 
@@ -168,10 +168,15 @@ def _order_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_orderstatus").alias("side"))
 
 
-_RANKED = f"SELECT o_orderkey AS unit_id, o_orderstatus AS side, {u_sql('o_orderkey')} AS u, row_number() OVER (ORDER BY {u_sql('o_orderkey')}, o_orderkey) AS rn FROM orders"
+def _ranked_sql(purpose: str) -> str:
+    u = u_sql("o_orderkey", purpose)
+    return f"SELECT o_orderkey AS unit_id, o_orderstatus AS side, {u} AS u, row_number() OVER (ORDER BY {u}, o_orderkey) AS rn FROM orders"
 
 
-@query(f"""SELECT unit_id, CASE WHEN u<0.5 THEN 0 ELSE 1 END AS fold, CASE WHEN rn<=(SELECT count(*)//2 FROM orders) THEN 0 ELSE 1 END AS half FROM ({_RANKED})""")
+_RANKED = _ranked_sql("order")
+
+
+@query(f"""SELECT unit_id, CASE WHEN u<0.5 THEN 0 ELSE 1 END AS fold, CASE WHEN rn<=(SELECT count(*)//2 FROM orders) THEN 0 ELSE 1 END AS half FROM ({_ranked_sql('fold')})""")
 def cross_fold(spark: SparkSession, sf: str) -> DataFrame:
     ids = _order_ids(spark, sf).select("unit_id")
     return splits.random_fold(splits.exact_halves(ids, out="half"))

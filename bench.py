@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from counterpoise.plans.catalog import QUERIES  # noqa: E402
-from counterpoise.session import local_session  # noqa: E402
+from counterpoise.session import clear_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "feat_lengths", "onehot_category", "lookup_hot_keys", "split_assign", "cross_fold", "balance_table", "logit_shift",
@@ -33,6 +33,7 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+    clear_scratch(spark)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/"))}))
 

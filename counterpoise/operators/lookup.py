@@ -95,6 +95,20 @@ def with_weights(units: DataFrame, weights: DataFrame, key: str, defaults: dict[
     return joined.withColumns(filled)
 
 
+def most_frequent(counts: DataFrame, key: str, frequency: str, n: int) -> DataFrame:
+    """The n rows of highest frequency, ties by key; ``counts`` should be a written table.
+
+    A top-n merges n rows per task in one place, so on a long table only rows
+    above a frequency that leaves enough of them take part.
+    """
+    rows = counts.count()
+    if rows > 20 * n:
+        cut = counts.agg(F.approx_percentile(frequency, F.lit(1 - 2 * n / rows), F.lit(100_000))).first()[0]
+        high = counts.filter(F.col(frequency) >= cut)
+        counts = high if high.count() >= n else counts
+    return counts.orderBy(F.col(frequency).desc(), key).limit(n)
+
+
 def frequent_first_lookup(
     rows: DataFrame, table: DataFrame, key: str, frequency: str, row_id: str, head_rows: int = 50_000
 ) -> DataFrame:
@@ -109,7 +123,7 @@ def frequent_first_lookup(
     table = stage(table, "lookup")
     if table.count() <= head_rows:
         return rows.join(table.drop(frequency), key, "left")
-    head = stage(table.orderBy(F.col(frequency).desc(), key).limit(head_rows), "lookup-head").drop(frequency)
+    head = stage(most_frequent(table, key, frequency, head_rows), "lookup-head").drop(frequency)
     tail = table.join(head.select(key), key, "left_anti").select(
         F.col(key).alias("_tail_key"), *[F.col(v).alias(f"_tail_{v}") for v in values]
     )

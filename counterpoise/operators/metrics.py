@@ -44,43 +44,62 @@ def cluster_histogram(df: DataFrame, cluster: str, in_p: Column) -> DataFrame:
     )
 
 
-def divergence_curve(histogram: DataFrame, grid: int = GRID, scale: float = SCALE) -> DataFrame:
+def weighted_histograms(train: DataFrame, test: DataFrame, cluster: str, weights: Sequence[str]) -> DataFrame:
+    """Per weight column, share of weight (q) and of test rows (p) in every cluster: ``weight, cluster, p, q``."""
+    mine = train.groupBy(cluster).agg(*[F.sum(w).alias(w) for w in weights])
+    theirs = test.groupBy(cluster).agg(F.count(F.lit(1)).alias("_p"))
+    both = stage(theirs.join(mine, cluster, "full").na.fill(0), "histograms")
+    total = both.agg(F.sum("_p").alias("_p"), *[F.sum(w).alias(w) for w in weights]).first()
+    rows = [
+        F.struct(
+            F.lit(w).alias("weight"), F.col(cluster).alias("cluster"), (F.col("_p") / F.lit(total["_p"])).alias("p"),
+            F.try_divide(F.col(w), F.lit(float(total[w]))).alias("q"),
+        )
+        for w in weights
+    ]
+    return both.select(F.inline(F.array(*rows)))
+
+
+def divergence_curve(histogram: DataFrame, grid: int = GRID, scale: float = SCALE, by: Sequence[str] = ()) -> DataFrame:
     """Points ``(exp(-c KL(q|r)), exp(-c KL(p|r)))`` for mixtures r of the two histograms, corners included."""
     step = (1 - 2 * GRID_EDGE) / (grid - 1)
     lam = F.lit(GRID_EDGE) + F.col("point") * F.lit(step)
+    # A fixed grid per cluster; clusters are a chosen number.
     mixed = histogram.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("lam", lam)
     r = F.col("lam") * F.col("p") + (1 - F.col("lam")) * F.col("q")
     kl = lambda a: F.sum(F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / r)).otherwise(0.0))
-    curve = mixed.groupBy("point").agg(
+    curve = mixed.groupBy(*by, "point").agg(
         F.exp(-F.lit(scale) * kl("q")).alias("x"), F.exp(-F.lit(scale) * kl("p")).alias("y")
     )
-    corners = histogram.sparkSession.createDataFrame([(-1, 1.0, 0.0), (grid, 0.0, 1.0)], "point int, x double, y double")
-    return curve.unionByName(corners)
+    corner = lambda point, x, y: F.struct(F.lit(point).alias("point"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    ends = histogram.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, F.inline(F.array(corner(-1, 1.0, 0.0), corner(grid, 0.0, 1.0)))
+    )
+    return curve.unionByName(ends)
 
 
-def curve_area(curve: DataFrame) -> DataFrame:
+def curve_area(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Trapezoid area under the curve's few points."""
-    order = W.orderBy("x", F.col("y").desc())
+    order = W.partitionBy(*by).orderBy("x", F.col("y").desc())
     piece = (F.col("x") - F.lag("x").over(order)) * (F.col("y") + F.lag("y").over(order)) / 2
-    return curve.select(piece.alias("piece")).agg(F.sum("piece").alias("area"))
+    return curve.select(*by, piece.alias("piece")).groupBy(*by).agg(F.sum("piece").alias("score"))
 
 
-def frontier_integral(histogram: DataFrame) -> DataFrame:
+def frontier_integral(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Twice the sum over clusters of the divergence frontier's closed form."""
     p, q = F.col("p"), F.col("q")
     term = (
         F.when(p == q, 0.0).when(p == 0, q / 4).when(q == 0, p / 4)
         .otherwise((p + q) / 4 - F.try_divide(p * q * (F.log(p) - F.log(q)), 2 * (p - q)))
     )
-    return histogram.agg((2 * F.sum(term)).alias("frontier_integral"))
+    return histogram.groupBy(*by).agg((2 * F.sum(term)).alias("frontier_integral"))
 
 
 def divergence_frontier(df: DataFrame, cluster: str, in_p: Column, grid: int = GRID, scale: float = SCALE) -> DataFrame:
     """One row: area under the divergence curve and frontier integral."""
     histogram = stage(cluster_histogram(df, cluster, in_p), "histogram")
-    area = curve_area(divergence_curve(histogram, grid, scale)).select(F.col("area").alias("score"))
     frontier = frontier_integral(histogram).first()[0]
-    return area.withColumn("frontier_integral", F.lit(frontier))
+    return curve_area(divergence_curve(histogram, grid, scale)).withColumn("frontier_integral", F.lit(frontier))
 
 
 def assign_clusters(df: DataFrame, vector: str, clusters: int, seed: int = 42, out: str = "cluster") -> DataFrame:

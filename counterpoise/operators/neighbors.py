@@ -7,7 +7,8 @@ Plan of one join, for a block (category) of any size:
    nothing and the result is unchanged.
 2. Blocks of up to ``SINGLE_CELL_ROWS`` candidates are one cell. Larger blocks
    are divided into Voronoi cells around sampled centres; the centres and the
-   radius and size of each cell are broadcast, at most ``MAX_CELLS`` of them.
+   radius and size of each cell are broadcast, at most ``MAX_CELLS`` of them and
+   at most ``MODEL_BYTES``.
 3. Exact search asks each query's home cells for an upper bound on its k-th
    distance, then visits only cells that can hold something nearer (triangle
    inequality). Approximate search visits the ``probes`` nearest cells.
@@ -34,6 +35,7 @@ from counterpoise.operators.lookup import attach_group_stats
 from counterpoise.session import stage
 
 MAX_CELLS = 65_536
+MODEL_BYTES = 128 << 20
 SINGLE_CELL_ROWS = 8_192
 CELL_ROWS = 1_024
 TILE_ROWS = 8_192
@@ -85,16 +87,16 @@ def knn_join(
     same = W.partitionBy("block", "v").orderBy("match_id")
     c = stage(c.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k).drop("_copy"), "knn-candidates")
 
-    big = stage(
-        c.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(single_cell_rows, k)), "knn-blocks"
-    )
+    # Blocks up to this size are one tile of one cell, so a task's result is final.
+    whole = max(single_cell_rows, k)
+    big = stage(c.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole), "knn-blocks")
     chunk = min(8_192, max(256, (1 << 20) // k))
     if big.isEmpty():
-        return _best(q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, carry, tile_rows, chunk)
+        return _best(q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, carry, whole, chunk)
 
     plain = _best(
         q.join(big, "block", "left_anti").withColumn("cell", F.lit(0)),
-        c.join(big, "block", "left_anti").withColumn("cell", F.lit(0)), k, carry, tile_rows, chunk,
+        c.join(big, "block", "left_anti").withColumn("cell", F.lit(0)), k, carry, whole, chunk,
     )
     wide_q, wide_c = q.join(big, "block", "left_semi"), c.join(big, "block", "left_semi")
     cells = _Cells.build(wide_c, big, probes is not None, cell_rows, refine, seed)
@@ -216,9 +218,9 @@ def _spread(q: DataFrame, c: DataFrame, tile_rows: int, chunk: int) -> tuple[Dat
 class _Cells:
     """Voronoi cells of the large blocks."""
 
-    def __init__(self, spark, centers: dict, candidates: DataFrame):
+    def __init__(self, spark, centers: dict, candidates: DataFrame, celled: DataFrame):
         self.candidates = candidates
-        summary = candidates.groupBy("block", "cell").agg(
+        summary = candidates.join(celled, "block", "left_semi").groupBy("block", "cell").agg(
             F.count(F.lit(1)).alias("n"), F.max("to_center").alias("radius")
         ).toArrow()
         sizes = {b: np.zeros(len(p), dtype=np.int64) for b, p in centers.items()}
@@ -231,27 +233,29 @@ class _Cells:
     @classmethod
     def build(cls, c: DataFrame, big: DataFrame, approximate: bool, cell_rows: int, refine: int, seed: int) -> "_Cells":
         spark = c.sparkSession
-        total = c.count()
+        total, width = c.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
         # Shares of a fixed budget of centres, so what is collected and broadcast is bounded.
-        per_cell = max(cell_rows, math.ceil(total / MAX_CELLS))
+        budget = max(2, min(MAX_CELLS, MODEL_BYTES // (8 * width)))
+        per_cell = max(cell_rows, math.ceil(total / budget))
         wanted = F.sqrt("n") if approximate else F.col("n") / per_cell
-        count = F.least(F.ceil(wanted), F.ceil(F.col("n") / per_cell * F.lit(4)), F.floor(F.col("n") * F.lit(MAX_CELLS / total)))
-        rates = big.select("block", (count / F.col("n")).alias("rate")).filter(count >= 2)
+        count = F.least(F.ceil(wanted), F.ceil(F.col("n") / per_cell * F.lit(4)), F.floor(F.col("n") * F.lit(budget / total)))
+        # At most half the budget of blocks; all others stay one cell, cut into tiles.
+        rates = stage(big.select("block", (count / F.col("n")).alias("rate")).filter(count >= 2), "knn-rates")
         sample = (
             c.join(rates, "block").filter(keyed_uniform("match_id", "center", seed) < F.col("rate"))
-            .select("block", "v").limit(2 * MAX_CELLS).toArrow()
+            .select("block", "v").limit(2 * budget).toArrow()
         )
-        centers = _centers(sample["block"], _matrix(sample["v"])) if sample.num_rows else {}
+        centers = _centers(sample["block"], _matrix(sample["v"]))
         assigned = _assign(c, centers)
         for _ in range(refine if centers else 0):
-            width = next(iter(centers.values())).shape[1]
-            means = assigned.groupBy("block", "cell").agg(
-                F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(width)]).alias("v")
-            ).select("block", "v").toArrow()
-            kept = set(centers)
-            centers = {b: p for b, p in _centers(means["block"], _matrix(means["v"])).items() if b in kept}
+            means = (
+                assigned.join(rates, "block", "left_semi").groupBy("block", "cell")
+                .agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(width)]).alias("v"))
+                .select("block", "v").toArrow()
+            )
+            centers = _centers(means["block"], _matrix(means["v"]), centers)
             assigned = _assign(c, centers)
-        return cls(spark, centers, stage(assigned, "knn-cells"))
+        return cls(spark, centers, stage(assigned, "knn-cells"), rates)
 
     def visit(self, q: DataFrame, k: int, probes: int | None) -> DataFrame:
         """Home cells of each query: the ``probes`` nearest, or the nearest ones holding k candidates."""
@@ -375,9 +379,13 @@ def _list_array(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def _centers(blocks, points: np.ndarray) -> dict:
-    names = np.array(blocks.to_pylist(), dtype=object)
-    return {b: np.unique(points[names == b], axis=0) for b in dict.fromkeys(names)}
+def _centers(blocks, points: np.ndarray, known: dict | None = None) -> dict:
+    """Distinct points of every block, of the known blocks only when given."""
+    rows: dict = {}
+    for row, b in enumerate(blocks.to_pylist()):
+        if known is None or b in known:
+            rows.setdefault(b, []).append(row)
+    return {b: np.unique(points[r], axis=0) for b, r in rows.items()}
 
 
 def _nearest(q: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray | None = None):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.functions.features import flag_label
-from counterpoise.functions.numeric import clipped, shifted_probability
+from counterpoise.functions.numeric import LOGIT_SHIFT, clipped, shifted_probability
 
 LABEL = "_label"
 # Probabilities are kept off 0 before they are inverted.
@@ -75,9 +75,9 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
     return model.transform(df).select(*df.columns, vector_to_array("_probability")[1].alias(out))
 
 
-def score_shifted(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
+def score_shifted(model: PipelineModel, df: DataFrame, out: str = "p", shift: float = LOGIT_SHIFT) -> DataFrame:
     """Scored rows with the logit-shifted probability of the semi-synthetic design."""
-    return score(model, df, out).withColumn(out, shifted_probability(out))
+    return score(model, df, out).withColumn(out, shifted_probability(out, shift))
 
 
 def coefficient_ranking(model: PipelineModel, features: Sequence[str], n: int | None = None) -> DataFrame:

@@ -86,15 +86,22 @@ def shuffled(df: DataFrame, unit_id: str = "unit_id", seed: int = 42) -> DataFra
     return df.orderBy(keyed_uniform(unit_id, "order", seed), F.col(unit_id))
 
 
-def sample_n(df: DataFrame, n: int, unit_id: str = "unit_id", seed: int = 42, driver_rows: int = 100_000) -> DataFrame:
+def sample_n(df: DataFrame, n: int, unit_id: str = "unit_id", seed: int = 42, top_rows: int = 100_000) -> DataFrame:
     """Exactly min(n, rows) rows of the seeded order.
 
-    A small n is a distributed top-n; a large one filters on the distributed
-    rank, because a top-n merges its rows in one place.
+    Only rows whose uniform lies below a cut that surely holds n rows are
+    ordered (the count is checked, otherwise all rows are). A small n is then
+    a top-n; a large one filters on the distributed rank, because a top-n
+    merges its rows in one place.
     """
-    if n <= driver_rows:
-        return shuffled(df, unit_id, seed).limit(n)
-    return shuffled_rank(df, unit_id, seed, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    cut = (n + 10 * n**0.5 + 100) / max(df.count(), 1)
+    rows = df
+    if cut < 1:
+        low = df.filter(keyed_uniform(unit_id, "order", seed) < cut)
+        rows = low if low.count() >= n else df
+    if n <= top_rows:
+        return shuffled(rows, unit_id, seed).limit(n)
+    return shuffled_rank(rows, unit_id, seed, "_rank").filter(F.col("_rank") <= n).drop("_rank")
 
 
 def equal_size(df: DataFrame, side: str, unit_id: str = "unit_id", seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lookup import frequent_first_lookup
+from counterpoise.operators.lookup import frequent_first_lookup, most_frequent
 from counterpoise.session import stage
 
 # Fixed ids; words start after them.
@@ -26,7 +26,7 @@ def words(text: str | Column) -> Column:
 def vocabulary(df: DataFrame, text: str = "text", size: int = 32_000) -> DataFrame:
     """The ``size`` most frequent words with their ids, by count, then alphabetically."""
     counts = df.select(F.explode(words(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "token").limit(size)
+    top = most_frequent(stage(counts, "word-counts"), "token", "n", size)
     # Numbers at most ``size`` rows.
     order = W.orderBy(F.col("n").desc(), F.col("token"))
     return top.select("token", "n", (F.row_number().over(order) + FIRST_WORD_ID - 1).alias("token_id"))
@@ -76,27 +76,37 @@ def length_statistics(df: DataFrame, length: str) -> DataFrame:
 
 
 def training_table(
-    df: DataFrame, weights: Sequence[str], treatment: str = "s", text: str = "text", unit_id: str = "unit_id"
+    df: DataFrame, weights: Sequence[str], treatment: str = "s", required: Sequence[str] = ("text",), unit_id: str = "unit_id"
 ) -> DataFrame:
-    """Treated rows with text and every weight present, pruned to the training columns."""
-    return (
-        df.filter(F.col(treatment) == 1).na.drop(subset=[text, *weights]).select(unit_id, text, *weights)
-    )
+    """Treated rows with all required columns present, pruned to those and the weights."""
+    return df.filter(F.col(treatment) == 1).na.drop(subset=list(required)).select(unit_id, *required, *weights)
 
 
-def weighted_unigrams(df: DataFrame, weight: str | None = None, text: str = "text", alpha: float = 1.0) -> DataFrame:
-    """Row-weighted word probabilities with add-alpha smoothing.
+def unigram_table(df: DataFrame, weights: Sequence[str], text: str = "text", alpha: float = 1.0) -> DataFrame:
+    """Row-weighted word probabilities under every weight column, counted in one pass over the text.
 
-    One extra unknown type takes part in the smoothing; its probability is in
-    every row as ``p_unknown``, so known and unknown together sum to 1.
+    ``token, n`` and per weight ``c_<w>, p_<w>, unknown_<w>``. Smoothing adds
+    alpha to every type and to one unknown type, so known and unknown
+    probabilities sum to 1. A null weight counts as 0.
     """
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    tokens = df.select(w.alias("_w"), F.explode(words(text)).alias("token"))
-    counts = stage(tokens.groupBy("token").agg(F.sum("_w").alias("c"), F.count(F.lit(1)).alias("n")), "unigrams")
-    mass, types = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    below = (mass or 0.0) + alpha * (types + 1)
-    return counts.select(
-        "token", "n", "c", ((F.col("c") + alpha) / F.lit(below)).alias("p"), F.lit(alpha / below).alias("p_unknown")
+    tokens = df.select(*[F.coalesce(F.col(w).cast("double"), F.lit(0.0)).alias(w) for w in weights], F.explode(words(text)).alias("token"))
+    counts = stage(
+        tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *[F.sum(w).alias(f"c_{w}") for w in weights]), "unigrams"
+    )
+    totals = counts.agg(F.count(F.lit(1)).alias("types"), *[F.sum(f"c_{w}").alias(w) for w in weights]).first()
+    out = {}
+    for w in weights:
+        below = (totals[w] or 0.0) + alpha * (totals["types"] + 1)
+        out[f"p_{w}"] = (F.col(f"c_{w}") + alpha) / F.lit(below)
+        out[f"unknown_{w}"] = F.lit(alpha / below)
+    return counts.withColumns(out)
+
+
+def weighted_unigrams(df: DataFrame, weight: str | None = None, text: str = "text", alpha: float = 1.0) -> DataFrame:
+    """One model: ``token, n, c, p, p_unknown`` over the rows that have the weight."""
+    rows = df.withColumn("_w", F.lit(1.0)) if weight is None else df.filter(F.col(weight).isNotNull()).withColumn("_w", F.col(weight))
+    return unigram_table(rows, ["_w"], text, alpha).select(
+        "token", "n", F.col("c__w").alias("c"), F.col("p__w").alias("p"), F.col("unknown__w").alias("p_unknown")
     )
 
 
@@ -124,17 +134,24 @@ def weighted_bigrams(df: DataFrame, weight: str | None = None, text: str = "text
     )
 
 
-def document_perplexity(
-    df: DataFrame, model: DataFrame, unit_id: str = "unit_id", text: str = "text"
+def perplexities(
+    df: DataFrame, models: DataFrame, weights: Sequence[str], unit_id: str = "unit_id", text: str = "text"
 ) -> DataFrame:
-    """``exp(-mean log p)`` over the words of each whole document under a unigram model."""
-    unknown = (model.select("p_unknown").first() or [1.0])[0]
+    """``exp(-mean log p)`` over the words of each whole document, one column per model: the text is read once."""
+    unknown = models.select(*[f"unknown_{w}" for w in weights]).first()
     tokens = df.select(unit_id, F.explode(words(text)).alias("token"))
-    scored = frequent_first_lookup(tokens, model.select("token", "n", "p"), "token", "n", unit_id)
-    log_p = F.log(F.coalesce("p", F.lit(float(unknown))))
-    return scored.groupBy(unit_id).agg(
-        F.exp(-F.avg(log_p)).alias("perplexity"), F.count(F.lit(1)).alias("tokens")
-    )
+    scored = frequent_first_lookup(tokens, models.select("token", "n", *[f"p_{w}" for w in weights]), "token", "n", unit_id)
+    out = []
+    for w in weights:
+        p = F.coalesce(f"p_{w}", F.lit(float(unknown[f"unknown_{w}"]) if unknown else 1.0))
+        out.append(F.exp(-F.avg(F.log(p))).alias(f"perplexity_{w}"))
+    return scored.groupBy(unit_id).agg(F.count(F.lit(1)).alias("tokens"), *out)
+
+
+def document_perplexity(df: DataFrame, model: DataFrame, unit_id: str = "unit_id", text: str = "text") -> DataFrame:
+    """Perplexity of each document under one model: ``unit_id, perplexity, tokens``."""
+    models = model.select("token", "n", F.col("p").alias("p__w"), F.col("p_unknown").alias("unknown__w"))
+    return perplexities(df, models, ["_w"], unit_id, text).select(unit_id, F.col("perplexity__w").alias("perplexity"), "tokens")
 
 
 def perplexity_summary(perplexities: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -45,13 +45,13 @@ def token_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {DOCS_SQL} SELECT unit_id, md5(text) AS digest, round(w_right,6) AS w_right, round(w_wrong,6) AS w_wrong FROM docs
-WHERE s=1 AND text IS NOT NULL AND w_right IS NOT NULL AND w_wrong IS NOT NULL""")
+WHERE s=1 AND text IS NOT NULL""")
 def training_table(spark: SparkSession, sf: str) -> DataFrame:
     out = text.training_table(weighted_documents(spark, sf), _W)
     return out.select("unit_id", F.md5("text").alias("digest"), rounded("w_right").alias("w_right"), rounded("w_wrong").alias("w_wrong"))
 
 
-@query(f"""WITH {DOCS_SQL}, t AS (SELECT * FROM docs WHERE s=1 AND w_wrong IS NOT NULL),
+@query(f"""WITH {DOCS_SQL}, t AS (SELECT * FROM docs WHERE s=1),
 a AS (SELECT 'naive' AS choice, unit_id, 1.0::DOUBLE AS weight FROM t UNION ALL SELECT 'w_right', unit_id, w_right FROM t UNION ALL SELECT 'w_wrong', unit_id, w_wrong FROM t)
 SELECT choice, unit_id, round(weight,6) AS weight FROM a WHERE weight<>0""")
 def weight_select(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,8 +86,7 @@ def weighted_bigram_lm(spark: SparkSession, sf: str) -> DataFrame:
 
 def _perplexity(spark: SparkSession, sf: str, weight: str | None) -> DataFrame:
     docs = weighted_documents(spark, sf)
-    train = cx.treated(docs) if weight != "w_wrong" else cx.treated(docs).na.drop(subset=[weight])
-    return text.document_perplexity(docs, text.weighted_unigrams(train, weight))
+    return text.document_perplexity(docs, text.weighted_unigrams(cx.treated(docs), weight))
 
 
 def _perplexity_sql(name: str, weight: str, where: str = "s=1") -> str:

@@ -66,7 +66,7 @@ def stabilized_many(
         df, fold, n_over_n1.alias("_target"), *[(n_over_n1 / F.avg(raw[w])).alias(f"_a_{w}") for w in specs]
     )
     once = df.join(first, fold).withColumns(
-        {w: F.least(raw[w] * F.col(f"_a_{w}"), F.lit(float(truncation))) for w in specs}
+        {w: clipped(raw[w] * F.col(f"_a_{w}"), high=truncation) for w in specs}
     )
     second = _fold_constants(once, fold, *[F.avg(w).alias(f"_b_{w}") for w in specs])
     twice = once.join(second, fold).withColumns(

@@ -33,14 +33,10 @@ def wasserstein(pmfs: DataFrame, target: DataFrame, by: Sequence[str] = ()) -> D
 
 def cluster_histogram(df: DataFrame, cluster: str, in_p: Column) -> DataFrame:
     """Share of each sample per cluster: ``cluster, p, q``; rows without ``in_p`` belong to q."""
-    counts = df.groupBy(F.col(cluster).alias("cluster")).agg(
-        F.count_if(in_p).alias("_p"), F.count_if(~in_p).alias("_q")
-    )
-    everything = W.partitionBy()
-    # One row per cluster, a number chosen when clustering.
-    return counts.select(
-        "cluster", (F.col("_p") / F.sum("_p").over(everything)).alias("p"),
-        (F.col("_q") / F.sum("_q").over(everything)).alias("q"),
+    sizes = [F.count_if(in_p).alias("_p"), F.count_if(~in_p).alias("_q")]
+    total = df.agg(*sizes).first()
+    return df.groupBy(F.col(cluster).alias("cluster")).agg(*sizes).select(
+        "cluster", F.try_divide("_p", F.lit(total["_p"])).alias("p"), F.try_divide("_q", F.lit(total["_q"])).alias("q")
     )
 
 

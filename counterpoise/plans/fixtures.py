@@ -80,7 +80,7 @@ propensity AS (SELECT u.*, r.f AS f_right, w.f AS f_wrong FROM units u
 WEIGHTED_SQL = PROPENSITY_SQL + """,
 clipped AS (SELECT *, CASE WHEN s=1 THEN greatest(coalesce(f_right,1),1) END AS r0, CASE WHEN s=1 THEN greatest(coalesce(f_wrong,1),1) END AS w0,
   (count(*) OVER (PARTITION BY fold))::DOUBLE/(sum(s) OVER (PARTITION BY fold)) AS target FROM propensity),
-capped AS (SELECT *, least(r0*target/avg(r0) OVER (PARTITION BY fold),1000) AS r1, least(w0*target/avg(w0) OVER (PARTITION BY fold),1000) AS w1 FROM clipped),
+capped AS (SELECT *, CASE WHEN s=1 THEN least(r0*target/avg(r0) OVER (PARTITION BY fold),1000) END AS r1, CASE WHEN s=1 THEN least(w0*target/avg(w0) OVER (PARTITION BY fold),1000) END AS w1 FROM clipped),
 weighted AS (SELECT unit_id, category, x1, x2, rating, s, b, cut, fold, f_right, f_wrong,
   coalesce(r1*target/avg(r1) OVER (PARTITION BY fold),0) AS ipw_right, coalesce(w1*target/avg(w1) OVER (PARTITION BY fold),0) AS ipw_wrong FROM capped)"""
 

@@ -21,11 +21,7 @@ def write_parquet(
     skewed partition value over several tasks).
     """
     partition_by = list(partition_by)
-    if files:
-        # Salted by row content only when partitioned; round robin otherwise.
-        out = df.repartition(files)
-    else:
-        out = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    out = df.repartition(files) if files else df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = out.write.mode("overwrite").option("compression", codec).option("maxRecordsPerFile", max_rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -259,59 +259,53 @@ class _Cells:
 
     def visit(self, q: DataFrame, k: int, probes: int | None) -> DataFrame:
         """Home cells of each query: the ``probes`` nearest, or the nearest ones holding k candidates."""
-        model = self.model
-
-        def choose(v: np.ndarray, cell_model) -> list[np.ndarray]:
-            centers, sizes, _ = cell_model
-            first = min(len(centers), max(probes or 0, 32))
-            out: list[np.ndarray] = []
-            for lo in range(0, len(v), max(1, _MATRIX // len(centers))):
-                d = _distances(v[lo : lo + max(1, _MATRIX // len(centers))], centers)
-                near = np.argpartition(d, first - 1, axis=1)[:, :first]
-                near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-                for row, cells in enumerate(near):
-                    if probes is not None:
-                        out.append(cells[:probes])
-                        continue
-                    held = np.cumsum(sizes[cells])
-                    if held[-1] < k:
-                        cells = np.argsort(d[row], kind="stable")
-                        held = np.cumsum(sizes[cells])
-                    out.append(cells[: int(np.searchsorted(held, k)) + 1])
-            return out
 
-        def run(batches):
-            for batch in batches:
-                yield batch.append_column("cells", _per_block_lists(batch, model.value, choose))
-
-        return q.mapInArrow(run, _ddl(q) + ", cells array<int>")
+        def choose(v: np.ndarray, bound: None, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
+            first = min(len(centers), probes or 32)
+            d = _distances(v, centers)
+            near = np.argpartition(d, first - 1, axis=1)[:, :first]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+            if probes is not None:
+                return np.full(len(v), first), near.ravel()
+            held = np.cumsum(sizes[near], axis=1)
+            if (held[:, -1] < k).any():
+                near = np.argsort(d, axis=1, kind="stable")
+                held = np.cumsum(sizes[near], axis=1)
+            counts = (held < k).sum(axis=1) + 1
+            return counts, near[np.arange(near.shape[1]) < counts[:, None]]
+
+        return self._with_cells(q, choose)
 
     def reach(self, q: DataFrame) -> DataFrame:
         """All cells that may hold a candidate within the query's bound, home cells included."""
-        model = self.model
-        base = q.drop("cells")
-        names = base.columns
+
+        def choose(v: np.ndarray, bound: np.ndarray, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
+            d = _distances(v, centers)
+            # A hair of slack so rounding can only add visits, never lose one.
+            slack = 1e-6 * (1.0 + d.max())
+            open_ = (d - radii <= np.sqrt(bound)[:, None] + slack) & (sizes > 0)
+            return open_.sum(axis=1), np.nonzero(open_)[1]
+
+        return self._with_cells(q.drop("cells"), choose)
+
+    def _with_cells(self, q: DataFrame, choose) -> DataFrame:
+        """Add the chosen cells of each query; cell 0 in blocks without centres."""
+        model, names = self.model, q.columns
 
         def run(batches):
             for batch in batches:
-                bound = np.sqrt(batch.column("bound").to_numpy(zero_copy_only=False))
                 v = _matrix(batch.column("v"))
-                lists: list[np.ndarray] = [np.zeros(1, dtype=np.int64)] * batch.num_rows
+                bound = batch.column("bound").to_numpy(zero_copy_only=False) if "bound" in names else None
+                parts = []
                 for b, rows in _rows_by_block(batch.column("block"), model.value):
-                    centers, sizes, radii = model.value[b]
-                    step = max(1, _MATRIX // len(centers))
+                    step = max(1, _MATRIX // len(model.value[b][0]))
                     for lo in range(0, len(rows), step):
                         part = rows[lo : lo + step]
-                        d = _distances(v[part], centers)
-                        # A hair of slack so rounding can only add visits, never lose one.
-                        scale = 1e-6 * (1.0 + d.max())
-                        open_ = (d - radii <= bound[part][:, None] + scale) & (sizes > 0)
-                        for row, flags in zip(part, open_):
-                            lists[row] = np.flatnonzero(flags)
-                out = batch.select(names)
-                yield out.append_column("cells", _list_array(lists))
+                        counts, cells = choose(v[part], None if bound is None else bound[part], *model.value[b])
+                        parts.append((part, counts, cells))
+                yield batch.append_column("cells", _ragged(batch.num_rows, parts))
 
-        return q.mapInArrow(run, _ddl(base) + ", cells array<int>")
+        return q.mapInArrow(run, _ddl(q) + ", cells array<int>")
 
 
 def _assign(c: DataFrame, centers: dict) -> DataFrame:
@@ -364,19 +358,17 @@ def _rows_by_block(blocks: pa.Array, known: dict):
             yield name, np.flatnonzero(codes == code)
 
 
-def _per_block_lists(batch: pa.RecordBatch, model: dict, choose) -> pa.Array:
-    v = _matrix(batch.column("v"))
-    lists: list[np.ndarray] = [np.zeros(1, dtype=np.int64)] * batch.num_rows
-    for b, rows in _rows_by_block(batch.column("block"), model):
-        for row, cells in zip(rows, choose(v[rows], model[b])):
-            lists[row] = cells
-    return _list_array(lists)
-
-
-def _list_array(lists: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    values = np.concatenate(lists) if lists else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+def _ragged(n: int, parts: list) -> pa.Array:
+    """Lists for n rows from (rows, list lengths, values in that order); rows not mentioned hold a single 0."""
+    lengths = np.ones(n, dtype=np.int64)
+    for rows, counts, _ in parts:
+        lengths[rows] = counts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    values = np.zeros(offsets[-1], dtype=np.int32)
+    for rows, counts, cells in parts:
+        inside = np.arange(len(cells)) - np.repeat(np.cumsum(counts) - counts, counts)
+        values[np.repeat(offsets[rows], counts) + inside] = cells
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
 def _centers(blocks, points: np.ndarray, known: dict | None = None) -> dict:
@@ -400,16 +392,18 @@ def _nearest(q: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray | None = No
     if len(q) and len(c):
         m, d = c.shape
         cn = (c * c).sum(axis=1)
+        # |a|^2 + |c|^2 - 2ac as one product of widened matrices.
+        right = np.vstack([-2.0 * c.T, cn, np.ones(m)])
         step = max(1, _MATRIX // m)
         for lo in range(0, len(q), step):
             a = q[lo : lo + step]
             an = (a * a).sum(axis=1)
-            sq = an[:, None] + cn - 2.0 * (a @ c.T)
+            sq = np.column_stack([a, np.ones(len(a)), an]) @ right
             margin = 1e-15 * (d + 8) * (an + cn.max())
             cut = np.partition(sq, k - 1, axis=1)[:, k - 1] if k < m else np.full(len(a), np.inf)
             if bound is not None:
                 cut = np.minimum(cut, bound[lo : lo + step] * (1 + 1e-12))
-            qi, ci = np.nonzero(sq <= (cut + 2 * margin)[:, None])
+            qi, ci = np.divmod(np.flatnonzero(sq <= (cut + 2 * margin)[:, None]), m)
             dist = np.empty(len(qi))
             for s in range(0, len(qi), 1 << 18):
                 e = s + (1 << 18)

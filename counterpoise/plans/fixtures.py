@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from counterpoise.functions.hashing import keyed_uniform
 from counterpoise.operators.ipw import inverse_propensity_by_stratum, stabilized_many
 from counterpoise.operators.splits import random_fold
+from counterpoise.session import spread_small, stage
 
 # Fixed cut points of the price strata.
 CUTS = (100_000, 250_000)
@@ -16,7 +17,9 @@ FEATURES = ["x1", "x2"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # Text and vectors are heavy per row.
+    return spread_small(df) if name in ("documents", "embeddings") else df
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +38,9 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 
 def propensity_units(spark: SparkSession, sf: str) -> DataFrame:
     """Units with the stratified inverse propensity of the right and the wrong specification."""
-    right = inverse_propensity_by_stratum(units(spark, sf), ["category", "cut"], out="f_right")
+    # Several passes of aggregates follow: the join and the hashes are done once.
+    base = stage(units(spark, sf), "units")
+    right = inverse_propensity_by_stratum(base, ["category", "cut"], out="f_right")
     return inverse_propensity_by_stratum(right, ["cut"], out="f_wrong")
 
 

@@ -98,13 +98,13 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 _VECTOR_EDGES = f"""WITH v AS (SELECT vec_id, embedding, CASE WHEN {u_sql('vec_id', 'fold')}<0.5 THEN 0 ELSE 1 END AS fold FROM embeddings),
 d AS (SELECT a.vec_id AS query_id, m.vec_id AS match_id, list_sum(list_transform(list_zip(a.embedding::DOUBLE[],m.embedding::DOUBLE[]), lambda z: (z[1]-z[2])*(z[1]-z[2]))) AS dist
-  FROM v a JOIN v m ON a.fold=0 AND m.fold=1)
+  FROM v a JOIN v m ON a.fold=1-m.fold)
 SELECT query_id, match_id, CAST(rnk AS INT) AS rank, round(dist,6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, match_id) AS rnk FROM d) WHERE rnk<=10"""
 
 
 def _vector_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    v = random_fold(table(spark, sf, "embeddings"), "vec_id").withColumn("block", F.lit("all"))
-    return v.filter("fold = 0"), v.filter("fold = 1")
+    v = random_fold(table(spark, sf, "embeddings"), "vec_id")
+    return v.withColumn("block", 1 - F.col("fold")), v.withColumn("block", F.col("fold"))
 
 
 @query(_VECTOR_EDGES)
@@ -278,7 +278,7 @@ def weight_quality(spark: SparkSession, sf: str) -> DataFrame:
     return resample.weight_quality(_raw_weights(spark, sf), "raw")
 
 
-@query(_RAW + " SELECT unit_id, round(w,6) AS w FROM clean")
+@query(_RAW + " SELECT unit_id, round(w,6)+0.0 AS w FROM clean")
 def weight_sanitize(spark: SparkSession, sf: str) -> DataFrame:
     return resample.sanitized(_raw_weights(spark, sf), "raw").select("unit_id", rounded("w").alias("w"))
 

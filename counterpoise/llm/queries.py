@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import quality
+from counterpoise.llm import binpack, bitslices, pii, quality, raking
+from counterpoise.plans.fixtures import u_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,86 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_pii_semi_markov")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every whole text: base spans by pattern, more by the semi-Markov field."""
+    return pii.find_personal_data(table(spark, sf, "documents"))
+
+
+@query("op2_best_fit_shards")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    return binpack.assign_shards(table(spark, sf, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# Temperatures: even out sources and forms, and languages a little.
+MIX_TARGETS: dict[str, float | dict[str, float]] = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+MIX_RATE, MIX_SWEEPS = 0.7, 8
+
+
+def mix_dimensions() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic_of("text")}
+
+
+_TOPIC_SQL = """CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN position(' | ' IN text) > 0 THEN 'table'
+  WHEN regexp_matches(lower(substr(text, 1, 200)), 'licen[cs]e|copyright|rights reserved') THEN 'notice'
+  WHEN position('@' IN text) > 0 THEN 'contact' WHEN position('?' IN text) > 0 THEN 'question' ELSE 'prose' END"""
+
+
+def mix_sql(docs: str = "documents", targets: dict[str, float] = MIX_TARGETS, rate: float = MIX_RATE, sweeps: int = MIX_SWEEPS) -> str:
+    """The raking as a chain of common table expressions, up to ``mixed``."""
+    names = list(targets)
+    cols = ", ".join(names)
+    sql = f"""WITH units AS (SELECT *, {_TOPIC_SQL} AS topic, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM {docs}),
+cells AS (SELECT coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang, topic, sum(tokens)::DOUBLE AS tokens FROM units GROUP BY 1, 2, 3),
+shares AS (SELECT *, sum(tokens) OVER () AS total, """ + ", ".join(
+        f"CASE WHEN sum(tokens) OVER (PARTITION BY {n}) > 0 THEN pow(sum(tokens) OVER (PARTITION BY {n}) / greatest(sum(tokens) OVER (), 1), {t}) ELSE 0 END AS s_{n}, count(*) OVER (PARTITION BY {n}) AS c_{n}"
+        for n, t in targets.items()
+    ) + " FROM cells),\nw0 AS (SELECT " + cols + ", tokens, total, " + ", ".join(f"s_{n} / nullif(sum(s_{n} / c_{n}) OVER (), 0) * total AS t_{n}" for n in names)
+    sql += f", tokens * {rate} AS weight FROM shares)"
+    step = 0
+    keep = f"{cols}, tokens, total, " + ", ".join(f"t_{n}" for n in names)
+    for _ in range(sweeps):
+        for i, n in enumerate(names):
+            margin = f"sum(weight) OVER (PARTITION BY {n})"
+            value = f"weight * CASE WHEN {margin} > 0 THEN t_{n} * {rate} / {margin} ELSE 1 END"
+            sql += f",\nw{step + 1} AS (SELECT {keep}, {value} AS weight FROM w{step})"
+            step += 1
+        sql += f",\nw{step + 1} AS (SELECT {keep}, least(weight, tokens) AS weight FROM w{step})"
+        step += 1
+    on = " AND ".join(f"coalesce(u.{n}, chr(0)) = w.{n}" for n in names)
+    draw = u_sql("u.doc_id", "mix")
+    return sql + f""",
+mixed AS (SELECT u.*, least(CASE WHEN w.tokens > 0 THEN w.weight / w.tokens ELSE 1 END, 1) AS chance, {draw} AS draw FROM units u JOIN w{step} w ON {on})"""
+
+
+@query("op3_raked_mix", mix_sql() + "\nSELECT doc_id, source, lang, topic, tokens, round(chance, 6) AS chance, draw < chance AS kept FROM mixed")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its calibrated chance for a mix of sources, languages and forms, and whether it is drawn."""
+    mixed = raking.mix(table(spark, sf, "documents"), MIX_TARGETS, mix_dimensions(), rate=MIX_RATE, sweeps=MIX_SWEEPS)
+    return mixed.select(
+        "doc_id", "source", "lang", raking.topic_of("text").alias("topic"), F.col("mix_tokens").alias("tokens"),
+        F.round("mix_chance", 6).alias("chance"), F.col("mix_kept").alias("kept"),
+    )
+
+
+_TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query("op9_bit_sliced_top_k", _TOP_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others, on quantised components."""
+    vectors = table(spark, sf, "embeddings")
+    return bitslices.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 @query("op10_quality_discriminant")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document, labels learned outside the held-out third."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import binpack, bitslices, pii, quality, raking
+from counterpoise.llm import binpack, bitslices, lattice_hash, minhash, pii, quality, raking
 from counterpoise.plans.fixtures import u_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,15 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(
         "doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op6_similarity_sketching")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of near-duplicate documents on five-word shingles, Jaccard similarity 0.75 or more."""
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op8_lattice_near_vectors")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of vectors linked by a cosine of 0.9 or more, found by E8 lattice hashing."""
+    return lattice_hash.near_vectors(table(spark, sf, "embeddings"))

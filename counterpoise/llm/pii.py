@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from counterpoise.functions.hashing import keyed_uniform
+
 # The kinds in their order and the patterns of the base spans.
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -371,10 +373,14 @@ _RESULT = T.StructType(
 
 
 def sample_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 400, max_chars: int = 20_000) -> list[str]:
-    """At most ``sample_rows`` texts with a pattern's sign in them, the first by a hash of their key; for fitting only."""
+    """At most ``sample_rows`` texts with a pattern's sign in them, drawn by a hash of their key; for fitting only.
+
+    The rate counts on such a sign in one text of 25 or more; where they are rarer the sample is smaller.
+    """
+    count = docs.count()
+    drawn = docs.where(keyed_uniform(F.coalesce(F.col(key).cast("string"), F.lit("")), "pii") < F.lit(25.0 * sample_rows / max(count, 1)))
     body = F.substring(F.col(text), 1, max_chars)
-    rows = docs.where(F.col(text).rlike("@|[0-9]{3}")).select(F.xxhash64(F.col(key)).alias("h"), body.alias("t"))
-    return [r["t"] for r in rows.orderBy("h", "t").limit(sample_rows).collect()]
+    return [r[0] for r in drawn.where(F.col(text).rlike("@|[0-9]{3}")).select(body).limit(sample_rows).collect()]
 
 
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 400) -> DataFrame:

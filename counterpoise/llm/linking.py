@@ -13,7 +13,7 @@ from counterpoise.session import stage
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``node, component`` (its smallest node) for every node of ``a, b``.
+    """``node, component`` (its smallest node) for every node of ``a, b``. Nodes are of any type with an order.
 
     Alternates two star contractions (link every neighbour to the smallest neighbour, first upwards, then downwards) until
     nothing changes. Each round is a few aggregates and joins of a written table: no group is gathered in one task, and

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import binpack, bitslices, lattice_hash, minhash, pii, quality, raking
+from counterpoise.llm import binpack, bitslices, fuzzy_lines, lattice_hash, minhash, pii, quality, raking
 from counterpoise.plans.fixtures import u_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of vectors linked by a cosine of 0.9 or more, found by E8 lattice hashing."""
     return lattice_hash.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op7_fuzzy_line_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line with letters or digits: the first occurrence of its group, and whether it is the one that stays."""
+    groups = fuzzy_lines.line_groups(table(spark, sf, "documents"))
+    return groups.select(
+        F.col("k").alias("doc_id"), F.col("pos").alias("line"), F.col("first.k").alias("first_doc_id"), F.col("first.pos").alias("first_line"),
+        (F.col("first") == F.col("exact")).alias("equal_to_first"), ((F.col("first.k") == F.col("k")) & (F.col("first.pos") == F.col("pos"))).alias("kept"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import binpack, bitslices, fuzzy_lines, lattice_hash, minhash, pii, quality, raking
+from counterpoise.llm import binpack, bitslices, encoding, fuzzy_lines, lattice_hash, minhash, pii, quality, raking, subword_lm
 from counterpoise.plans.fixtures import u_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,19 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op4_streaming_viterbi")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    docs = table(spark, sf, "documents").select("doc_id", encoding.encode_checked("text").alias("e"))
+    return docs.select("doc_id", F.size("e.ids").cast("long").alias("n_ids"), F.col("e.ids").alias("ids"), F.col("e.exact").alias("round_trip"))
+
+
+@query("op5_subword_lattice_likelihood")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probability of every whole text, summed over all segmentations, beside a word model's."""
+    return subword_lm.score_documents(table(spark, sf, "documents"))
+
+
 @query("op6_similarity_sketching")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of near-duplicate documents on five-word shingles, Jaccard similarity 0.75 or more."""

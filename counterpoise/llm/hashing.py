@@ -118,7 +118,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int = 5) -> tu
     """
     joined = np.zeros(max(len(words) - width + 1, 0), dtype=np.uint64)
     for k in range(width):
-        joined = joined * np.uint64(0x2545F4914F6CDD1D) + words[k : len(words) - width + 1 + k]
+        joined = joined * np.uint64(0x2545F4914F6CDD1D) + words[k : k + len(joined)]
     joined = mix(joined)
     parts, counts = [np.empty(0, np.uint64)], np.zeros(len(offsets), dtype=np.int64)
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):

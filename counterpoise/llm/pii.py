@@ -122,7 +122,7 @@ FEATURES = ("bias", "valid", "failing", "left_clean", "right_clean", "cue", "one
 # Prior means of the weights, per kind in the order of FEATURES; the fit is drawn towards them.
 PRIOR = np.array([
     [-7.0, 8.5, -6.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, -0.5, 0.0, 1.0],
-    [-7.0, 6.0, -9.0, 1.0, 1.0, 1.0, 0.5, 0.5, 0.0, -0.5, 0.5, 0.0],
+    [-7.0, 8.0, -9.0, 1.0, 1.0, 1.0, 0.5, 0.5, 0.0, -0.5, 0.5, 0.0],
     [-7.0, 6.0, -9.0, 1.0, 1.0, 1.0, 0.5, 1.0, 0.0, -1.0, 0.5, 0.0],
     [-9.0, 3.0, -6.0, 1.0, 1.0, 3.0, 0.5, 1.5, 2.5, -2.0, 0.5, 0.0],
 ])

@@ -77,13 +77,18 @@ def attach_by_key(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
 def merge_weight_tables(tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Full outer merge of per-unit weight tables in one aggregation instead of a join chain.
 
-    Every table holds ``key`` (unique) and its own weight columns.
+    Every table holds ``key`` and its own weight columns. A key that comes
+    twice in one table fails when the result is computed: no weight is chosen
+    silently.
     """
-    union = tables[0]
-    for table in tables[1:]:
-        union = union.unionByName(table, allowMissingColumns=True)
-    names = [c for c in union.columns if c != key]
-    return union.groupBy(key).agg(*[F.max(c).alias(c) for c in names])
+    union = tables[0].withColumn("_table", F.lit(0))
+    for i, table in enumerate(tables[1:], 1):
+        union = union.unionByName(table.withColumn("_table", F.lit(i)), allowMissingColumns=True)
+    names = [c for c in union.columns if c not in (key, "_table")]
+    merged = union.groupBy(key).agg(*[F.max(c).alias(c) for c in names], F.count(F.lit(1)).alias("_rows"), F.count_distinct("_table").alias("_tables"))
+    message = F.concat(F.lit(f"{key} comes twice in one weight table: "), F.col(key).cast("string"))
+    once = F.when(F.col("_rows") > F.col("_tables"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return merged.where(once).select(key, *names)
 
 
 def with_weights(units: DataFrame, weights: DataFrame, key: str, defaults: dict[str, str | float]) -> DataFrame:

@@ -32,7 +32,8 @@ def wasserstein(pmfs: DataFrame, target: DataFrame, by: Sequence[str] = ()) -> D
 
 
 def cluster_histogram(df: DataFrame, cluster: str, in_p: Column) -> DataFrame:
-    """Share of each sample per cluster: ``cluster, p, q``; rows without ``in_p`` belong to q."""
+    """Share of each sample per cluster: ``cluster, p, q``; rows without ``in_p``, null included, belong to q."""
+    in_p = F.coalesce(in_p, F.lit(False))
     sizes = [F.count_if(in_p).alias("_p"), F.count_if(~in_p).alias("_q")]
     total = df.agg(*sizes).first()
     return df.groupBy(F.col(cluster).alias("cluster")).agg(*sizes).select(

@@ -5,13 +5,16 @@ Plan of one join, for a block (category) of any size:
 1. Candidates with the same vector are reduced to the k smallest ids. With
    ties broken by id no other copy can enter a top k, so a hot vector costs
    nothing and the result is unchanged.
-2. Blocks of up to ``SINGLE_CELL_ROWS`` candidates are one cell. Larger blocks
-   are divided into Voronoi cells around sampled centres; the centres and the
-   radius and size of each cell are broadcast, at most ``MAX_CELLS`` of them and
-   at most ``MODEL_BYTES``.
+2. Exact search: blocks of up to ``SINGLE_CELL_ROWS`` candidates are one cell,
+   which changes the plan but not the result. Larger blocks are divided into
+   Voronoi cells around sampled centres; the centres and the radius and size of
+   each cell are broadcast, about ``MAX_CELLS`` of them and ``MODEL_BYTES`` at most.
+   Approximate search divides every block of n candidates into about sqrt(n)
+   cells, whatever its size.
 3. Exact search asks each query's home cells for an upper bound on its k-th
    distance, then visits only cells that can hold something nearer (triangle
-   inequality). Approximate search visits the ``probes`` nearest cells.
+   inequality). Approximate search visits the ``probes`` nearest cells, and as
+   many more as it takes to hold k candidates.
 4. Visits are equi-joined on (block, cell). Cells with many candidates are cut
    into tiles and cells with many queries are salted, so a task never holds
    more than ``TILE_ROWS`` candidates and one chunk of queries. Each task keeps
@@ -75,9 +78,9 @@ def knn_join(
 
     Returns ``block, query_id, match_id, rank, dist`` and the ``carry``
     columns of the query. ``features`` names numeric columns or one array
-    column. ``probes=None`` is exact; a number searches that many cells per
-    query in blocks above the single-cell size. A block with fewer than k
-    candidates gives all of them. Rows with a null or NaN feature have no
+    column. ``probes=None`` is exact; a number searches that many of a block's
+    sqrt(n) cells per query, more where they hold fewer than k candidates. A
+    block with fewer than k candidates gives all of them. Rows with a null or NaN feature have no
     distance and take no part.
     """
     v = _vector(features)
@@ -88,7 +91,7 @@ def knn_join(
     c = stage(c.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k).drop("_copy"), "knn-candidates")
 
     # Blocks up to this size are one tile of one cell, so a task's result is final.
-    whole = max(single_cell_rows, k)
+    whole = max(single_cell_rows, k) if probes is None else 0
     big = stage(c.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole), "knn-blocks")
     chunk = min(8_192, max(256, (1 << 20) // k))
     if big.isEmpty():
@@ -237,13 +240,16 @@ class _Cells:
         # Shares of a fixed budget of centres, so what is collected and broadcast is bounded.
         budget = max(2, min(MAX_CELLS, MODEL_BYTES // (8 * width)))
         per_cell = max(cell_rows, math.ceil(total / budget))
-        wanted = F.sqrt("n") if approximate else F.col("n") / per_cell
-        count = F.least(F.ceil(wanted), F.ceil(F.col("n") / per_cell * F.lit(4)), F.floor(F.col("n") * F.lit(budget / total)))
-        # At most half the budget of blocks; all others stay one cell, cut into tiles.
+        if approximate:
+            # sqrt(n) cells a block; all blocks give way alike where that would exceed the budget.
+            every = big.agg(F.sum(F.sqrt("n"))).first()[0] or 1.0
+            count = F.sqrt("n") * F.lit(min(1.0, budget / every))
+        else:
+            count = F.least(F.ceil(F.col("n") / per_cell), F.floor(F.col("n") * F.lit(budget / total)))
+        # A block of under two cells stays one cell, cut into tiles.
         rates = stage(big.select("block", (count / F.col("n")).alias("rate")).filter(count >= 2), "knn-rates")
         sample = (
-            c.join(rates, "block").filter(keyed_uniform("match_id", "center", seed) < F.col("rate"))
-            .select("block", "v").limit(2 * budget).toArrow()
+            c.join(rates, "block").filter(keyed_uniform("match_id", "center", seed) < F.col("rate")).select("block", "v").toArrow()
         )
         centers = _centers(sample["block"], _matrix(sample["v"]))
         assigned = _assign(c, centers)
@@ -262,16 +268,16 @@ class _Cells:
 
         def choose(v: np.ndarray, bound: None, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
             first = min(len(centers), probes or 32)
-            d = _distances(v, centers)
+            d, _ = _distances(v, centers)
             near = np.argpartition(d, first - 1, axis=1)[:, :first]
             near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-            if probes is not None:
-                return np.full(len(v), first), near.ravel()
             held = np.cumsum(sizes[near], axis=1)
             if (held[:, -1] < k).any():
                 near = np.argsort(d, axis=1, kind="stable")
                 held = np.cumsum(sizes[near], axis=1)
-            counts = (held < k).sum(axis=1) + 1
+            counts = np.minimum((held < k).sum(axis=1) + 1, len(centers))
+            if probes is not None:
+                counts = np.maximum(counts, first)
             return counts, near[np.arange(near.shape[1]) < counts[:, None]]
 
         return self._with_cells(q, choose)
@@ -280,10 +286,11 @@ class _Cells:
         """All cells that may hold a candidate within the query's bound, home cells included."""
 
         def choose(v: np.ndarray, bound: np.ndarray, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
-            d = _distances(v, centers)
-            # A hair of slack so rounding can only add visits, never lose one.
-            slack = 1e-6 * (1.0 + d.max())
-            open_ = (d - radii <= np.sqrt(bound)[:, None] + slack) & (sizes > 0)
+            d, error = _distances(v, centers)
+            # Least possible distance to the centre, largest radius and bound: rounding can only add visits.
+            least = np.sqrt(np.maximum(d * d - error, 0.0))
+            most = (np.sqrt(bound)[:, None] + radii) * (1 + 1e-12)
+            open_ = (least <= most) & (sizes > 0)
             return open_.sum(axis=1), np.nonzero(open_)[1]
 
         return self._with_cells(q.drop("cells"), choose)
@@ -322,7 +329,7 @@ def _assign(c: DataFrame, centers: dict) -> DataFrame:
                 step = max(1, _MATRIX // len(points))
                 for lo in range(0, len(rows), step):
                     part = rows[lo : lo + step]
-                    cell[part] = _distances(v[part], points).argmin(axis=1)
+                    cell[part] = _distances(v[part], points)[0].argmin(axis=1)
                     to_center[part] = np.sqrt(((v[part] - points[cell[part]]) ** 2).sum(axis=1))
             yield batch.append_column("cell", pa.array(cell)).append_column("to_center", pa.array(to_center))
 
@@ -343,10 +350,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by the product form; accurate to about 1e-7 of the norms."""
-    sq = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+def _distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Euclidean distances by the product form, and the largest error of their squares.
+
+    Both sides are moved to the centre of ``b`` first: the error grows with the norms, which far from the origin would be
+    many times the distances. Moving itself errs by a part of the larger coordinate only where that is far from the centre.
+    """
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
+    an, bn = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)
+    error = 4e-16 * (a.shape[1] + 8) * (an + bn)
+    return np.sqrt(np.maximum(an + bn - 2.0 * (a @ b.T), 0.0)), error
 
 
 def _rows_by_block(blocks: pa.Array, known: dict):
@@ -391,14 +405,18 @@ def _nearest(q: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray | None = No
     parts = [(empty, empty, empty, np.zeros(0))]
     if len(q) and len(c):
         m, d = c.shape
-        cn = (c * c).sum(axis=1)
+        # Moved to the candidates' centre, so that norms and with them the margin stay small far from the origin.
+        centre = c.mean(axis=0)
+        moved = c - centre
+        cn = (moved * moved).sum(axis=1)
         # |a|^2 + |c|^2 - 2ac as one product of widened matrices.
-        right = np.vstack([-2.0 * c.T, cn, np.ones(m)])
+        right = np.vstack([-2.0 * moved.T, cn, np.ones(m)])
         step = max(1, _MATRIX // m)
         for lo in range(0, len(q), step):
             a = q[lo : lo + step]
-            an = (a * a).sum(axis=1)
-            sq = np.column_stack([a, np.ones(len(a)), an]) @ right
+            near = a - centre
+            an = (near * near).sum(axis=1)
+            sq = np.column_stack([near, np.ones(len(a)), an]) @ right
             margin = 1e-15 * (d + 8) * (an + cn.max())
             cut = np.partition(sq, k - 1, axis=1)[:, k - 1] if k < m else np.full(len(a), np.inf)
             if bound is not None:

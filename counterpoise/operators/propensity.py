@@ -104,18 +104,27 @@ def score_equations(model: PipelineModel, df: DataFrame, flag: str = "s", ridge:
     return scored.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def crossfit_scores(df: DataFrame, fit, fold: str = "fold", out: str = "p") -> DataFrame:
-    """Fit on each fold, score the other; every row gets one out-of-fold probability."""
+def crossfit_scores(df: DataFrame, fit, fold: str = "fold", out: str = "p", treated: str | None = None) -> DataFrame:
+    """Fit on each fold, score the other; every row gets one out-of-fold probability.
+
+    With ``treated`` only the rows whose flag is 1 are scored: others have weight 0 whatever their probability.
+    """
     halves = []
     for f in (0, 1):
         model = fit(df.filter(F.col(fold) == f))
-        halves.append(score(model, df.filter(F.col(fold) == 1 - f), out))
+        other = df.filter(F.col(fold) == 1 - f)
+        halves.append(score(model, other if treated is None else other.filter(F.col(treated) == 1), out))
     return halves[0].unionByName(halves[1])
 
 
-def inverse(p: str):
-    """Reciprocal of a probability kept off 0; null stays null."""
-    return 1.0 / clipped(p, low=_P_MIN)
+def inverse(p: str, least: float = _P_MIN):
+    """Reciprocal of a probability kept at ``least`` or above; null stays null."""
+    return 1.0 / clipped(p, low=least)
+
+
+def below(df: DataFrame, p: str, least: float = _P_MIN) -> DataFrame:
+    """How many probabilities ``inverse`` raises to ``least``."""
+    return df.agg(F.count(p).alias("scored"), F.count(F.when(F.col(p) < least, 1)).alias("raised"))
 
 
 def tune_boosted(

@@ -103,8 +103,8 @@ def unigram_table(df: DataFrame, weights: Sequence[str], text: str = "text", alp
 
 
 def weighted_unigrams(df: DataFrame, weight: str | None = None, text: str = "text", alpha: float = 1.0) -> DataFrame:
-    """One model: ``token, n, c, p, p_unknown`` over the rows that have the weight."""
-    rows = df.withColumn("_w", F.lit(1.0)) if weight is None else df.filter(F.col(weight).isNotNull()).withColumn("_w", F.col(weight))
+    """One model: ``token, n, c, p, p_unknown``. As in ``unigram_table`` a null weight counts as 0 and the row's word types stay."""
+    rows = df.withColumn("_w", F.lit(1.0) if weight is None else F.col(weight))
     return unigram_table(rows, ["_w"], text, alpha).select(
         "token", "n", F.col("c__w").alias("c"), F.col("p__w").alias("p"), F.col("unknown__w").alias("p_unknown")
     )
@@ -137,15 +137,18 @@ def weighted_bigrams(df: DataFrame, weight: str | None = None, text: str = "text
 def perplexities(
     df: DataFrame, models: DataFrame, weights: Sequence[str], unit_id: str = "unit_id", text: str = "text"
 ) -> DataFrame:
-    """``exp(-mean log p)`` over the words of each whole document, one column per model: the text is read once."""
+    """``exp(-mean log p)`` over the words of each whole document, one column per model: the text is read once.
+
+    A document without words stays, with 0 tokens and null perplexities.
+    """
     unknown = models.select(*[f"unknown_{w}" for w in weights]).first()
-    tokens = df.select(unit_id, F.explode(words(text)).alias("token"))
+    tokens = df.select(unit_id, F.explode_outer(words(text)).alias("token"))
     scored = frequent_first_lookup(tokens, models.select("token", "n", *[f"p_{w}" for w in weights]), "token", "n", unit_id)
     out = []
     for w in weights:
-        p = F.coalesce(f"p_{w}", F.lit(float(unknown[f"unknown_{w}"]) if unknown else 1.0))
+        p = F.when(F.col("token").isNotNull(), F.coalesce(f"p_{w}", F.lit(float(unknown[f"unknown_{w}"]) if unknown else 1.0)))
         out.append(F.exp(-F.avg(F.log(p))).alias(f"perplexity_{w}"))
-    return scored.groupBy(unit_id).agg(F.count(F.lit(1)).alias("tokens"), *out)
+    return scored.groupBy(unit_id).agg(F.count("token").alias("tokens"), *out)
 
 
 def document_perplexity(df: DataFrame, model: DataFrame, unit_id: str = "unit_id", text: str = "text") -> DataFrame:

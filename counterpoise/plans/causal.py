@@ -16,7 +16,8 @@ from counterpoise.plans.fixtures import (
 from counterpoise.plans.registry import query, rounded
 from counterpoise.session import stage
 
-K = 20
+# Neighbours listed by the edge queries, and those behind each weight.
+K, K_WEIGHTS = 20, 200
 MODEL_FEATURES = ["x1", "x2", "rating"]
 
 
@@ -96,6 +97,31 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.knn_join(q, c, K, block=weights.PAIR, features=_Z).withColumn("dist", rounded("dist"))
 
 
+_TINY_CELLS = {"single_cell_rows": 60, "cell_rows": 16, "tile_rows": 200}
+
+
+@query(_EDGES + " SELECT blk AS block, query_id, match_id, CAST(rnk AS INT) AS rank, round(dist,6) AS dist FROM edges")
+def knn_exact_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same edges when every block is divided into many cells."""
+    q, c = _sides(spark, sf)
+    return neighbors.knn_join(q, c, K, block=weights.PAIR, features=_Z, **_TINY_CELLS).withColumn("dist", rounded("dist"))
+
+
+# Far from the origin, by a power of two so that moved whole numbers stay exact.
+_FAR = 2.0**30
+_FAR_EDGES = f"""WITH {UNITS_SQL}, f AS (SELECT unit_id, category||'|'||fold AS blk, category||'|'||(1-fold) AS other, rating, s, round(x1)+{_FAR} AS z1, round(x2)+{_FAR} AS z2 FROM units),
+zq AS (SELECT unit_id, other AS blk, z1, z2, 0 AS ipw_right, 0 AS ipw_wrong FROM f), zc AS (SELECT unit_id, blk, z1, z2 FROM f WHERE s=1){edges_sql(K)}"""
+
+
+@query(_FAR_EDGES + " SELECT blk AS block, query_id, match_id, CAST(rnk AS INT) AS rank, dist FROM edges")
+def knn_far_origin(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the size of timestamps, with cells: distances are small against the coordinates."""
+    far = units(spark, sf).withColumns({f"z{i}": F.round(f"x{i}") + F.lit(_FAR) for i in (1, 2)})
+    other = F.concat_ws("|", "category", (1 - F.col("fold")).cast("string"))
+    q, c = far.withColumn("block", other), far.filter("s = 1").withColumn("block", F.concat_ws("|", "category", F.col("fold").cast("string")))
+    return neighbors.knn_join(q, c, K, block="block", features=["z1", "z2"], **_TINY_CELLS)
+
+
 _VECTOR_EDGES = f"""WITH v AS (SELECT vec_id, embedding, CASE WHEN {u_sql('vec_id', 'fold')}<0.5 THEN 0 ELSE 1 END AS fold FROM embeddings),
 d AS (SELECT a.vec_id AS query_id, m.vec_id AS match_id, list_sum(list_transform(list_zip(a.embedding::DOUBLE[],m.embedding::DOUBLE[]), lambda z: (z[1]-z[2])*(z[1]-z[2]))) AS dist
   FROM v a JOIN v m ON a.fold=1-m.fold)
@@ -122,12 +148,12 @@ def knn_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.reverse_neighbours(edges, ["gap"]).withColumn("gap", rounded("gap", 4))
 
 
-@query(f"""WITH {WEIGHTED_SQL}{sides_sql()}, h AS (SELECT blk, least(count(*),{K}) AS k FROM c GROUP BY blk){edges_sql(K)}
+@query(f"""WITH {WEIGHTED_SQL}{sides_sql()}, h AS (SELECT blk, least(count(*),{K_WEIGHTS}) AS k FROM c GROUP BY blk){edges_sql(K_WEIGHTS)}
 SELECT match_id AS unit_id, round(sum(1.0/k),6) AS gcomp, round(sum((1-ipw_right)/k),6) AS aug_ipw_right, round(sum((1-ipw_wrong)/k),6) AS aug_ipw_wrong
 FROM edges JOIN h ON edges.blk=h.blk GROUP BY match_id""")
 def gcomp_knn(spark: SparkSession, sf: str) -> DataFrame:
     q, c = _sides(spark, sf)
-    near = weights.neighbour_weights(q, c, K, _Z, list(IPW.values()))
+    near = weights.neighbour_weights(q, c, K_WEIGHTS, _Z, list(IPW.values()))
     return near.select("unit_id", *[rounded(x).alias(x) for x in ("gcomp", "aug_ipw_right", "aug_ipw_wrong")])
 
 
@@ -143,7 +169,7 @@ def gcomp_uniform(spark: SparkSession, sf: str) -> DataFrame:
 def _aipw_sql(near: str, scale: str = "") -> str:
     """Eight weights; ``near`` is the expression applied to a neighbour sum."""
     keep = lambda x: f"coalesce({near.format(x=x)},0)"
-    return f"""WITH {WEIGHTED_SQL}{scale or sides_sql()}, h AS (SELECT blk, count(*) AS m, least(count(*),{K}) AS k FROM c GROUP BY blk){edges_sql(K)},
+    return f"""WITH {WEIGHTED_SQL}{scale or sides_sql()}, h AS (SELECT blk, count(*) AS m, least(count(*),{K_WEIGHTS}) AS k FROM c GROUP BY blk){edges_sql(K_WEIGHTS)},
 near AS (SELECT match_id, sum(1.0/k) AS g, sum((1-ipw_right)/k) AS ar, sum((1-ipw_wrong)/k) AS aw FROM edges JOIN h ON edges.blk=h.blk GROUP BY match_id),
 flat AS (SELECT q.blk, count(*)::DOUBLE/any_value(m) AS g, sum(1-ipw_right)/any_value(m) AS ar, sum(1-ipw_wrong)/any_value(m) AS aw FROM q JOIN h ON q.blk=h.blk GROUP BY q.blk)
 SELECT unit_id, round(ipw_right,6) AS ipw_right, round(ipw_wrong,6) AS ipw_wrong,
@@ -161,7 +187,7 @@ AIPW = [
 
 
 def _aipw(spark: SparkSession, sf: str, **options) -> DataFrame:
-    return weights.augmented_weights(stage(weighted_units(spark, sf), "units"), K, FEATURES, IPW, **options)
+    return weights.augmented_weights(stage(weighted_units(spark, sf), "units"), K_WEIGHTS, FEATURES, IPW, **options)
 
 
 @query(_aipw_sql("{x}"))
@@ -185,10 +211,10 @@ def aipw_candidate_scale(spark: SparkSession, sf: str) -> DataFrame:
 def _subgroup_sql() -> str:
     ctes, picks, joins = "", [], ""
     for spec, where, cols in (("right", "s=1", ("x1", "x2", "b")), ("wrong", "s=1 AND b=1", ("x1", "x2"))):
-        dist = edges_sql(K, f"edges_{spec}", cols, f"q_{spec}", f"c_{spec}")
+        dist = edges_sql(K_WEIGHTS, f"edges_{spec}", cols, f"q_{spec}", f"c_{spec}")
         pair = sides_sql("'all|'", where, scaled=False).replace("zq AS", f"q_{spec} AS").replace("zc AS", f"c_{spec} AS")
         ctes += pair + dist + f""",
-near_{spec} AS (SELECT match_id, count(*)/{float(K)} AS g, sum(1-ipw_right)/{K} AS ar, sum(1-ipw_wrong)/{K} AS aw FROM edges_{spec} GROUP BY match_id)"""
+near_{spec} AS (SELECT match_id, count(*)/{float(K_WEIGHTS)} AS g, sum(1-ipw_right)/{K_WEIGHTS} AS ar, sum(1-ipw_wrong)/{K_WEIGHTS} AS aw FROM edges_{spec} GROUP BY match_id)"""
         joins += f" LEFT JOIN near_{spec} ON near_{spec}.match_id=u.unit_id"
         picks += [f"round(coalesce(near_{spec}.g,0),6) AS gcomp_{spec}"]
         picks += [f"round(ipw_{a}+coalesce(near_{spec}.a{a[0]},0),6) AS aipw_{a}Prop_{spec}Out" for a in ("right", "wrong")]
@@ -198,7 +224,7 @@ near_{spec} AS (SELECT match_id, count(*)/{float(K)} AS g, sum(1-ipw_right)/{K}
 @query(_subgroup_sql())
 def aipw_subgroup(spark: SparkSession, sf: str) -> DataFrame:
     base = stage(weighted_units(spark, sf), "units")
-    out = weights.subgroup_weights(base, K, [*FEATURES, "b"], "b", IPW, probes=None)
+    out = weights.subgroup_weights(base, K_WEIGHTS, [*FEATURES, "b"], "b", IPW, probes=None)
     names = [f"gcomp_{b}" for b in IPW] + [f"aipw_{a}Prop_{b}Out" for a in IPW for b in IPW]
     return out.select("unit_id", *[rounded(c).alias(c) for c in names])
 
@@ -330,7 +356,7 @@ def propensity_logistic(spark: SparkSession, sf: str) -> DataFrame:
 def propensity_shifted(spark: SparkSession, sf: str) -> DataFrame:
     df = _model_units(spark, sf)
     model = propensity.fit_logistic(df.filter("fold = 0"), _spec(df)["right"])
-    return propensity.score_shifted(model, df.filter("fold = 1")).select("unit_id", rounded("p").alias("p"))
+    return propensity.score_shifted(model, df).select("unit_id", rounded("p").alias("p"))
 
 
 @query()
@@ -349,33 +375,93 @@ def score_equations(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def propensity_gbt(spark: SparkSession, sf: str) -> DataFrame:
     df = _model_units(spark, sf)
-    model = propensity.fit_boosted(df.filter("fold = 0"), _spec(df)["right"], trees=10)
-    return propensity.score(model, df.filter("fold = 1 and s = 1")).select("unit_id", rounded("p").alias("p"))
+    scored = propensity.crossfit_scores(df, lambda half: propensity.fit_boosted(half, _spec(df)["right"]), treated="s")
+    return scored.select("unit_id", rounded("p").alias("p"))
 
 
-@query()
-def crossfit_gbt(spark: SparkSession, sf: str) -> DataFrame:
+def _crossfitted(spark: SparkSession, sf: str) -> DataFrame:
     df = _model_units(spark, sf)
     out = df
     for name, features in _spec(df).items():
-        scored = propensity.crossfit_scores(out, lambda half: propensity.fit_boosted(half, features, trees=5, depth=3), out=f"p_{name}")
-        out = scored.withColumn(f"f_{name}", propensity.inverse(f"p_{name}"))
+        scored = propensity.crossfit_scores(df, lambda half: propensity.fit_boosted(half, features), out="p", treated="s")
+        p = scored.select("unit_id", propensity.inverse("p").alias(f"f_{name}"))
+        out = out.join(p, "unit_id", "left")
     out = ipw.stabilized_many(out, {"ipw_right": "f_right", "ipw_wrong": "f_wrong"})
     return out.select("unit_id", "fold", "s", "ipw_right", "ipw_wrong")
 
 
+@query()
+def crossfit_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    return _crossfitted(spark, sf)
+
+
+@query(f"WITH {UNITS_SQL} SELECT fold, count(*) AS units, 1.0::DOUBLE AS mean_right, 1.0::DOUBLE AS mean_wrong, 0::BIGINT AS off_support FROM units GROUP BY fold")
+def crossfit_gbt_mass(spark: SparkSession, sf: str) -> DataFrame:
+    """Stabilised weights average 1 in each fold and are zero exactly off the treated rows."""
+    off = F.count(F.when((F.col("s") == 1) != (F.col("ipw_right") > 0), 1))
+    return _crossfitted(spark, sf).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("units"), rounded(F.avg("ipw_right")).alias("mean_right"), rounded(F.avg("ipw_wrong")).alias("mean_wrong"), off.alias("off_support")
+    )
+
+
+@query(f"WITH {UNITS_SQL} SELECT count(*) AS units, true AS inside, true AS calibrated FROM units")
+def propensity_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """The logistic model's probabilities lie inside (0, 1) and sum up to the number of treated rows."""
+    df = _model_units(spark, sf)
+    scored = propensity.score(propensity.fit_logistic(df, _spec(df)["right"]), df)
+    inside = F.bool_and((F.col("p") > 0) & (F.col("p") < 1))
+    return scored.agg(F.count(F.lit(1)).alias("units"), inside.alias("inside"), (F.abs(F.avg("p") - F.avg("s")) < 1e-4).alias("calibrated"))
+
+
+@query(f"""WITH {UNITS_SQL} SELECT unnest(['x1', 'x2', 'rating', '(intercept)']) AS feature, true AS solved
+UNION ALL SELECT DISTINCT 'category_'||lower(category), true FROM units""")
+def score_equations_hold(spark: SparkSession, sf: str) -> DataFrame:
+    df = _model_units(spark, sf)
+    names = {c: c for c in df.columns}
+    gradient = propensity.score_equations(propensity.fit_logistic(df, _spec(df)["right"]), df)
+    return gradient.select(F.col("feature"), (F.abs("gradient") < 1e-4).alias("solved")).where(F.col("feature").isin(*names, "(intercept)"))
+
+
+@query("SELECT CAST(d AS INT) AS max_depth, CAST(t AS INT) AS trees FROM (SELECT unnest([2, 3]) AS d) CROSS JOIN (SELECT unnest([3, 5]) AS t)")
+def tune_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every combination of the grid is scored."""
+    return tune_propensity(spark, sf).where("auc between 0 and 1").select("max_depth", "trees")
+
+
 @query()
 def tune_propensity(spark: SparkSession, sf: str) -> DataFrame:
     df = _model_units(spark, sf)
     return propensity.tune_boosted(df.filter("fold = 0"), MODEL_FEATURES, depths=(2, 3), trees=(3, 5))[1]
 
 
+def _probed(spark: SparkSession, sf: str, probes: int | None) -> DataFrame:
+    q, c = _vector_sides(spark, sf)
+    return neighbors.knn_join(q, c, 10, block="block", features="embedding", query_id="vec_id", match_id="vec_id", probes=probes)
+
+
 @query()
 def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
-    q, c = _vector_sides(spark, sf)
-    return neighbors.knn_join(
-        q, c, 10, block="block", features="embedding", query_id="vec_id", match_id="vec_id", probes=10, single_cell_rows=200
-    )
+    return _probed(spark, sf, 10)
+
+
+@query(_VECTOR_EDGES)
+def knn_ivf_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Probing every cell is the exact search."""
+    return _probed(spark, sf, 1_000_000).select("query_id", "match_id", "rank", rounded("dist").alias("dist"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, CASE WHEN {u_sql('vec_id', 'fold')}<0.5 THEN 0 ELSE 1 END AS fold FROM embeddings), n AS (SELECT fold, count(*) AS n FROM v GROUP BY fold)
+SELECT vec_id AS query_id, least(10, n) AS edges FROM v JOIN n ON n.fold=1-v.fold""")
+def knn_ivf_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A single probe still gives every query its k neighbours."""
+    return _probed(spark, sf, 1).groupBy("query_id").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("SELECT true AS enough, true AS below_all")
+def knn_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten probes find over 0.6 of the true edges, of unclustered vectors, and not all of them: the search does approximate."""
+    found = neighbors.recall_at_k(_probed(spark, sf, 10), _probed(spark, sf, None))
+    return found.select((F.col("recall") >= 0.6).alias("enough"), (F.col("recall") < 1.0).alias("below_all"))
 
 
 @query()
@@ -388,6 +474,24 @@ def riesz_linear(spark: SparkSession, sf: str) -> DataFrame:
     return ipw.self_normalized(halves[0].unionByName(halves[1]), "f").select("unit_id", "fold", "f", "ipw")
 
 
+# Two unknowns, scaled as the operator scales them: the solution in closed form.
+_RIESZ_X1 = f"""WITH {UNITS_SQL}, m AS (SELECT 1-fold AS fold, avg(s)::DOUBLE AS a, avg(s*x1) AS b, avg(s*x1*x1) AS c, avg(x1) AS e FROM units GROUP BY fold),
+z AS (SELECT fold, sqrt(a) AS sa, sqrt(c) AS sc, b/(sqrt(a)*sqrt(c)) AS r, 1/sqrt(a) AS u, e/sqrt(c) AS v FROM m),
+k AS (SELECT fold, ((1+1e-9)*u-r*v)/((1+1e-9)*(1+1e-9)-r*r)/sa AS b0, ((1+1e-9)*v-r*u)/((1+1e-9)*(1+1e-9)-r*r)/sc AS b1 FROM z)
+SELECT unit_id, round(b0+b1*x1,5)+0.0 AS f FROM units u JOIN k ON u.fold=k.fold"""
+
+
+@query(_RIESZ_X1)
+def riesz_linear_x1(spark: SparkSession, sf: str) -> DataFrame:
+    """The closed-form inverse propensity on one feature, cross-fitted."""
+    u = units(spark, sf)
+    halves = []
+    for f in (0, 1):
+        b = propensity.riesz_linear(u.filter(F.col("fold") == f), ["x1"])
+        halves.append(propensity.apply_linear(u.filter(F.col("fold") == 1 - f), ["x1"], b))
+    return halves[0].unionByName(halves[1]).select("unit_id", rounded("f", 5).alias("f"))
+
+
 @query()
 def kmeans_frontier(spark: SparkSession, sf: str) -> DataFrame:
     clustered = metrics.assign_clusters(table(spark, sf, "embeddings"), "embedding", 10)

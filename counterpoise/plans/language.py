@@ -12,7 +12,7 @@ from counterpoise.plans.registry import query, rounded
 from counterpoise.session import stage
 
 _W = ["w_right", "w_wrong"]
-_SIZE = 2_000
+_SIZE = 32_000
 
 
 def _vocab_sql(source: str = "docs", where: str = "") -> str:
@@ -100,7 +100,20 @@ def doc_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return _perplexity(spark, sf, "w_right").withColumn("perplexity", rounded("perplexity", 4))
 
 
-_NAMES = (("naive", "1.0::DOUBLE", "s=1", None), ("w_right", "w_right", "s=1", "w_right"), ("w_wrong", "w_wrong", "s=1 AND w_wrong IS NOT NULL", "w_wrong"))
+_EMPTY_DOCS = """docs AS (SELECT unit_id, category, CASE WHEN unit_id%3=0 THEN '' WHEN unit_id%7=0 THEN NULL ELSE text END AS text, s, w_right FROM full_docs)"""
+
+
+@query(f"WITH {DOCS_SQL.replace('docs AS', 'full_docs AS', 1)}, {_EMPTY_DOCS}, {_perplexity_sql('lm', 'w_right')} "
+       "SELECT d.unit_id, round(perplexity,4) AS perplexity, coalesce(tokens,0) AS tokens FROM docs d LEFT JOIN lm_ppl ON lm_ppl.unit_id=d.unit_id")
+def perplexity_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without words keep their row."""
+    blank = F.when(F.col("unit_id") % 3 == 0, "").when(F.col("unit_id") % 7 == 0, F.lit(None)).otherwise(F.col("text"))
+    docs = weighted_documents(spark, sf).withColumn("text", blank)
+    out = text.document_perplexity(docs, text.weighted_unigrams(cx.treated(docs), "w_right"))
+    return out.withColumn("perplexity", rounded("perplexity", 4))
+
+
+_NAMES = (("naive", "1.0::DOUBLE", "s=1", None), ("w_right", "w_right", "s=1", "w_right"), ("w_wrong", "coalesce(w_wrong,0)", "s=1", "w_wrong"))
 
 
 @query(f"WITH {DOCS_SQL}, " + ", ".join(_perplexity_sql(n, w, c) for n, w, c, _ in _NAMES) + " " + " UNION ALL ".join(

@@ -34,16 +34,37 @@ def json_by_file(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("file_category", "c_custkey", "c_acctbal")
 
 
+_HARD = "o_orderpriority||CASE o_orderkey%4 WHEN 0 THEN ', ' WHEN 1 THEN '\", ' WHEN 2 THEN ' ' ELSE '' END||'\"'||o_orderstatus||'\"'"
+
+
+def _write_dictionary(spark: SparkSession, sf: str, separator: str, hard: bool) -> str:
+    """Files of one JSON object each; with ``hard`` the values end in what looks like a separator."""
+    path = scratch_path(spark, "dictionary")
+    ends = F.when(F.col("o_orderkey") % 4 == 0, ", ").when(F.col("o_orderkey") % 4 == 1, '", ').when(F.col("o_orderkey") % 4 == 2, " ").otherwise("")
+    value = F.concat("o_orderpriority", ends if hard else F.lit(', "'), F.lit('"') if hard else F.lit(""), "o_orderstatus", F.lit('"'))
+    entry = F.regexp_replace(F.to_json(F.create_map(F.col("o_orderkey").cast("string"), value)), r"^\{|\}$", "")
+    rows = table(spark, sf, "orders").select(F.pmod("o_orderkey", F.lit(3)).alias("part"), entry.alias("entry"))
+    # A test file is small: one group, one object.
+    body = rows.groupBy("part").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("entry")), separator), F.lit("}")).alias("value"))
+    body.write.partitionBy("part").text(path)
+    return path
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority||', \"'||o_orderstatus||'\"' AS category FROM orders")
 def key_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "dictionary")
-    value = F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"'))
-    entry = F.to_json(F.create_map(F.col("o_orderkey").cast("string"), value))
-    # Every text file holds one JSON object whose entries are joined by the separator, on one line.
-    body = F.regexp_replace(entry, r'^\{"|"\}$', "")
-    body = F.regexp_replace(body, '":"', '": "')
-    table(spark, sf, "orders").select(body.alias("value")).write.option("lineSep", '", "').text(path)
-    return readers.read_key_dictionary(spark, path)
+    return readers.read_key_dictionary(spark, _write_dictionary(spark, sf, ", ", False))
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS key, {_HARD} AS category FROM orders")
+def key_dictionary_hard(spark: SparkSession, sf: str) -> DataFrame:
+    """Compact objects whose values end in quotes and commas."""
+    return readers.read_key_dictionary(spark, _write_dictionary(spark, sf, ",", True))
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS key, {_HARD} AS category FROM orders")
+def key_dictionary_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """An entry per line."""
+    return readers.read_key_dictionary(spark, _write_dictionary(spark, sf, ",\n  ", True))
 
 
 @query("""SELECT lang AS weight_column, position, count(*) AS samples, sum(length(sample))::BIGINT AS characters FROM

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from counterpoise.session import stage
+
 # Fixed schemas of the raw review and product files.
 REVIEW_SCHEMA = (
     "rating float, title string, text string, images array<string>, asin string, parent_asin string, "
@@ -34,21 +37,38 @@ def read_json_by_file(
     return df.withColumn(name_column, F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1))
 
 
-def read_key_dictionary(
-    spark: SparkSession, path: str, key: str = "key", value: str = "category", separator: str = '", "'
-) -> DataFrame:
-    """A single JSON object ``{"k": "v", ...}`` as rows (key, value).
+def read_key_dictionary(spark: SparkSession, path: str, key: str = "key", value: str = "category") -> DataFrame:
+    """A single JSON object ``{"k": "v", ...}`` as rows (key, value); compact, spaced or with an entry per line.
 
-    The object may be gigabytes on one line, so the text is cut at the
-    separator between two entries and every task parses its own share. Quotes
-    inside a string are escaped in JSON, so the separator cannot occur there.
+    The object may be gigabytes on one line, so the text is cut at the separator between two entries and every task parses
+    its own share. Each piece must hold exactly one entry. A string that ends in an escaped quote and a comma looks like a
+    separator and leaves two pieces that do not parse; such a file is read once more as one text per file. What is no
+    object of strings even then raises a ``ValueError``: no entry is lost without a word.
     """
-    piece = F.regexp_replace(F.trim("value"), r'^\{\s*"?|"?\s*\}\s*$', "")
-    return (
-        spark.read.option("lineSep", separator).text(path)
-        .select(F.from_json(F.concat(F.lit('{"'), piece, F.lit('"}')), "map<string,string>").alias("m"))
-        .select(F.explode("m").alias(key, value))
-    )
+    # What follows the commas tells the form; most of them stand between entries.
+    after = [r[0] for r in spark.read.option("lineSep", ",").text(path).head(200)][1:]
+    forms = {"\n": r"\s*\n\s*\"", '","': '"', '", "': ' "'}
+    separator = max(forms, key=lambda f: sum(bool(re.match(forms[f], piece)) for piece in after))
+    if separator == "\n":
+        line = F.regexp_replace(F.regexp_replace("value", r"^\s*\{?\s*|\s+$", ""), r",$|\s*\}$", "")
+        body = F.when(line != "", F.concat(F.lit("{"), line, F.lit("}")))
+    else:
+        # Only the object's own braces go; blanks at the ends of a string are part of it.
+        entry = F.regexp_replace(F.regexp_replace("value", r'^\s*\{\s*"', ""), r'(?<!\\)"\s*\}\s*$', "")
+        body = F.when(~entry.rlike(r"^\s*(\{\s*\})?\s*$"), F.concat(F.lit('{"'), entry, F.lit('"}')))
+    pieces = spark.read.option("lineSep", separator).text(path).select(body.alias("piece")).where("piece IS NOT NULL")
+    # An entry has four quotes that are not escaped; more of them would be text that the parser leaves out.
+    bare = F.regexp_replace("piece", r"\\.", "")
+    quotes = F.length(bare) - F.length(F.translate(bare, '"', ""))
+    parsed = stage(pieces.select(F.from_json("piece", "map<string,string>").alias("m"), quotes.alias("quotes")), "key-dictionary")
+    if parsed.where("m IS NULL OR size(m) <> 1 OR quotes <> 4").isEmpty():
+        return parsed.select(F.explode("m").alias(key, value))
+    whole = spark.read.option("wholetext", True).text(path).where(F.trim("value") != "")
+    whole = whole.withColumnRenamed("value", "piece")
+    parsed = stage(whole.select(F.from_json("piece", "map<string,string>").alias("m"), quotes.alias("quotes")), "key-dictionary")
+    if not parsed.where("m IS NULL OR quotes <> 4 * size(m)").isEmpty():
+        raise ValueError(f"{path} holds something else than one JSON object of strings per file")
+    return parsed.select(F.explode("m").alias(key, value))
 
 
 def dictionary_values(dictionary: DataFrame, value: str = "category") -> DataFrame:

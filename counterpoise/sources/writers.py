@@ -63,5 +63,5 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_with_metric(df: DataFrame, metric: DataFrame, key: str, path: str) -> None:
-    """Source columns with a per-row metric next to them, matched by key, not by position."""
-    write_parquet(df.join(metric, key), path)
+    """Source columns with a per-row metric next to them, matched by key; rows without a metric stay, with null."""
+    write_parquet(df.join(metric, key, "left"), path)

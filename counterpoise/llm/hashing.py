@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, starts
 
 
+def row_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
+    """The column in stretches of rows with about ``limit`` bytes of text, so that working memory does not follow the batch."""
+    _, offsets = text_buffers(column)
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield column.slice(at, stop - at)
+        at = stop
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word in order, the row offsets into them, and each word's place and length in bytes."""
     parts, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.hashing import mix, shingle_hashes, text_buffers, word_hashes
+from counterpoise.llm.hashing import mix, row_slices, shingle_hashes, text_buffers, word_hashes
 from counterpoise.llm.linking import by_piece, components, in_tiles, spanning_links, whole_runs
 from counterpoise.session import stage
 
@@ -93,7 +93,7 @@ def near_duplicates(
 
     @F.arrow_udf(_DESCRIBED)
     def described(column: pa.Array) -> pa.Array:
-        rows = list(_described(column, bins, width))
+        rows = [row for part in row_slices(column) for row in _described(part, bins, width)]
         kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "n", "near", "far"])
 
@@ -143,10 +143,12 @@ def _candidate_links(first: DataFrame, rows_per_band: int, bands: int, least: in
 def _exact_links(docs: DataFrame, key: str, text: str, candidates: DataFrame, percent: int, width: int, tile_shingles: int) -> DataFrame:
     @F.arrow_udf(T.BinaryType())
     def sets(column: pa.Array) -> pa.Array:
-        data, offsets = text_buffers(column)
-        words, at, _, _ = word_hashes(data, offsets)
-        shingles, ends = shingle_hashes(words, at, width)
-        return pa.array([shingles[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        out = []
+        for part in row_slices(column):
+            words, at, _, _ = word_hashes(*text_buffers(part))
+            shingles, ends = shingle_hashes(words, at, width)
+            out += [shingles[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        return pa.array(out, pa.binary())
 
     whole = docs.select(F.col(key).alias("node"), F.col(text).alias("t")).join(candidates.select("node", F.col("component").alias("class"), "n"), "node")
     rows = in_tiles(candidates.select("node", F.col("component").alias("class"), "n"), ["class"], F.col("node"), F.col("n"), tile_shingles)
@@ -155,10 +157,10 @@ def _exact_links(docs: DataFrame, key: str, text: str, candidates: DataFrame, pe
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_runs(batches, ["class", "lo", "hi"]):
-            ids, bodies = table["node"].to_numpy(), table["s"].to_pylist()
+            ids, bodies = table["node"].to_numpy(), table["s"].combine_chunks()
             a, b = [], []
             for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
-                own = [np.frombuffer(x, dtype=np.uint64) for x in bodies[start:end]]
+                own = [np.frombuffer(bodies[r].as_buffer(), dtype=np.uint64) for r in range(start, end)]
                 for i, j in _linked_sets(own, percent):
                     a.append(int(ids[start + i]))
                     b.append(int(ids[start + j]))

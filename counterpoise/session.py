@@ -66,18 +66,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-
-
-# Spark's default size of one scan split.
-_SPLIT_BYTES = 128 << 20
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a table of less than one scan split to all cores before work that is heavy per row.
-
-    A small file is often a single row group, which one task reads alone.
-    Larger tables have as many splits as they need and are left as they are.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < _SPLIT_BYTES else df

@@ -56,12 +56,16 @@ def read_key_dictionary(spark: SparkSession, path: str, key: str = "key", value:
         # Only the object's own braces go; blanks at the ends of a string are part of it.
         entry = F.regexp_replace(F.regexp_replace("value", r'^\s*\{\s*"', ""), r'(?<!\\)"\s*\}\s*$', "")
         body = F.when(~entry.rlike(r"^\s*(\{\s*\})?\s*$"), F.concat(F.lit('{"'), entry, F.lit('"}')))
-    pieces = spark.read.option("lineSep", separator).text(path).select(body.alias("piece")).where("piece IS NOT NULL")
+    pieces = spark.read.option("lineSep", separator).text(path)
+    # A file that does not end in the closing brace is cut off.
+    pieces = pieces.select(body.alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("value").rlike(r"\}\s*$").alias("closed"))
     # An entry has four quotes that are not escaped; more of them would be text that the parser leaves out.
     bare = F.regexp_replace("piece", r"\\.", "")
     quotes = F.length(bare) - F.length(F.translate(bare, '"', ""))
-    parsed = stage(pieces.select(F.from_json("piece", "map<string,string>").alias("m"), quotes.alias("quotes")), "key-dictionary")
-    if parsed.where("m IS NULL OR size(m) <> 1 OR quotes <> 4").isEmpty():
+    m = F.from_json("piece", "map<string,string>").alias("m")
+    parsed = stage(pieces.select(m, quotes.alias("quotes"), F.col("piece").isNotNull().alias("entry"), "file", "closed"), "key-dictionary")
+    whole_files = parsed.groupBy("file").agg(F.bool_or("closed").alias("closed")).where("NOT closed").isEmpty()
+    if whole_files and parsed.where("entry AND (m IS NULL OR size(m) <> 1 OR quotes <> 4)").isEmpty():
         return parsed.select(F.explode("m").alias(key, value))
     whole = spark.read.option("wholetext", True).text(path).where(F.trim("value") != "")
     whole = whole.withColumnRenamed("value", "piece")

@@ -56,3 +56,10 @@ def test_merge_and_defaults(spark):
     units = spark.createDataFrame([(1, 9.0), (4, 8.0)], "unit_id int, ipw double")
     out = lookup.with_weights(units, merged, "unit_id", {"a": 0.0, "b": "ipw"})
     assert sorted((r["unit_id"], r["a"], r["b"]) for r in out.collect()) == [(1, 1.0, 9.0), (4, 0.0, 8.0)]
+
+
+def test_a_key_twice_in_one_weight_table_fails(spark):
+    once = spark.createDataFrame([(1, 0.5), (2, 0.25)], "unit_id long, w_a double")
+    twice = spark.createDataFrame([(1, 0.5), (1, 0.75)], "unit_id long, w_b double")
+    with pytest.raises(Exception, match="unit_id comes twice"):
+        lookup.merge_weight_tables([once, twice], "unit_id").collect()

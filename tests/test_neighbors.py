@@ -79,6 +79,32 @@ def test_approximate_search(spark):
     assert nb.recall_at_k(every, exact).first()["recall"] == 1.0
 
 
+@pytest.mark.parametrize("shift", [1e7, 1e8, 1.7e9])
+def test_cells_stay_exact_far_from_the_origin(spark, shift):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(900, 2)) * 64) / 64 + shift
+    rows = [(i, "a", [float(v) for v in r], bool(i % 2)) for i, r in enumerate(x)]
+    q = spark.createDataFrame(rows, "unit_id long, block string, v array<double>, t boolean")
+    got = edges(nb.knn_join(q, q.filter("t"), 5, block="block", features="v", **SMALL_CELLS))
+    assert all([j for _, j in got[i]] == [j for _, j in near] for i, near in brute(rows, 5).items())
+
+
+def test_one_probe_gives_k_neighbours_in_blocks_of_any_size(spark):
+    q, c, rows = frames(spark, np.random.default_rng(12), 340)
+    for k in (3, 40):
+        counts = {r["query_id"]: r["n"] for r in nb.knn_join(q, c, k, block="block", features="v", probes=1).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+        assert all(counts.get(i, 0) == len(near) for i, near in brute(rows, k).items())
+
+
+def test_blocks_have_more_cells_than_probes(spark):
+    _, c, _ = frames(spark, np.random.default_rng(13), 4_000)
+    c = c.select("block", F.col("unit_id").alias("match_id"), "v")
+    big = c.groupBy("block").agg(F.count("*").alias("n"))
+    cells = nb._Cells.build(c, big, True, nb.CELL_ROWS, 1, 42)
+    sizes = {r["block"]: r["n"] for r in big.collect()}
+    assert all(len(points) > 10 for block, (points, _, _) in cells.model.value.items()) and set(cells.model.value) == set(sizes)
+
+
 def test_carried_columns_and_reverse_sums(spark):
     q, c, _ = frames(spark, np.random.default_rng(5), 300)
     out = nb.knn_join(q.withColumn("w", F.col("unit_id") * 2.0), c, 3, block="block", features="v", carry=["w"], **SMALL_CELLS)

@@ -21,6 +21,29 @@ def test_key_dictionary_is_read_in_pieces(spark, tmp_path):
     assert [r[0] for r in readers.dictionary_values(frame).collect()] == sorted(set(entries.values()))
 
 
+@pytest.mark.parametrize("form", [{"separators": (",", ":")}, {"separators": (", ", ": ")}, {"indent": 2}, {"indent": 0}])
+def test_key_dictionary_keeps_every_entry(spark, tmp_path, form):
+    hard = ['ends in ", ', 'a","b', '", "', "back\\", "{ }", '{"x": 1}', " blanks ", "\t", ",", "é☃", ""]
+    entries = {f"{i} {x}": hard[(i * 7) % len(hard)] for i, x in enumerate(hard * 3)}
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(entries, **form))
+    assert {r["key"]: r["category"] for r in readers.read_key_dictionary(spark, str(path)).collect()} == entries
+
+
+@pytest.mark.parametrize("text", ['{"a": "b", "c": 1 2}', '{"a": "b"', '{"a": "b"} {"c": "d"}'])
+def test_key_dictionary_names_what_it_cannot_read(spark, tmp_path, text):
+    path = tmp_path / "d.json"
+    path.write_text(text)
+    with pytest.raises(ValueError, match="d.json"):
+        readers.read_key_dictionary(spark, str(path)).collect()
+
+
+def test_rows_without_a_metric_are_written(spark, tmp_path):
+    df = spark.range(3).withColumn("text", F.lit("x"))
+    writers.write_with_metric(df, df.where("id < 2").select("id", F.lit(1.0).alias("m")), "id", str(tmp_path / "o"))
+    assert sorted((r["id"], r["m"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(0, 1.0), (1, 1.0), (2, None)]
+
+
 def test_typed_scan_turns_bad_fields_into_null(spark, tmp_path):
     good = {"rating": 5.0, "title": "t", "text": "x", "images": [{"a": "b"}], "parent_asin": "p", "user_id": "u", "timestamp": 1, "verified_purchase": True}
     bad = dict(good, rating="many", timestamp="soon")

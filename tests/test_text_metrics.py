@@ -39,7 +39,8 @@ def test_bigrams(docs):
 def test_uniform_model_has_perplexity_of_its_size(spark, docs):
     model = spark.createDataFrame([(t, 1, 0.25, 0.25) for t in "abcz"], "token string, n int, p double, p_unknown double")
     out = {r["unit_id"]: r for r in text.document_perplexity(docs, model).collect()}
-    assert set(out) == {1, 2, 5} and all(r["perplexity"] == pytest.approx(4) for r in out.values())
+    assert all(out[i]["perplexity"] == pytest.approx(4) for i in (1, 2, 5))
+    assert all((out[i]["tokens"], out[i]["perplexity"]) == (0, None) for i in (3, 4))
     assert out[5]["tokens"] == 300
 
 
@@ -104,3 +105,12 @@ def test_weighted_loss(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "w double, l double")
     assert text.weighted_loss(df, "l", "w").first()[0] == pytest.approx(14 / 4)
     assert math.isfinite(text.weighted_loss(df, "l", "w").first()[0])
+
+
+def test_documents_without_words_keep_their_row(spark):
+    docs = spark.createDataFrame([(1, "a b", 1.0), (2, "", None), (3, None, 2.0), (4, "c", None)], "unit_id long, text string, w double")
+    model = text.weighted_unigrams(docs, "w")
+    out = {r["unit_id"]: (r["tokens"], r["perplexity"]) for r in text.document_perplexity(docs, model).collect()}
+    assert set(out) == {1, 2, 3, 4} and out[2] == out[3] == (0, None) and out[4][0] == 1
+    # A null weight counts as 0, and the row's words stay known.
+    assert {r["token"]: r["c"] for r in model.collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}

@@ -75,6 +75,20 @@ def stabilized_many(
     return twice.drop("_target", *[f"_a_{w}" for w in specs], *[f"_b_{w}" for w in specs])
 
 
+def truncation_report(
+    df: DataFrame, specs: dict[str, str], treatment: str = "s", fold: str = "fold", truncation: float = TRUNCATION
+) -> DataFrame:
+    """How many treated rows ``stabilized_many`` cuts at the truncation, and their share: ``weight, treated, cut, share``."""
+    is_treated = F.col(treatment) == 1
+    raw = {w: F.when(is_treated, F.greatest(F.coalesce(F.col(f), F.lit(1.0)), F.lit(1.0))) for w, f in specs.items()}
+    n_over_n1 = F.count(F.lit(1)) / F.count_if(is_treated)
+    scaled = df.join(_fold_constants(df, fold, *[(n_over_n1 / F.avg(raw[w])).alias(f"_a_{w}") for w in specs]), fold)
+    cuts = {w: F.count_if(raw[w] * F.col(f"_a_{w}") > truncation) for w in specs}
+    one = scaled.agg(F.count_if(is_treated).alias("treated"), *[c.alias(w) for w, c in cuts.items()])
+    rows = [F.struct(F.lit(w).alias("weight"), F.col(w).alias("cut"), F.try_divide(F.col(w), F.col("treated")).alias("share")) for w in specs]
+    return one.select("treated", F.inline(F.array(*rows))).select("weight", "treated", "cut", "share")
+
+
 def self_normalized(
     df: DataFrame, f: str, treatment: str = "s", fold: str = "fold", out: str = "ipw", factor: Column | None = None
 ) -> DataFrame:

@@ -14,7 +14,8 @@ from counterpoise.plans.fixtures import (
     weighted_units,
 )
 from counterpoise.plans.registry import query, rounded
-from counterpoise.session import stage
+from counterpoise.session import scratch_path, stage
+from counterpoise.sources import writers
 
 # Neighbours listed by the edge queries, and those behind each weight.
 K, K_WEIGHTS = 20, 200
@@ -269,6 +270,26 @@ def weight_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: rounded(c) for c in ("mean", "mean_positive", "std", "max", "nonzero_share")})
 
 
+@query(f"WITH {WEIGHTED_SQL}, y AS (SELECT *, r0*target/avg(r0) OVER (PARTITION BY fold) AS a, w0*target/avg(w0) OVER (PARTITION BY fold) AS b FROM clipped) " + " UNION ALL ".join(
+    f"SELECT '{w}' AS weight, count(*) AS treated, count(*) FILTER ({c}>3.2) AS cut, round(count(*) FILTER ({c}>3.2)/count(*)::DOUBLE,6) AS share FROM y WHERE s=1"
+    for w, c in (("ipw_right", "a"), ("ipw_wrong", "b"))))
+def truncation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """With a low truncation, so that some weights are cut."""
+    specs = {"ipw_right": "f_right", "ipw_wrong": "f_wrong"}
+    return ipw.truncation_report(propensity_units(spark, sf), specs, truncation=3.2).withColumn("share", rounded("share"))
+
+
+@query(f"WITH {UNITS_SQL} SELECT count(*) AS units, true AS equal FROM units")
+def saved_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A propensity model scores the same rows alike after it is saved and loaded."""
+    df = _model_units(spark, sf)
+    model = propensity.fit_logistic(df, _spec(df)["right"])
+    path = scratch_path(spark, "model")
+    writers.save_model(model, path)
+    both = propensity.score(writers.load_model(path), propensity.score(model, df), "again")
+    return both.agg(F.count(F.lit(1)).alias("units"), F.bool_and(F.col("p") == F.col("again")).alias("equal"))
+
+
 @query(f"WITH {WEIGHTED_SQL}, g AS (SELECT CAST(unnest([1,2,3,4,5]) AS INT) AS rating) " + " UNION ALL ".join(
     f"SELECT '{n}' AS weight, rating, round((SELECT coalesce(sum({w}),0) FROM weighted u WHERE u.rating=g.rating)/(SELECT sum({w}) FROM weighted),6) AS p FROM g"
     for n, w in (("naive", "s"), ("ipw_right", "ipw_right"), ("ipw_wrong", "ipw_wrong"))))

@@ -16,7 +16,7 @@ from counterpoise.operators.splits import assign_split
 from counterpoise.plans.fixtures import DOCS_SQL, table, u_sql, weighted_documents, words_sql
 from counterpoise.plans.registry import query, rounded
 from counterpoise.session import scratch_path, stage
-from counterpoise.sources.readers import PRODUCT_SCHEMA, REVIEW_SCHEMA, dictionary_values, read_json_lines
+from counterpoise.sources.readers import PRODUCT_SCHEMA, REVIEW_SCHEMA, dictionary_values, read_json_by_file, read_json_lines
 
 # Fixed columns of the study.
 BASELINE = ["title_length", "description_length", "image_count", "video_count", "details_length"]
@@ -164,6 +164,23 @@ def review_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("verified_purchase", "text")
 
 
+@query("""SELECT d.doc_id AS unit_id, r_name AS category, CAST(CASE WHEN n_regionkey=1 THEN 0 WHEN lang='en' THEN length(n_name) WHEN lang='fr' THEN length(n_name)+3 ELSE 0 END AS INT) AS title_length
+FROM documents d JOIN nation ON source='src'||n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name<>'AFRICA'""")
+def review_features_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of category files: a product that stands in two of them joins the reviews of its own file only, and never fans out."""
+    reviews, products, dictionary = _raw(spark, sf)
+    languages = table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "lang")
+    paths = [scratch_path(spark, "file-reviews"), scratch_path(spark, "file-products")]
+    reviews.join(languages, "unit_id").drop("unit_id").write.partitionBy("lang").json(paths[0])
+    renamed = products.withColumn("title", F.concat("title", F.lit(" fr")))
+    products.withColumn("lang", F.lit("en")).unionByName(renamed.withColumn("lang", F.lit("fr"))).write.partitionBy("lang").json(paths[1])
+    folder = {"folder_pattern": "lang=([^/]+)/"}
+    back = read_json_by_file(spark, f"{paths[0]}/lang=*", REVIEW_SCHEMA, **folder).withColumn("unit_id", F.col("user_id").cast("bigint"))
+    by_file = read_json_by_file(spark, f"{paths[1]}/lang=*", PRODUCT_SCHEMA, **folder)
+    out = review_features(back, by_file, dictionary, keys=("file_category", "parent_asin"))
+    return out.select("unit_id", "category", "title_length")
+
+
 @query()
 def review_study(spark: SparkSession, sf: str) -> DataFrame:
     """Raw files to training rows in one go; reported as the summary of all weights."""

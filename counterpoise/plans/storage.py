@@ -29,9 +29,8 @@ def json_by_file(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "customer").select("c_mktsegment", "c_custkey", "c_acctbal").withColumn(
         "seg", F.col("c_mktsegment")
     ).write.partitionBy("seg").json(root)
-    back = spark.read.schema("c_custkey bigint, c_acctbal double").json(f"{root}/seg=*")
-    named = back.withColumn("file_category", F.regexp_extract(F.col("_metadata.file_path"), "seg=([^/]+)/", 1))
-    return named.select("file_category", "c_custkey", "c_acctbal")
+    back = readers.read_json_by_file(spark, f"{root}/seg=*", "c_custkey bigint, c_acctbal double", folder_pattern="seg=([^/]+)/")
+    return back.select("file_category", "c_custkey", "c_acctbal")
 
 
 _HARD = "o_orderpriority||CASE o_orderkey%4 WHEN 0 THEN ', ' WHEN 1 THEN '\", ' WHEN 2 THEN ' ' ELSE '' END||'\"'||o_orderstatus||'\"'"
@@ -119,3 +118,15 @@ def metric_detail(spark: SparkSession, sf: str) -> DataFrame:
     metric = table(spark, sf, "documents").select("doc_id", (F.length("text") * 2).cast("bigint").alias("metric"))
     writers.write_with_metric(docs, metric, "doc_id", path)
     return readers.read_parquet(spark, path)
+
+
+@query("SELECT lang AS weight_column, count(*) AS samples, sum(length(text))::BIGINT AS characters FROM documents GROUP BY lang")
+def samples_indented(spark: SparkSession, sf: str) -> DataFrame:
+    """One indented document per file."""
+    path = scratch_path(spark, "samples-indented")
+    # A test document holds all samples of its language, as the generated files do.
+    docs = table(spark, sf, "documents").groupBy(F.col("lang").alias("weight_column")).agg(F.collect_list("text").alias("samples"))
+    body = F.to_json(F.struct("weight_column", "samples"), {"pretty": "true"})
+    docs.select(F.col("weight_column").alias("name"), body.alias("value")).write.partitionBy("name").text(path)
+    back = readers.read_generated_samples(spark, f"{path}/name=*")
+    return back.groupBy("weight_column").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.length("text")).alias("characters"))

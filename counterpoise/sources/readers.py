@@ -29,12 +29,13 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.Struct
 
 def read_json_by_file(
     spark: SparkSession, path: str, schema: T.StructType | str, name_column: str = "file_category",
-    name_pattern: str = r"^(?:meta_)?(.*?)\.jsonl?(?:\..+)?$",
+    name_pattern: str = r"^(?:meta_)?(.*?)\.jsonl?(?:\..+)?$", folder_pattern: str | None = None,
 ) -> DataFrame:
-    """One scan over a whole directory or glob; the category comes from each file's name."""
+    """One scan over a whole directory or glob; the category comes from each file's name, or from its folder's."""
     df = spark.read.schema(schema).json(path)
-    # Only file-name metadata is read, so column pruning on the data still applies.
-    return df.withColumn(name_column, F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1))
+    # Only file metadata is read, so column pruning on the data still applies.
+    name = F.regexp_extract(F.col("_metadata.file_path"), folder_pattern, 1) if folder_pattern else F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1)
+    return df.withColumn(name_column, name)
 
 
 def read_key_dictionary(spark: SparkSession, path: str, key: str = "key", value: str = "category") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,50 +13,56 @@ from counterpoise.functions.hashing import salt
 from counterpoise.session import stage
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01) -> DataFrame:
-    """Keys holding more than ``share`` of the rows; there are at most ``1 / share`` of them."""
-    cut = df.count() * share
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cut).select(*keys)
+# Places that left rows without a key are spread over.
+_NULL_SALTS = 65_536
+# Rows of one key that a single task takes.
+ROWS_PER_TASK = 1_000_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than one task is to take, and the number of tasks their rows need, as ``_salts``."""
+    counts = df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
+    return counts.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str, how: str = "left",
-    salts: int = 64, share: float = 0.01,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str, how: str = "left", rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join in which the rows of a hot left key are spread over ``salts`` tasks.
+    """Join in which the rows of a hot left key are spread over as many tasks as they need.
 
-    Only hot keys are salted and only their few right rows are replicated, so
-    the result equals the plain join. ``how`` is ``inner`` or ``left``.
+    Only hot keys are salted and only their right rows are replicated, so the
+    result equals the plain join. Left rows with a null key match nothing and
+    are spread like rows of many keys. ``how`` is ``inner`` or ``left``.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left")
     keys = list(keys)
-    # At most 1/share rows, so broadcasting the hot-key list is bounded by construction.
-    hot = stage(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)), "hot-keys")
-    spread = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt(row_id, salts)).otherwise(F.lit(0))
-    ).drop("_hot")
+    # At most rows / rows_per_task keys; the written size decides whether they are broadcast.
+    hot = stage(hot_keys(left, keys, rows_per_task), "hot-keys")
+    no_key = functools.reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    one = F.lit(0)
+    spread = left.join(hot, keys, "left").withColumn(
+        "_salt",
+        F.when(no_key, salt(row_id, _NULL_SALTS)).when(F.col("_salts").isNotNull(), salt(row_id, F.col("_salts"))).otherwise(one),
+    ).drop("_salts")
     copies = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
+        right.join(hot, keys, "left")
+        .withColumn("_salt", F.explode(F.when(F.col("_salts").isNotNull(), F.sequence(one, F.col("_salts") - 1)).otherwise(F.array(one))))
+        .drop("_salts")
     )
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup_category(
     facts: DataFrame, dictionary: DataFrame, key: str, row_id: str, category: str = "category",
-    default: str = UNKNOWN, salts: int = 64,
+    default: str = UNKNOWN, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Dictionary lookup with a default for keys it does not hold.
 
     The dictionary may have tens of millions of keys: no broadcast is forced,
     the planner broadcasts it only under its size threshold.
     """
-    joined = salted_join(facts, dictionary.select(key, category), [key], row_id, "left", salts)
+    joined = salted_join(facts, dictionary.select(key, category), [key], row_id, "left", rows_per_task)
     return joined.withColumn(category, F.coalesce(F.col(category), F.lit(default)))
 
 

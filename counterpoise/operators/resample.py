@@ -35,13 +35,16 @@ def sanitized(df: DataFrame, weight: str, out: str = "w") -> DataFrame:
     return clean if total else clean.withColumn(out, F.lit(1.0))
 
 
-def cumulative_intervals(df: DataFrame, weight: str, unit_id: str = "unit_id", seed: int = 42) -> DataFrame:
+def cumulative_intervals(
+    df: DataFrame, weight: str, unit_id: str = "unit_id", seed: int = 42, points: DataFrame | None = None, point: str = "u"
+) -> DataFrame:
     """Half-open intervals ``[lo, hi)`` of [0, 1) whose lengths are proportional to the weights.
 
     Intervals follow the seeded random order of the units. Rows of one range
     of that order are summed up in one task, ranges are even by construction,
     and their offsets come from a running total over at most ``_MAX_BUCKETS``
-    sums. Rows of weight 0 get no interval.
+    sums. Rows of weight 0 get no interval. With ``points`` only ranges that
+    hold one of them are ordered and shuffled; the others have no interval.
     """
     rows = df.filter(F.col(weight) > 0)
     n, mass = rows.agg(F.count(F.lit(1)), F.sum(weight)).first()
@@ -54,9 +57,17 @@ def cumulative_intervals(df: DataFrame, weight: str, unit_id: str = "unit_id", s
     sums = stage(keyed.groupBy("_b").agg(F.sum("_w").alias("_sum")), "bucket-sums")
     before = W.partitionBy().orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
-        "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("decimal(38,12)")).alias("_offset")
+        "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("decimal(38,12)")).alias("_offset"), "_sum"
     )
     total = sums.agg(F.sum("_sum").cast("double")).first()[0] or 1.0
+    if points is not None:
+        # One row per bucket, never more than _MAX_BUCKETS; a bucket's ends are its first and last interval's ends.
+        low, high = F.col("_offset").cast("double") / F.lit(total), (F.col("_offset") + F.col("_sum")).cast("double") / F.lit(total)
+        ends = offsets.select("_b", low.alias("_low"), high.alias("_high"))
+        hit = interval_join(points, ends, point, "_low", "_high", buckets).select("_b").distinct()
+        offsets = offsets.join(stage(hit, "hit-buckets"), "_b", "left_semi")
+        keyed = keyed.join(F.broadcast(offsets.select("_b")), "_b", "left_semi")
+    offsets = offsets.drop("_sum")
     inside = W.partitionBy("_b").orderBy("_u", unit_id).rowsBetween(W.unboundedPreceding, W.currentRow)
     running = keyed.withColumn("_upto", F.sum("_w").over(inside))
     # One offset row per bucket, never more than _MAX_BUCKETS.
@@ -93,8 +104,8 @@ def weighted_resample(
 ) -> DataFrame:
     """n independent draws with replacement, probability proportional to the usable weight."""
     clean = sanitized(df, weight, "_weight")
-    intervals = cumulative_intervals(clean, "_weight", unit_id, seed)
     draws = uniform_draws(df.sparkSession, n, seed)
+    intervals = cumulative_intervals(clean, "_weight", unit_id, seed, draws)
     return interval_join(draws, intervals, "u", "lo", "hi", max(n, 1)).drop("u", "lo", "hi", "_weight")
 
 

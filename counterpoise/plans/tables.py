@@ -70,7 +70,7 @@ def lookup_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("category"), F.col("c_acctbal").alias("x2")
     )
-    return lookup.salted_join(events, customer, ["user_id"], "unit_id", "left", salts=16, share=0.001).select(
+    return lookup.salted_join(events, customer, ["user_id"], "unit_id", "left", rows_per_task=20).select(
         "unit_id", "user_id", "category", "x2"
     )
 

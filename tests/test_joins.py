@@ -15,18 +15,32 @@ def skewed(spark):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_join_equals_plain_join(spark, skewed, how):
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k5", 3), ("k6", 4), ("absent", 5)], "key string, v int")
-    got = lookup.salted_join(skewed, right, ["key"], "unit_id", how, salts=7)
+    got = lookup.salted_join(skewed, right, ["key"], "unit_id", how, rows_per_task=400)
     want = skewed.join(right, ["key"], how)
     assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
 
 
 def test_hot_rows_are_spread_over_salts(spark, skewed):
     right = spark.createDataFrame([("hot", 1)], "key string, v int")
-    assert [r["key"] for r in lookup.hot_keys(skewed, ["key"]).collect()] == ["hot"]
-    joined = lookup.salted_join(skewed, right, ["key"], "unit_id", "inner", salts=7)
+    assert [r["key"] for r in lookup.hot_keys(skewed, ["key"], 400).collect()] == ["hot"]
+    joined = lookup.salted_join(skewed, right, ["key"], "unit_id", "inner", rows_per_task=400)
     assert joined.count() == 3_000
 
 
+def test_salts_follow_the_rows_and_null_keys_are_spread(spark):
+    df = spark.range(20_000).select(
+        F.col("id").alias("unit_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 111 == 1, "warm").when(F.col("id") % 3 == 1, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"),
+    )
+    hot = {r["key"]: r["_salts"] for r in lookup.hot_keys(df, ["key"], 100).collect()}
+    # Under a hundredth of the rows and still hot; the number of tasks follows the rows.
+    assert hot == {"warm": 2, "hot": 65}
+    right = spark.createDataFrame([("hot", 1), ("warm", 2), ("warm", 3), (None, 4)], "key string, v int")
+    for how in ("left", "inner"):
+        got, want = lookup.salted_join(df, right, ["key"], "unit_id", how, rows_per_task=100), df.join(right, ["key"], how)
+        assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
 def test_lookup_default(spark, skewed):
     dictionary = spark.createDataFrame([("hot", "A")], "key string, category string")
     counts = {r["category"]: r["count"] for r in lookup.lookup_category(skewed, dictionary, "key", "unit_id").groupBy("category").count().collect()}

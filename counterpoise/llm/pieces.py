@@ -21,8 +21,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 # A literal blank sign of a text is no blank: it is kept apart and spelled in bytes.
 _LITERAL = 0x110000
-# Longest chunk taken in lockstep, and rows taken at a time.
-LOCKSTEP, _ROWS = 48, 20_000
+# Longest chunk taken in lockstep, and characters taken at a time: a lattice holds some 30 numbers for each.
+LOCKSTEP, _CHARACTERS = 48, 100_000
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -338,8 +338,9 @@ def by_length(chunks: list[str]) -> Iterator[tuple[list[int], np.ndarray | None]
             for place in places:
                 yield [place], None
             continue
-        for at in range(0, len(places), _ROWS):
-            part = places[at : at + _ROWS]
+        rows = _CHARACTERS // length
+        for at in range(0, len(places), rows):
+            part = places[at : at + rows]
             yield part, _codes([chunks[i] for i in part])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.hashing import lowered, text_buffers, word_hashes
+from counterpoise.llm.hashing import lowered, row_slices, text_buffers, word_hashes
 from counterpoise.llm.pieces import VOCABULARY, Vocabulary, expected_uses, load_vocabulary, log_sums
 from counterpoise.session import stage
 
@@ -51,15 +51,16 @@ def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch["t"])
-            hashes, at, places, lengths = word_hashes(data, offsets)
-            train = np.repeat(~batch["held"].to_numpy(zero_copy_only=False), np.diff(at))
-            _, once, which, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            learned = np.bincount(which[train], minlength=len(once))
-            for i in range(0, len(once), 100_000):
-                part = once[i : i + 100_000]
-                words = _words_at(data, places[part], lengths[part]).cast(pa.binary())
-                yield pa.record_batch({"word": words, "n": pa.array(n[i : i + 100_000].astype(np.int64)), "train": pa.array(learned[i : i + 100_000].astype(np.int64))})
+            learn, row = ~batch["held"].to_numpy(zero_copy_only=False), 0
+            for part in row_slices(batch["t"], 8 << 20):
+                data, offsets = text_buffers(part)
+                hashes, at, places, lengths = word_hashes(data, offsets)
+                train = np.repeat(learn[row : row + len(part)], np.diff(at))
+                row += len(part)
+                _, once, which, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                learned = np.bincount(which[train], minlength=len(once))
+                words = _words_at(data, places[once], lengths[once]).cast(pa.binary())
+                yield pa.record_batch({"word": words, "n": pa.array(n.astype(np.int64)), "train": pa.array(learned.astype(np.int64))})
 
     rows = docs.select(F.col(text).alias("t"), held_out(key).alias("held"))
     return rows.mapInArrow(counted, "word binary, n long, train long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("train").alias("train"))
@@ -159,7 +160,7 @@ def score_documents(
 
     @F.arrow_udf(_TEXT_ROW)
     def summed(column: pa.Array) -> pa.Array:
-        return _summed(column, shared.value)
+        return pa.concat_arrays([_summed(part, shared.value) for part in row_slices(column)] or [_summed(column, shared.value)])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), summed(F.col(text)).alias("s"))
     rows = stage(rows.select("row", "k", "s.*"), "lm-texts")

@@ -16,7 +16,8 @@ HEADLINE = [
     "feat_lengths", "onehot_category", "lookup_hot_keys", "split_assign", "cross_fold", "balance_table", "logit_shift",
     "ipw_stabilized", "block_standardize", "knn_exact", "gcomp_knn", "aipw_all", "aipw_subgroup", "cf_distribution",
     "weighted_resample", "vocab", "token_encode", "weighted_unigram_lm", "doc_perplexity", "wasserstein_rating",
-    "divergence_frontier", "covariance", "propensity_logistic", "knn_ivf", "json_roundtrip",
+    "divergence_frontier", "covariance", "propensity_logistic", "knn_ivf", "json_roundtrip", "knn_vectors", "evaluation_table",
+    "weighted_bigram_lm", "tune_propensity",
 ]
 
 

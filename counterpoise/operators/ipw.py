@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from counterpoise.functions.numeric import clipped
 from counterpoise.operators.lookup import attach_group_stats
+from counterpoise.session import stage
 
 TRUNCATION = 1000.0
 
 
 def _fold_constants(df: DataFrame, fold: str, *aggs: Column) -> DataFrame:
-    """One row per fold; folds are a fixed handful, so this may always be broadcast."""
-    return F.broadcast(df.groupBy(fold).agg(*aggs))
+    """One row per fold, written: a handful of folds passes the planner's size check for a broadcast, any number is right."""
+    return stage(df.groupBy(fold).agg(*aggs), "fold-constants")
 
 
 def inverse_propensity_by_stratum(

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from counterpoise.session import stage
+
 RATINGS = (1, 2, 3, 4, 5)
 
 
@@ -45,8 +47,10 @@ def column_summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage per value, ordered by value."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.withColumn("pct", F.col("rows") * 100.0 / F.lit(df.count())).orderBy(column)
+    counts = stage(df.groupBy(column).agg(F.count(F.lit(1)).alias("rows")), "value-counts")
+    # The total comes from the counts: the rows are read once.
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    return counts.withColumn("pct", F.try_divide(F.col("rows") * 100.0, F.lit(total))).orderBy(column)
 
 
 def rating_pmf(df: DataFrame, rating: str = "rating", by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:

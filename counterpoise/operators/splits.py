@@ -37,8 +37,9 @@ def assign_split(
 
 def split_report(df: DataFrame, split: str = "split") -> DataFrame:
     """Rows and share per split; the shares of all splits add up to 1."""
-    counts = df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.withColumn("share", F.col("rows") / F.lit(df.count()))
+    counts = stage(df.groupBy(split).agg(F.count(F.lit(1)).alias("rows")), "split-counts")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    return counts.withColumn("share", F.try_divide("rows", F.lit(total)))
 
 
 def random_fold(df: DataFrame, unit_id: str = "unit_id", seed: int = 42, out: str = "fold") -> DataFrame:

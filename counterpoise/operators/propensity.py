@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +22,8 @@ from counterpoise.functions.numeric import LOGIT_SHIFT, clipped, shifted_probabi
 LABEL = "_label"
 # Probabilities are kept off 0 before they are inverted.
 _P_MIN = 1e-6
+# Rows of one boosting task.
+_BOOSTING_ROWS = 100_000
 
 
 def specification(features: Sequence[str], indicators: Sequence[str]) -> dict[str, list[str]]:
@@ -67,7 +70,11 @@ def fit_boosted(
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
     stages = [VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"), gbt]
-    return Pipeline(stages=stages).fit(df.withColumn(LABEL, flag_label(flag)))
+    # Boosting runs a job per level of every tree: its tasks should hold enough rows to be worth starting.
+    wanted = list(dict.fromkeys([*features, flag, *([validation] if validation else [])]))
+    rows = df.select(*wanted)
+    rows = rows.repartition(max(1, math.ceil(rows.count() / _BOOSTING_ROWS)))
+    return Pipeline(stages=stages).fit(rows.withColumn(LABEL, flag_label(flag)))
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.hashing import text_buffers, word_hashes
+from counterpoise.llm.hashing import row_slices, text_buffers, word_hashes
 from counterpoise.session import stage
 
 FEATURES = (
@@ -42,6 +42,10 @@ def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def statistics(column: pa.Array) -> np.ndarray:
     """One row of transformed statistics per text, over the whole text."""
+    return np.concatenate([np.empty((0, len(FEATURES))), *[_slice_statistics(part) for part in row_slices(column)]])
+
+
+def _slice_statistics(column: pa.Array) -> np.ndarray:
     data, offsets = text_buffers(column)
     hashes, at, places, lengths = word_hashes(data, offsets)
     # Pseudo-counts keep the shares of very short texts from being all noise.
@@ -55,12 +59,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     for name, members in _CLASSES.items():
         table = np.zeros(256, dtype=np.uint8)
         table[list(members)] = 1
-        counts = np.zeros(len(offsets) - 1)
-        # Rows are summed a stretch at a time, so the working memory does not grow with the batch.
-        for i in range(0, len(counts), 256):
-            cut = offsets[i : i + 257]
-            counts[i : i + len(cut) - 1] = _row_sums(table[data[cut[0] : cut[-1]]], cut - cut[0])
-        share[name] = counts / size
+        share[name] = _row_sums(table[data[base : int(offsets[-1])]], offsets - base) / size
     same = np.zeros(len(hashes))
     if len(hashes) > 1:
         same[1:] = hashes[1:] == hashes[:-1]

@@ -227,6 +227,17 @@ def test_fuzzy_line_links_equal_brute_force(spark, frame):
     assert links and {r.k: r.first.k for r in fuzzy_lines.line_groups(docs).collect()} == want
 
 
+def test_short_lines_match_fuzzily(frame):
+    lines = [
+        "all rights reserved 2019", "all rights reserved 2018", "page 17 of 64", "page 27 of 64", "one two", "one twx",
+        "please read the terms of use of this site before you order any of the goods shown on these pages or in the shop today",
+        "please read the terms of use of this site before you order any of the wares shown on these pages or in the shop today",
+        "条款与条件适用于本网站的所有用户和访客", "条款与条件适用于本网站的所有用户和来客", "y" * 60 + "x" * 4000, "y" * 60 + "z" * 300 + "x" * 3700,
+    ]
+    first = {r.k: r.first.k for r in fuzzy_lines.line_groups(frame(lines)).collect()}
+    assert first == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10, 11: 10}
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 8)) * 2

@@ -238,6 +238,40 @@ def test_short_lines_match_fuzzily(frame):
     assert first == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10, 11: 10}
 
 
+def test_fuzzy_line_recall_at_the_threshold(frame):
+    """Pairs by edit similarity alone: as many letters are changed as a similarity of 0.9 (or 0.95) allows."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    vocabulary = [word(rng.randrange(2, 9)) for _ in range(4000)]
+
+    def words_changed(line, share):
+        words, left = line.split(), int(share * len(line))
+        for i in rng.sample(range(len(words)), len(words)):
+            if len(words[i]) <= left:
+                left -= len(words[i])
+                words[i] = word(len(words[i]))
+        return " ".join(words)
+
+    def letters_changed(line, share):
+        out = list(line)
+        for i in rng.sample([i for i, c in enumerate(line) if c != " "], int(share * len(line))):
+            out[i] = rng.choice(letters)
+        return "".join(out)
+
+    cases, lines = [], []
+    for n_words in (5, 12, 20, 32, 60, 150):
+        for edit, share, least in ((words_changed, 0.1, 0.95), (letters_changed, 0.05, 0.95), (letters_changed, 0.1, 0.9 if n_words <= 20 else 0.6)):
+            cases.append((n_words, edit.__name__, share, least))
+            for _ in range(80):
+                line = " ".join(rng.choices(vocabulary, k=n_words))
+                lines += [line, edit(line, share)]
+    first = {r.k: r.first.k for r in fuzzy_lines.line_groups(frame(lines)).collect()}
+    for c, (n_words, name, share, least) in enumerate(cases):
+        found = sum(first[i] == first[i + 1] for i in range(c * 160, c * 160 + 160, 2)) / 80
+        assert found >= least, (n_words, name, share, found)
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 8)) * 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.operators import reports, splits
@@ -33,6 +33,15 @@ def json_by_file(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("file_category", "c_custkey", "c_acctbal")
 
 
+# Rows of a written document, on average; their number follows the table.
+_ENTRIES, _SAMPLES = 20_000, 2_000
+
+
+def _parts(df: DataFrame, key: str, rows: int) -> Column:
+    """A hash part of the key, so many that each holds about ``rows`` rows."""
+    return F.pmod(F.xxhash64(key), F.lit(df.count() // rows + 1))
+
+
 _HARD = "o_orderpriority||CASE o_orderkey%4 WHEN 0 THEN ', ' WHEN 1 THEN '\", ' WHEN 2 THEN ' ' ELSE '' END||'\"'||o_orderstatus||'\"'"
 
 
@@ -42,8 +51,9 @@ def _write_dictionary(spark: SparkSession, sf: str, separator: str, hard: bool)
     ends = F.when(F.col("o_orderkey") % 4 == 0, ", ").when(F.col("o_orderkey") % 4 == 1, '", ').when(F.col("o_orderkey") % 4 == 2, " ").otherwise("")
     value = F.concat("o_orderpriority", ends if hard else F.lit(', "'), F.lit('"') if hard else F.lit(""), "o_orderstatus", F.lit('"'))
     entry = F.regexp_replace(F.to_json(F.create_map(F.col("o_orderkey").cast("string"), value)), r"^\{|\}$", "")
-    rows = table(spark, sf, "orders").select(F.pmod("o_orderkey", F.lit(3)).alias("part"), entry.alias("entry"))
-    # A test file is small: one group, one object.
+    part = _parts(table(spark, sf, "orders"), "o_orderkey", _ENTRIES)
+    rows = table(spark, sf, "orders").select(part.alias("part"), entry.alias("entry"))
+    # Every file holds one object of about _ENTRIES entries, at any size of the table.
     body = rows.groupBy("part").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("entry")), separator), F.lit("}")).alias("value"))
     body.write.partitionBy("part").text(path)
     return path
@@ -124,9 +134,10 @@ def metric_detail(spark: SparkSession, sf: str) -> DataFrame:
 def samples_indented(spark: SparkSession, sf: str) -> DataFrame:
     """One indented document per file."""
     path = scratch_path(spark, "samples-indented")
-    # A test document holds all samples of its language, as the generated files do.
-    docs = table(spark, sf, "documents").groupBy(F.col("lang").alias("weight_column")).agg(F.collect_list("text").alias("samples"))
+    docs = table(spark, sf, "documents")
+    # A document holds about _SAMPLES samples of one language, as bounded as the generated files.
+    docs = docs.groupBy(F.col("lang").alias("weight_column"), _parts(docs, "doc_id", _SAMPLES).alias("part")).agg(F.collect_list("text").alias("samples"))
     body = F.to_json(F.struct("weight_column", "samples"), {"pretty": "true"})
-    docs.select(F.col("weight_column").alias("name"), body.alias("value")).write.partitionBy("name").text(path)
-    back = readers.read_generated_samples(spark, f"{path}/name=*")
+    docs.select(F.col("weight_column").alias("name"), "part", body.alias("value")).write.partitionBy("name", "part").text(path)
+    back = readers.read_generated_samples(spark, f"{path}/name=*/part=*")
     return back.groupBy("weight_column").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.length("text")).alias("characters"))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from counterpoise.plans import storage
 from counterpoise.plans.reviews import review_features
 from counterpoise.sources import readers, writers
 
@@ -91,3 +92,20 @@ def test_review_features_from_raw_rows(spark):
     assert [r["unit_id"] for r in out] == [1, 1, 2]
     assert (out[1]["title_length"], out[1]["description_length"], out[1]["image_count"], out[1]["details_length"]) == (4, 3, 1, 3)
     assert out[2]["title_length"] == 0 and out[2]["category_books"] == 1 and out[2]["category_toys_and_games"] == 0
+
+
+def test_written_documents_stay_small(spark, tmp_path, monkeypatch):
+    """A large table becomes more documents, not larger ones."""
+    monkeypatch.setattr(storage, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(storage, "_ENTRIES", 1_000)
+    monkeypatch.setattr(storage, "_SAMPLES", 100)
+    orders = spark.range(10_000).select(F.col("id").alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("some text").alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert storage.key_dictionary(spark, str(tmp_path)).distinct().count() == 10_000
+    sizes = [len(json.loads(p.read_text())) for p in (tmp_path / "dictionary").glob("part=*/*.txt")]
+    assert sum(sizes) == 10_000 and len(sizes) >= 10 and max(sizes) < 1_500
+    assert storage.samples_indented(spark, str(tmp_path)).first()["samples"] == 2_000
+    sizes = [len(json.loads(p.read_text())["samples"]) for p in (tmp_path / "samples-indented").glob("name=*/part=*/*.txt")]
+    assert sum(sizes) == 2_000 and len(sizes) >= 20 and max(sizes) < 200

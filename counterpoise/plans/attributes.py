@@ -112,6 +112,6 @@ def attribute_nine_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def attribute_resample(spark: SparkSession, sf: str) -> DataFrame:
     weighted = attribute_weights(
-        _attributes(spark, sf), "fulfilled", "urgent", post=["late"], strata=["large", "urgent"], k=50, test_split=True
+        _attributes(spark, sf), "fulfilled", "urgent", post=["late"], strata=["large", "urgent"], test_split=True
     )
     return resample.draw_histogram(resampled_counterfactuals(stage(weighted, "attribute-weights")))

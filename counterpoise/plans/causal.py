@@ -446,13 +446,17 @@ def score_equations_hold(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT CAST(d AS INT) AS max_depth, CAST(t AS INT) AS trees FROM (SELECT unnest([2, 3]) AS d) CROSS JOIN (SELECT unnest([3, 5]) AS t)")
 def tune_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every combination of the grid is scored."""
-    return tune_propensity(spark, sf).where("auc between 0 and 1").select("max_depth", "trees")
+    return _tuned(spark, sf, depths=(2, 3), trees=(3, 5)).where("auc between 0 and 1").select("max_depth", "trees")
+
+
+def _tuned(spark: SparkSession, sf: str, **grid) -> DataFrame:
+    return propensity.tune_boosted(_model_units(spark, sf).filter("fold = 0"), MODEL_FEATURES, **grid)[1]
 
 
 @query()
 def tune_propensity(spark: SparkSession, sf: str) -> DataFrame:
-    df = _model_units(spark, sf)
-    return propensity.tune_boosted(df.filter("fold = 0"), MODEL_FEATURES, depths=(2, 3), trees=(3, 5))[1]
+    """The operator's own grid."""
+    return _tuned(spark, sf)
 
 
 def _probed(spark: SparkSession, sf: str, probes: int | None) -> DataFrame:

@@ -189,10 +189,9 @@ def review_study(spark: SparkSession, sf: str) -> DataFrame:
     # The study's shift suits flags that are nearly always set; these are set for a fifth of the rows.
     _, scored = scored_splits(features, indicators, shift=3.0)
     made = stage(starred_reviews(semi_synthetic_reviews(scored)), "starred")
-    weighted = stage(
-        review_weights(made, indicators, lambda half, names: propensity.fit_logistic(half, names, "s"), k=10), "review-weights"
-    )
-    rows = training_rows(weighted, size=2_000)
+    # Boosted propensities, neighbours and vocabulary as the operators have them.
+    weighted = stage(review_weights(made, indicators, lambda half, names: propensity.fit_boosted(half, names, "s")), "review-weights")
+    rows = training_rows(weighted)
     return reports.weight_summary(rows, ALL_WEIGHTS)
 
 

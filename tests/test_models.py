@@ -1,8 +1,11 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from counterpoise.operators import ipw, propensity
+from counterpoise.plans import attributes, causal, reviews
 from counterpoise.plans.fixtures import units
 from counterpoise.session import scratch_path, stage
 from counterpoise.sources.writers import load_model, save_model
@@ -77,3 +80,48 @@ def test_gram_equals_numpy(spark):
     frame = spark.createDataFrame([(r.tolist(), float(i % 3)) for i, r in enumerate(x)], "v array<double>, w double").repartition(5)
     got = propensity.dense(propensity.gram(frame, "v", "w"), 4)
     assert np.allclose(got, (x * (np.arange(100) % 3)[:, None]).T @ x)
+
+
+def test_studies_run_the_operators_own_size(spark, small, monkeypatch):
+    """Neighbours, vocabulary, propensities and grid are not cut down by the queries."""
+    seen = {}
+
+    def spy(module, name, stop):
+        real = getattr(module, name)
+
+        def called(*args, **kwargs):
+            bound = inspect.signature(real).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen[name] = bound.arguments
+            if stop:
+                raise InterruptedError(name)
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, called)
+
+    grid = {(r.max_depth, r.trees) for r in causal.tune_propensity(spark, small).collect()}
+    assert grid == {(d, t) for d in (3, 5) for t in (10, 20)}
+    spy(attributes, "attribute_weights", True)
+    with pytest.raises(InterruptedError):
+        attributes.attribute_resample(spark, small)
+    assert seen["attribute_weights"]["k"] == 200
+    spy(reviews, "training_rows", True)
+    monkeypatch.setattr(reviews, "_raw", lambda *_: (None, None, None))
+    monkeypatch.setattr(reviews, "review_features", lambda *_: spark.range(1).withColumn("unit_id", F.col("id")))
+    monkeypatch.setattr(reviews, "scored_splits", lambda df, *_, **__: (None, df))
+    monkeypatch.setattr(reviews, "semi_synthetic_reviews", lambda df: df)
+    monkeypatch.setattr(reviews, "starred_reviews", lambda df: df)
+    real = reviews.review_weights
+
+    def weights(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen["review_weights"] = bound.arguments
+        return args[0]
+
+    monkeypatch.setattr(reviews, "review_weights", weights)
+    monkeypatch.setattr(reviews.propensity, "fit_boosted", lambda *_, **__: "boosted")
+    with pytest.raises(InterruptedError):
+        reviews.review_study(spark, small)
+    assert seen["review_weights"]["k"] == 200 and seen["training_rows"]["size"] == 32_000
+    assert seen["review_weights"]["fit"](None, []) == "boosted"

@@ -48,8 +48,12 @@ MIX_TARGETS: dict[str, float | dict[str, float]] = {"source": 0.7, "lang": 0.8,
 MIX_RATE, MIX_SWEEPS = 0.7, 8
 
 
-def mix_dimensions() -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic_of("text")}
+# The query's SQL defines notices by a text's first 200 characters; the pipeline seeks them in the whole text.
+_NOTICE_CHARS = 200
+
+
+def mix_dimensions(notice_chars: int | None = None) -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic_of("text", notice_chars)}
 
 
 _TOPIC_SQL = """CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN position(' | ' IN text) > 0 THEN 'table'
@@ -87,9 +91,9 @@ mixed AS (SELECT u.*, least(CASE WHEN w.tokens > 0 THEN w.weight / w.tokens ELSE
 @query("op3_raked_mix", mix_sql() + "\nSELECT doc_id, source, lang, topic, tokens, round(chance, 6) AS chance, draw < chance AS kept FROM mixed")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its calibrated chance for a mix of sources, languages and forms, and whether it is drawn."""
-    mixed = raking.mix(table(spark, sf, "documents"), MIX_TARGETS, mix_dimensions(), rate=MIX_RATE, sweeps=MIX_SWEEPS)
+    mixed = raking.mix(table(spark, sf, "documents"), MIX_TARGETS, mix_dimensions(_NOTICE_CHARS), rate=MIX_RATE, sweeps=MIX_SWEEPS)
     return mixed.select(
-        "doc_id", "source", "lang", raking.topic_of("text").alias("topic"), F.col("mix_tokens").alias("tokens"),
+        "doc_id", "source", "lang", raking.topic_of("text", _NOTICE_CHARS).alias("topic"), F.col("mix_tokens").alias("tokens"),
         F.round("mix_chance", 6).alias("chance"), F.col("mix_kept").alias("kept"),
     )
 

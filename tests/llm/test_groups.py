@@ -118,6 +118,13 @@ def test_mix_edges(frame, odd):
     assert raking.mix(frame([]), {"source": 0.7}, {"source": F.col("source")}).count() == 0
 
 
+def test_mix_finds_notices_anywhere(frame):
+    """The pipeline's topics come from the whole text."""
+    late = "plain words " * 40 + "\nCopyright by the authors"
+    topics = frame([late, late.replace("Copyright", "Written")]).select("doc_id", queries.mix_dimensions()["topic"].alias("t")).collect()
+    assert {r.doc_id: r.t for r in topics} == {0: "notice", 1: "prose"}
+
+
 def shingles(text, width=5):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import binpack, bitslices, encoding, fuzzy_lines, lattice_hash, minhash, pii, quality, raking, subword_lm
+from counterpoise.llm import alignment, binpack, bitslices, encoding, fuzzy_lines, hard_negatives, lattice_hash, minhash, pii, quality, raking, ratio_rules, subword_lm
 from counterpoise.plans.fixtures import u_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,68 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
         F.col("k").alias("doc_id"), F.col("pos").alias("line"), F.col("first.k").alias("first_doc_id"), F.col("first.pos").alias("first_line"),
         (F.col("first") == F.col("exact")).alias("equal_to_first"), ((F.col("first.k") == F.col("k")) & (F.col("first.pos") == F.col("pos"))).alias("kept"),
     )
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers on every whole text, and how common the links are in the corpus."""
+    return alignment.alignment_digest(table(spark, sf, "documents"))
+
+
+_NEGATIVES_SQL = """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+  list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+pairs AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INT AS rank
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM pairs WHERE rank <= 5"""
+
+
+@query("op11_slot_hard_negatives", _NEGATIVES_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five best positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+_RULES_SQL = rf"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+words AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos
+  FROM (SELECT r, doc_id, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM docs)),
+hashed AS (SELECT *, ('0x' || substr(md5(word), 1, 7))::BIGINT AS h, lead(word) OVER o AS word2, lead(word, 2) OVER o AS word3 FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)),
+pairs AS (SELECT *, lead(h) OVER (PARTITION BY r ORDER BY pos) AS h2 FROM hashed),
+grams AS (SELECT r, doc_id, h % {ratio_rules.BUCKETS} AS bucket FROM pairs
+  UNION ALL SELECT r, doc_id, (h * 1000003 + h2) % 2147483647 % {ratio_rules.BUCKETS} FROM pairs WHERE h2 IS NOT NULL),
+counts AS (SELECT bucket, count(*) AS raw, count(*) FILTER (doc_id IN (FROM trusted)) AS trusted FROM grams GROUP BY bucket),
+ratios AS (SELECT bucket, ln((trusted + {ratio_rules.ALPHA}) / (sum(trusted) OVER () + {ratio_rules.ALPHA * ratio_rules.BUCKETS}))
+  - ln((raw + {ratio_rules.ALPHA}) / (sum(raw) OVER () + {ratio_rules.ALPHA * ratio_rules.BUCKETS})) AS logs FROM counts),
+scores AS (SELECT r, avg(logs) AS score FROM grams JOIN ratios USING (bucket) GROUP BY r),
+windows AS (SELECT r, pos, count(*) OVER (PARTITION BY r, word, word2, word3) AS c FROM hashed WHERE word3 IS NOT NULL),
+repeated AS (SELECT r, count(DISTINCT pos + k) AS n_repeat_words FROM windows, (VALUES (0), (1), (2)) AS t(k) WHERE c > 1 GROUP BY r),
+sizes AS (SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM words GROUP BY r),
+lines AS (SELECT r, row_number() OVER (PARTITION BY r, line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^ 	-
+]')),
+dups AS (SELECT r, count(*) FILTER (n > 1) AS n_dup_lines FROM lines GROUP BY r),
+base AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(score, 0.0) AS score
+  FROM docs LEFT JOIN sizes USING (r) LEFT JOIN dups USING (r) LEFT JOIN repeated USING (r) LEFT JOIN scores USING (r)),
+failed AS (SELECT *, n_words < {ratio_rules.MIN_WORDS} OR 100 * n_repeat_words > {ratio_rules.MAX_REPEATED} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {ratio_rules.THRESHOLD} AS kept,
+  round(score, 6) AS score FROM failed"""
+
+
+@query("op12_ratio_quality_rules", _RULES_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Base statistics of every text and its log-likelihood ratio between the documents labelled good and all documents."""
+    docs = table(spark, sf, "documents")
+    judged = ratio_rules.judged(docs, ratio_rules.fit(docs, table(spark, sf, "labels")))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *[F.col(f"rules.{name}").alias(name) for name in names], F.round("rules.score", 6).alias("score"))

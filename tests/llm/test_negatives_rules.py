@@ -100,6 +100,13 @@ def test_rules_equal_brute_force(spark, frame, odd, monkeypatch):
     assert unlabelled.count() == len(rows)
 
 
+def test_target_of_a_bounded_sample(spark, frame):
+    docs = frame([f"w{i % 50} v{i % 7} u{i % 3}" for i in range(2000)])
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    whole, part = (ratio_rules.fit(docs, labels, buckets=32, trusted_rows=n).logs for n in (5000, 500))
+    assert np.allclose(whole, 0) and 0 < np.abs(part).max() < 0.6
+
+
 def test_windows_of_many_words():
     rng = np.random.default_rng(6)
     for n, kinds in ((0, 1), (3, 1), (4, 1), (500, 6), (3_000_000, 2_900_000)):

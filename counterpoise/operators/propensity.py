@@ -9,15 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.functions.features import flag_label
+from counterpoise.functions.hashing import keyed_uniform
 from counterpoise.functions.numeric import LOGIT_SHIFT, clipped, shifted_probability
+from counterpoise.operators import boosting
 
 LABEL = "_label"
 # Probabilities are kept off 0 before they are inverted.
@@ -135,25 +135,21 @@ def below(df: DataFrame, p: str, least: float = _P_MIN) -> DataFrame:
 
 
 def tune_boosted(
-    df: DataFrame, features: Sequence[str], flag: str = "s", *, depths: Sequence[int] = (3, 5), trees: Sequence[int] = (10, 20),
-    train_share: float = 0.8, seed: int = 42,
-) -> tuple[PipelineModel, DataFrame]:
-    """Search over depth and number of trees; the validation rows come from the fitting data itself."""
-    labelled = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(
-        df.withColumn(LABEL, flag_label(flag))
-    )
-    gbt = GBTClassifier(featuresCol="_features", labelCol=LABEL, seed=seed)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.maxIter, list(trees)).build()
-    search = TrainValidationSplit(
-        estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=LABEL),
-        trainRatio=train_share, seed=seed, parallelism=len(grid),
+    df: DataFrame, features: Sequence[str], flag: str = "s", *, depths: Sequence[int] = (3, 5), rates: Sequence[float] = (0.05, 0.1, 0.3), trees: int = 100,
+    train_share: float = 0.8, key: str = "unit_id", seed: int = 42, loss: str = "logistic", patience: int = 10, halve_at: Sequence[int] = (10, 20, 40),
+    part: str | None = None, parts: Sequence[int | None] = (None,), min_rows: int = 20, max_bins: int = 64,
+) -> boosting.Search:
+    """Search over depth and rate, for each of ``parts``, in one run of shared passes.
+
+    The validation rows, drawn by ``key``, come from the fitting data itself. They stop every candidate early and halve the
+    field at the tree numbers ``halve_at``; the best candidate's model is cut to its best tree number. ``loss`` is "logistic" for
+    propensities, "inverse" for inverse propensities. On the driver are only the settings, the splits and one loss per tree.
+    """
+    grid = [boosting.Candidate(d, r, trees, min_rows, p) for p in parts for d in depths for r in rates]
+    rows = df.withColumn("_validation", keyed_uniform(key, "validate", seed) >= train_share)
+    return boosting.search(
+        rows, features, grid, flag, loss=loss, validation="_validation", part=part, patience=patience, halve_at=halve_at, max_bins=max_bins,
     )
-    best = search.fit(labelled)
-    rows = [
-        (int(params[gbt.maxDepth]), int(params[gbt.maxIter]), float(metric))
-        for params, metric in zip(grid, best.validationMetrics)
-    ]
-    return best.bestModel, df.sparkSession.createDataFrame(rows, "max_depth int, trees int, auc double")
 
 
 def gram(df: DataFrame, vector: str, weight: str | None = None) -> DataFrame:

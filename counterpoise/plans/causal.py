@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.functions import numeric as nx
+from counterpoise.functions.hashing import keyed_uniform
 from counterpoise.operators import columns as cx
-from counterpoise.operators import ipw, lookup, metrics, neighbors, propensity, reports, resample, synthetic, weights
+from counterpoise.operators import boosting, ipw, lookup, metrics, neighbors, propensity, reports, resample, synthetic, weights
 from counterpoise.operators.splits import random_fold
 from counterpoise.plans.fixtures import (
     FEATURES, IPW, PROPENSITY_SQL, UNITS_SQL, WEIGHTED_SQL, edges_sql, propensity_units, sides_sql, table, u_sql, units,
@@ -270,13 +271,13 @@ def weight_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: rounded(c) for c in ("mean", "mean_positive", "std", "max", "nonzero_share")})
 
 
-@query(f"WITH {WEIGHTED_SQL}, y AS (SELECT *, r0*target/avg(r0) OVER (PARTITION BY fold) AS a, w0*target/avg(w0) OVER (PARTITION BY fold) AS b FROM clipped) " + " UNION ALL ".join(
-    f"SELECT '{w}' AS weight, count(*) AS treated, count(*) FILTER ({c}>3.2) AS cut, round(count(*) FILTER ({c}>3.2)/count(*)::DOUBLE,6) AS share FROM y WHERE s=1"
-    for w, c in (("ipw_right", "a"), ("ipw_wrong", "b"))))
+@query(f"WITH {WEIGHTED_SQL}, y AS (SELECT *, r0*target/avg(r0) OVER (PARTITION BY fold) AS raw_right, w0*target/avg(w0) OVER (PARTITION BY fold) AS raw_wrong FROM clipped) " + " UNION ALL ".join(
+    f"SELECT '{w}' AS weight, count(*) AS treated, count(*) FILTER ({c}>3.03) AS cut, round(count(*) FILTER ({c}>3.03)/count(*)::DOUBLE,6) AS share FROM y WHERE s=1"
+    for w, c in (("ipw_right", "raw_right"), ("ipw_wrong", "raw_wrong"))))
 def truncation_report(spark: SparkSession, sf: str) -> DataFrame:
     """With a low truncation, so that some weights are cut."""
     specs = {"ipw_right": "f_right", "ipw_wrong": "f_wrong"}
-    return ipw.truncation_report(propensity_units(spark, sf), specs, truncation=3.2).withColumn("share", rounded("share"))
+    return ipw.truncation_report(propensity_units(spark, sf), specs, truncation=3.03).withColumn("share", rounded("share"))
 
 
 @query(f"WITH {UNITS_SQL} SELECT count(*) AS units, true AS equal FROM units")
@@ -418,9 +419,9 @@ def crossfit_gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {UNITS_SQL} SELECT fold, count(*) AS units, 1.0::DOUBLE AS mean_right, 1.0::DOUBLE AS mean_wrong, 0::BIGINT AS off_support FROM units GROUP BY fold")
 def crossfit_gbt_mass(spark: SparkSession, sf: str) -> DataFrame:
-    """Stabilised weights average 1 in each fold and are zero exactly off the treated rows, whatever the model's size."""
+    """Stabilised weights average 1 in each fold and are zero exactly off the treated rows."""
     off = F.count(F.when((F.col("s") == 1) != (F.col("ipw_right") > 0), 1))
-    return _crossfitted(spark, sf, 10).groupBy("fold").agg(
+    return _crossfitted(spark, sf).groupBy("fold").agg(
         F.count(F.lit(1)).alias("units"), rounded(F.avg("ipw_right")).alias("mean_right"), rounded(F.avg("ipw_wrong")).alias("mean_wrong"), off.alias("off_support")
     )
 
@@ -443,20 +444,63 @@ def score_equations_hold(spark: SparkSession, sf: str) -> DataFrame:
     return gradient.select(F.col("feature"), (F.abs("gradient") < 1e-4).alias("solved")).where(F.col("feature").isin(*names, "(intercept)"))
 
 
-@query("SELECT CAST(d AS INT) AS max_depth, CAST(t AS INT) AS trees FROM (SELECT unnest([2, 3]) AS d) CROSS JOIN (SELECT unnest([3, 5]) AS t)")
-def tune_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Every combination of the grid is scored."""
-    return _tuned(spark, sf, depths=(2, 3), trees=(3, 5)).where("auc between 0 and 1").select("max_depth", "trees")
+# Trees of the searches whose every loss has a closed form.
+_GRID_TREES, _GRID_RATES = 12, (0.1, 0.3)
+
+
+def _tuned_sql() -> str:
+    """Trees that part all strata move each stratum's value by ``rate`` of its way to n / n1: the loss after t of them is known."""
+    rates = ", ".join(f"({r})" for r in _GRID_RATES)
+    return f"""WITH {UNITS_SQL}, rows AS (SELECT *, {u_sql('unit_id', 'validate')}>=0.8 AS held FROM units),
+cells AS (SELECT fold, cut, b, count(*)::DOUBLE/sum(s) AS opt FROM rows WHERE NOT held GROUP BY ALL),
+starts AS (SELECT fold, count(*)::DOUBLE/sum(s) AS c0 FROM rows WHERE NOT held GROUP BY fold),
+losses AS (SELECT fold, rate, t, avg(s*f*f-2*f) AS loss FROM (
+  SELECT r.fold, rate, t, s, opt+pow(1-rate,t)*(c0-opt) AS f FROM rows r JOIN cells USING (fold, cut, b) JOIN starts USING (fold),
+    (VALUES {rates}) AS rates(rate), range(0, {_GRID_TREES + 1}) AS steps(t) WHERE held) GROUP BY ALL),
+best AS (SELECT * FROM losses QUALIFY row_number() OVER (PARTITION BY fold, rate ORDER BY loss, t)=1)
+SELECT fold::INT AS part, d AS max_depth, rate::DOUBLE AS rate, t::INT AS trees, round(loss,6) AS loss FROM best, (VALUES (5), (6)) AS depths(d)"""
 
 
-def _tuned(spark: SparkSession, sf: str, **grid) -> DataFrame:
-    return propensity.tune_boosted(_model_units(spark, sf).filter("fold = 0"), MODEL_FEATURES, **grid)[1]
+@query(_tuned_sql())
+def tune_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Depths and rates for both folds in one run: the tree number each candidate is stopped at, and its loss there."""
+    found = propensity.tune_boosted(
+        units(spark, sf), ["cut", "b"], depths=(5, 6), rates=_GRID_RATES, trees=_GRID_TREES, loss="inverse", halve_at=(), part="fold", parts=(0, 1), min_rows=1,
+    )
+    return found.table(table(spark, sf, "orders")).select("part", "max_depth", "rate", "trees", rounded("loss").alias("loss"))
 
 
 @query()
 def tune_propensity(spark: SparkSession, sf: str) -> DataFrame:
-    """The operator's own grid."""
-    return _tuned(spark, sf)
+    """The operator's own grid on all rows of both folds, with early stopping and halving."""
+    return propensity.tune_boosted(units(spark, sf), MODEL_FEATURES, part="fold", parts=(0, 1)).table(table(spark, sf, "orders"))
+
+
+@query(f"WITH {PROPENSITY_SQL} SELECT unit_id, fold, round(greatest(f_right,1),6) AS f_right, round(greatest(f_wrong,1),6) AS f_wrong FROM propensity")
+def inverse_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """One tree that parts all strata, fitted to the inverse propensity's own loss, gives n / n1 of each stratum."""
+    base = stage(units(spark, sf).withColumn("letter", F.ascii("category")), "units")
+    one = {"depth": 9, "rate": 1.0, "trees": 1, "min_rows": 1}
+    out = boosting.crossfit_inverse(base, ["letter", "cut"], out="f_right", **one)
+    out = boosting.crossfit_inverse(out, ["cut"], out="f_wrong", **one)
+    return out.select("unit_id", "fold", rounded("f_right").alias("f_right"), rounded("f_wrong").alias("f_wrong"))
+
+
+# A treatment that follows x1, so that there is something to learn.
+_DRIVEN = (0.25, 0.8)
+
+
+@query(f"""WITH {UNITS_SQL}, d AS (SELECT *, ({u_sql('unit_id', 'driven')}<CASE WHEN x1>200000 THEN {_DRIVEN[1]} ELSE {_DRIVEN[0]} END)::INT AS t FROM units)
+SELECT fold, count(*) AS units, sum(t)::BIGINT AS treated, true AS at_least_one, true AS below_constant FROM d GROUP BY fold""")
+def inverse_boosted_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-fitted on all features and stopped by validation rows, the trees beat the constant on the rows they did not see."""
+    base = units(spark, sf).withColumn("held", keyed_uniform("unit_id", "validate") >= 0.8)
+    driven = keyed_uniform("unit_id", "driven") < F.when(F.col("x1") > 200_000, _DRIVEN[1]).otherwise(_DRIVEN[0])
+    scored = boosting.crossfit_inverse(stage(base.withColumn("t", driven.cast("int")), "units"), MODEL_FEATURES, "t", validation="held", depth=3, rate=0.1, trees=20)
+    t, f, n = F.col("t"), F.col("f"), F.count(F.lit(1))
+    return scored.groupBy("fold").agg(
+        n.alias("units"), F.sum(t).alias("treated"), (F.min(f) >= 1).alias("at_least_one"), (F.avg(t * f * f - 2 * f) < -n / F.sum(t)).alias("below_constant"),
+    )
 
 
 def _probed(spark: SparkSession, sf: str, probes: int | None) -> DataFrame:

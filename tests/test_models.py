@@ -52,8 +52,10 @@ def test_early_stopping_uses_validation_rows(df):
 
 
 def test_tuning_reports_every_setting(df):
-    best, table = propensity.tune_boosted(df, FEATURES, depths=(1, 2), trees=(2,))
-    assert table.count() == 2 and best is not None
+    found = propensity.tune_boosted(df, FEATURES, depths=(1, 2), rates=(0.1, 0.5), trees=2)
+    table = found.table(df).collect()
+    assert {(r.max_depth, r.rate) for r in table} == {(1, 0.1), (1, 0.5), (2, 0.1), (2, 0.5)}
+    assert len(found.best().trees) <= 2 and min(r.loss for r in table) == found.losses[found.models.index(found.best())]
 
 
 def test_closed_form_strata_minimise_the_criterion(df):
@@ -99,8 +101,8 @@ def test_studies_run_the_operators_own_size(spark, small, monkeypatch):
 
         monkeypatch.setattr(module, name, called)
 
-    grid = {(r.max_depth, r.trees) for r in causal.tune_propensity(spark, small).collect()}
-    assert grid == {(d, t) for d in (3, 5) for t in (10, 20)}
+    grid = {(r.part, r.max_depth, r.rate) for r in causal.tune_propensity(spark, small).collect()}
+    assert grid == {(p, d, r) for p in (0, 1) for d in (3, 5) for r in (0.05, 0.1, 0.3)}
     spy(attributes, "attribute_weights", True)
     with pytest.raises(InterruptedError):
         attributes.attribute_resample(spark, small)

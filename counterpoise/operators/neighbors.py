@@ -238,14 +238,14 @@ class _Cells:
         spark = c.sparkSession
         total, width = c.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
         # Shares of a fixed budget of centres, so what is collected and broadcast is bounded.
-        budget = max(2, min(MAX_CELLS, MODEL_BYTES // (8 * width)))
+        budget = max(2, min(MAX_CELLS, MODEL_BYTES // (8 * (width or 1))))
         per_cell = max(cell_rows, math.ceil(total / budget))
         if approximate:
             # sqrt(n) cells a block; all blocks give way alike where that would exceed the budget.
             every = big.agg(F.sum(F.sqrt("n"))).first()[0] or 1.0
             count = F.sqrt("n") * F.lit(min(1.0, budget / every))
         else:
-            count = F.least(F.ceil(F.col("n") / per_cell), F.floor(F.col("n") * F.lit(budget / total)))
+            count = F.least(F.ceil(F.col("n") / per_cell), F.floor(F.col("n") * F.lit(budget / max(total, 1))))
         # A block of under two cells stays one cell, cut into tiles.
         rates = stage(big.select("block", (count / F.col("n")).alias("rate")).filter(count >= 2), "knn-rates")
         sample = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lookup import frequent_first_lookup, most_frequent
+from counterpoise.operators.lookup import frequent_first_lookup, most_frequent, salted_join
 from counterpoise.session import stage
 
 # Fixed ids; words start after them.
@@ -111,8 +111,11 @@ def weighted_unigrams(df: DataFrame, weight: str | None = None, text: str = "tex
 
 
 def weighted_bigrams(df: DataFrame, weight: str | None = None, text: str = "text", alpha: float = 1.0) -> DataFrame:
-    """Row-weighted ``p(token | previous)`` with add-alpha smoothing over the word types."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    """Row-weighted ``p(token | previous)`` with add-alpha smoothing over the word types.
+
+    A null weight counts as 0, and the row's pairs and word types stay. A word that very many others follow is spread over tasks.
+    """
+    w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     rows = df.select(w.alias("_w"), words(text).alias("_t"))
     pairs = rows.filter(F.size("_t") > 1).select(
         "_w",
@@ -129,7 +132,7 @@ def weighted_bigrams(df: DataFrame, weight: str | None = None, text: str = "text
     )
     types = rows.select(F.explode("_t").alias("token")).distinct().count()
     context = counts.groupBy("previous").agg(F.sum("c").alias("_context"))
-    return counts.join(context, "previous").select(
+    return salted_join(counts, context, ["previous"], "token", "inner").select(
         "previous", "token", "c", ((F.col("c") + alpha) / (F.col("_context") + alpha * types)).alias("p")
     )
 

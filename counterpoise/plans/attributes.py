@@ -103,9 +103,9 @@ w AS (SELECT *, s/(SELECT avg(s) FROM r) AS no_wgt, v1/avg(v1) OVER (PARTITION B
 SELECT unit_id, round(no_wgt,6) AS no_wgt, round(ipw_right,6) AS ipw_right, round(ipw_wrong,6) AS ipw_wrong, {', '.join(picks)} FROM w{joins}"""
 
 
-@query(_nine_sql(50))
+@query(_nine_sql(200))
 def attribute_nine_weights(spark: SparkSession, sf: str) -> DataFrame:
-    out = attribute_weights(_attributes(spark, sf), "fulfilled", "urgent", post=["late"], strata=["large", "urgent"], k=50, probes=None)
+    out = attribute_weights(_attributes(spark, sf), "fulfilled", "urgent", post=["late"], strata=["large", "urgent"], k=200, probes=None)
     return out.select("unit_id", *[rounded(c).alias(c) for c in NINE_WEIGHTS])
 
 

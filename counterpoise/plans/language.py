@@ -75,15 +75,29 @@ def weighted_unigram_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.withColumns({"c": rounded("c"), "p": rounded("p", 9), "p_unknown": rounded("p_unknown", 9)})
 
 
-@query(f"""WITH {DOCS_SQL}, t AS (SELECT w_right AS w, {words_sql('text')} AS t FROM docs WHERE s=1),
+def _bigram_sql(weight: str) -> str:
+    return f"""WITH {DOCS_SQL}, t AS (SELECT coalesce({weight},0) AS w, {words_sql('text')} AS t FROM docs WHERE s=1),
 g AS (SELECT w, unnest(t[1:len(t)-1]) AS previous, unnest(t[2:len(t)]) AS token FROM t WHERE len(t)>1),
 c AS (SELECT previous, token, sum(w) AS c FROM g GROUP BY 1,2), v AS (SELECT count(DISTINCT token) AS v FROM (SELECT unnest(t) AS token FROM t))
-SELECT previous, token, round(c,6) AS c, round((c+1)/(sum(c) OVER (PARTITION BY previous)+v),9) AS p FROM c, v""")
-def weighted_bigram_lm(spark: SparkSession, sf: str) -> DataFrame:
-    lm = text.weighted_bigrams(cx.treated(weighted_documents(spark, sf)), "w_right")
+SELECT previous, token, round(c,6) AS c, round((c+1)/(sum(c) OVER (PARTITION BY previous)+v),9) AS p FROM c, v"""
+
+
+def _bigrams(spark: SparkSession, sf: str, weight: str) -> DataFrame:
+    lm = text.weighted_bigrams(cx.treated(weighted_documents(spark, sf)), weight)
     return lm.withColumns({"c": rounded("c"), "p": rounded("p", 9)})
 
 
+@query(_bigram_sql("w_right"))
+def weighted_bigram_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return _bigrams(spark, sf, "w_right")
+
+
+@query(_bigram_sql("w_wrong"))
+def weighted_bigram_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """With weights that are null in some rows: their pairs count 0."""
+    return _bigrams(spark, sf, "w_wrong")
+
+
 def _perplexity(spark: SparkSession, sf: str, weight: str | None) -> DataFrame:
     docs = weighted_documents(spark, sf)
     return text.document_perplexity(docs, text.weighted_unigrams(cx.treated(docs), weight))

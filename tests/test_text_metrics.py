@@ -114,3 +114,9 @@ def test_documents_without_words_keep_their_row(spark):
     assert set(out) == {1, 2, 3, 4} and out[2] == out[3] == (0, None) and out[4][0] == 1
     # A null weight counts as 0, and the row's words stay known.
     assert {r["token"]: r["c"] for r in model.collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}
+
+
+def test_bigrams_with_null_weights(spark):
+    df = spark.createDataFrame([("a b a b", None), ("a c", 2.0), ("d", 1.0), ("", 1.0), (None, 1.0)], "text string, w double")
+    got = {(r.previous, r.token): (r.c, r.p) for r in text.weighted_bigrams(df, "w").collect()}
+    assert got == {("a", "b"): (0.0, 1 / 6), ("b", "a"): (0.0, 1 / 4), ("a", "c"): (2.0, 3 / 6)}

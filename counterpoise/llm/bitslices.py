@@ -9,8 +9,9 @@ Queries and blocks meet block by block: the index is built once, each task holds
 returns k rows per query, and the last step keeps the k best of those.
 
 Defined results: vectors that are null, empty or hold null, NaN or infinite components take no part; shorter vectors
-count as padded with zeros; quantised components are clamped to +-2**24 so that a score fits a long; equal scores are
-ordered by the smaller id; repeated ids are separate candidates, but a query never meets rows of its own id.
+count as padded with zeros; components so large that a sum of products might not fit a long fail; equal scores are ordered
+by the smaller id; repeated ids are separate candidates, but a query never meets rows of its own id; a query row that repeats
+counts once, and query rows that share an id but not the vector have a list each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,24 +19,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from counterpoise.llm.hard_negatives import quantised
 from counterpoise.session import stage
 
-_CLAMP = 1 << 24
-
-
-def quantised(vector: str | Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component as long, or null for a vector that takes no part."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
-    as_double = F.transform(vector, lambda x: x.cast("double"))
-    good = (F.size(as_double) > 0) & F.forall(as_double, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
-    bounded = lambda x: F.greatest(F.least(F.floor(F.lit(scale) * F.greatest(F.least(x, F.lit(1e15)), F.lit(-1e15))), F.lit(_CLAMP)), F.lit(-_CLAMP))
-    return F.when(good, F.transform(as_double, lambda x: bounded(x).cast("long")))
-
-
 class BlockIndex:
     """Bit slices of one block of rows."""
 
@@ -145,8 +135,12 @@ def top_k(
     # Of rows alike in id and vector only k can be among the k best.
     rows = side(vectors).groupBy("id", "q").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
     rows = stage(rows.select("id", "q", "copy"), "bitslice-rows")
-    asked = stage(side(queries), "bitslice-queries")
-    count, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    asked = stage(side(queries).distinct().withColumn("r", F.monotonically_increasing_id()), "bitslice-queries")
+    largest = F.coalesce(F.max(F.aggregate("q", F.lit(0).cast("long"), lambda m, x: F.greatest(m, F.abs(x)))), F.lit(0))
+    count, dims, high = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1)), largest).first()
+    # Room for the index's shifted values and the carries of its sums.
+    if dims * high * asked.agg(largest).first()[0] >= 1 << 60:
+        raise ValueError("a score may not fit a long")
     blocks = max(1, -(-count // block_rows))
     chunks = max(1, -(-asked.count() // query_rows))
 
@@ -164,11 +158,12 @@ def top_k(
     index = stage(index, "bitslice-index")
 
     def answer(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"r": [], "query_id": [], "vec_id": [], "score": []}
         if left.num_rows:
             loaded = load_block(left.slice(0, 1).to_pylist()[0])
-            for own, weights in zip(right["id"].to_pylist(), right["q"].to_pylist()):
+            for r, own, weights in zip(right["r"].to_pylist(), right["id"].to_pylist(), right["q"].to_pylist()):
                 ids, scores = loaded.top(own, np.array(weights, dtype=np.int64), k)
+                out["r"].append(np.full(len(ids), r))
                 out["query_id"].append(np.full(len(ids), own))
                 out["vec_id"].append(ids)
                 out["score"].append(scores)
@@ -178,8 +173,8 @@ def top_k(
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id", "q"), F.lit(chunks)).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["block", "chunk"]
-    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(answer, "r long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("r").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

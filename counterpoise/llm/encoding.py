@@ -17,40 +17,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.hashing import PIECE, mix, text_buffers
+from counterpoise.llm.hashing import PIECE, range_hashes, text_buffers
 from counterpoise.llm.pieces import VOCABULARY, Vocabulary, best_ids, load_vocabulary
 
-_BASE = 0x9E3779B97F4A7C15
 # Distinct chunks whose ids a worker remembers; a chunk beyond them is segmented where it occurs.
 _REMEMBERED = 300_000
 
 
 class _Memory:
-    """Ids of chunks seen before, by chunk hash."""
+    """Ids of chunks seen before, by the chunks' bytes."""
 
     def __init__(self) -> None:
-        self.keys, self.at, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
-
-    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are known, and the places of those."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=bool), np.empty(0, np.int64)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[place] == keys
-        return known, place[known]
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        room = _REMEMBERED - len(self.keys)
-        if room <= 0 or not len(keys):
+        self.places: dict[bytes, int] = {}
+        self.ids, self.at, self.used = np.empty(1 << 16, np.int64), np.zeros(_REMEMBERED + 1, np.int64), 0
+
+    def split(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which chunks are known, and the places of those."""
+        place = np.fromiter((self.places.get(c, -1) for c in chunks), np.int64, len(chunks))
+        return place >= 0, place[place >= 0]
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, at: np.ndarray) -> None:
+        chunks = chunks[: _REMEMBERED - len(self.places)]
+        if not chunks:
             return
-        keys, at = keys[:room], at[: min(room, len(keys)) + 1]
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged)
-        self.keys = merged[order]
-        self.at = np.concatenate([self.at, len(self.ids) + at[:-1]])[order]
-        self.counts = np.concatenate([self.counts, np.diff(at)])[order]
-        self.ids = np.concatenate([self.ids, ids[: at[-1]]])
+        first, size = len(self.places), int(at[len(chunks)])
+        self.at[first + 1 : first + 1 + len(chunks)] = self.used + at[1 : len(chunks) + 1]
+        self.places.update(zip(chunks, range(first, first + len(chunks))))
+        if self.used + size > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * size, np.int64)])
+        self.ids[self.used : self.used + size] = ids[:size]
+        self.used += size
 
 
 _MEMORY: dict[int, _Memory] = {}
@@ -75,26 +71,24 @@ def _encode_piece(vocabulary: Vocabulary, data: np.ndarray, text_starts: np.ndar
     """Ids of a stretch of texts, and the offsets of its chunks' ids; ``text_starts`` begin with 0."""
     starts = _chunk_starts(data, text_starts)
     ends = np.append(starts[1:], len(data))
-    # Equal chunks are found by a hash of their bytes and their length.
-    power = np.ones(len(data) + 1, dtype=np.uint64)
-    power[1:] = np.uint64(_BASE)
-    power = np.multiply.accumulate(power)
-    inverse = np.ones(len(data) + 1, dtype=np.uint64)
-    inverse[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
-    inverse = np.multiply.accumulate(inverse)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    keys = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    distinct, once, which = np.unique(keys, return_index=True, return_inverse=True)
-    memory = _MEMORY.setdefault(vocabulary.mark, _Memory())
-    known, place = memory.split(distinct)
     body = data.tobytes()
-    fresh = once[~known]
-    ids, at = best_ids(vocabulary, [body[a:b].decode() for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())])
-    pool = np.concatenate([memory.ids, ids])
-    begin, counts = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-    begin[known], counts[known] = memory.at[place], memory.counts[place]
-    begin[~known], counts[~known] = len(memory.ids) + at[:-1], np.diff(at)
-    memory.add(distinct[~known], ids, at)
+    distinct, once, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    # Chunks of one hash must be equal byte for byte; else they are told apart by their bytes.
+    same = (ends - starts)[once][which] == ends - starts
+    if not same.all() or (_gathered(data, starts[once][which], ends - starts) != data).any():
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(body[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())])
+        once = np.unique(which, return_index=True)[1]
+    memory = _MEMORY.setdefault(vocabulary.mark, _Memory())
+    chunks = [body[a:b] for a, b in zip(starts[once].tolist(), ends[once].tolist())]
+    known_, place = memory.split(chunks)
+    fresh = [c for c, seen in zip(chunks, known_.tolist()) if not seen]
+    ids, at = best_ids(vocabulary, [c.decode() for c in fresh])
+    begin, counts = np.empty(len(once), np.int64), np.empty(len(once), np.int64)
+    begin[known_], counts[known_] = memory.at[place], memory.at[place + 1] - memory.at[place]
+    begin[~known_], counts[~known_] = memory.used + at[:-1], np.diff(at)
+    pool = np.concatenate([memory.ids[: memory.used], ids])
+    memory.add(fresh, ids, at)
     counts = counts[which]
     out = _gathered(pool, begin[which], counts)
     offsets = np.concatenate([[0], np.cumsum(counts)])

@@ -15,23 +15,53 @@ import pyarrow as pa
 
 # Bytes hashed at a time: bounds the working memory whatever the length of a text or of an Arrow batch.
 PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+# Two primes below 2**31 with a base each: sums of a byte times a power stay below 2**39, so that a piece of them fits 64 bits.
+_FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 741_103_597))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**n modulo prime."""
+    out = np.ones(n + 1, dtype=np.uint64)
+    done = 1
+    while done <= n:
+        more = min(done, n + 1 - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += more
+    return out
+
+
 @functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        power = np.ones(PIECE + 1, dtype=np.uint64)
-        power[1:] = np.uint64(base)
-        out.append(np.multiply.accumulate(power))
-    return out[0], out[1]
+def _tables() -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Each prime with the powers of its base and of the base's inverse, for stretches of up to a piece."""
+    return [(p, _powers(base, p, PIECE), _powers(pow(base, -1, p), p, PIECE)) for p, base in _FIELDS]
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range, from their values modulo two primes and their length.
+
+    Prime moduli: modulo a power of two, long words of two letters can be told apart by no base.
+    """
+    parts = []
+    for prime, power, inverse in _tables():
+        field, total, carry = np.uint64(prime), np.zeros(len(data) + 1, dtype=np.uint64), 0
+        for at in range(0, len(data), PIECE):
+            block = data[at : at + PIECE]
+            # The power of a place counts from its block on; the block's first power takes part with the carry.
+            lift = np.uint64(pow(int(power[1]), at, prime))
+            sums = np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)]) % field
+            total[at + 1 : at + 1 + len(block)] = (sums * lift + np.uint64(carry)) % field
+            carry = int(total[at + len(block)])
+        back = inverse[starts % PIECE]
+        if len(data) > PIECE:
+            leaps = _powers(pow(int(power[1]), -PIECE, prime), prime, len(data) // PIECE)
+            back = back * leaps[starts // PIECE] % field
+        parts.append((total[ends] + field - total[starts]) % field * back % field)
+    joined = (parts[0] << np.uint64(31)) | parts[1]
+    return mix(mix(joined) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +134,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _piece(piece: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    power, inverse = _powers()
     word = ~_SPACE[piece]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -116,10 +145,7 @@ def _piece(piece: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before = breaks[breaks > 0] - 1
     last[before[word[before]]] = True
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(len(piece) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[piece].astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=total[1:])
-    sums = (total[ends] - total[starts]) * inverse[starts]
-    return mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+    return range_hashes(_LOWER[piece], starts, ends), starts, ends
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -48,16 +48,12 @@ MIX_TARGETS: dict[str, float | dict[str, float]] = {"source": 0.7, "lang": 0.8,
 MIX_RATE, MIX_SWEEPS = 0.7, 8
 
 
-# The query's SQL defines notices by a text's first 200 characters; the pipeline seeks them in the whole text.
-_NOTICE_CHARS = 200
-
-
-def mix_dimensions(notice_chars: int | None = None) -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic_of("text", notice_chars)}
+def mix_dimensions() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic_of("text")}
 
 
 _TOPIC_SQL = """CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN position(' | ' IN text) > 0 THEN 'table'
-  WHEN regexp_matches(lower(substr(text, 1, 200)), 'licen[cs]e|copyright|rights reserved') THEN 'notice'
+  WHEN regexp_matches(lower(text), 'licen[cs]e|copyright|rights reserved') THEN 'notice'
   WHEN position('@' IN text) > 0 THEN 'contact' WHEN position('?' IN text) > 0 THEN 'question' ELSE 'prose' END"""
 
 
@@ -91,18 +87,18 @@ mixed AS (SELECT u.*, least(CASE WHEN w.tokens > 0 THEN w.weight / w.tokens ELSE
 @query("op3_raked_mix", mix_sql() + "\nSELECT doc_id, source, lang, topic, tokens, round(chance, 6) AS chance, draw < chance AS kept FROM mixed")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its calibrated chance for a mix of sources, languages and forms, and whether it is drawn."""
-    mixed = raking.mix(table(spark, sf, "documents"), MIX_TARGETS, mix_dimensions(_NOTICE_CHARS), rate=MIX_RATE, sweeps=MIX_SWEEPS)
+    mixed = raking.mix(table(spark, sf, "documents"), MIX_TARGETS, mix_dimensions(), rate=MIX_RATE, sweeps=MIX_SWEEPS)
     return mixed.select(
-        "doc_id", "source", "lang", raking.topic_of("text", _NOTICE_CHARS).alias("topic"), F.col("mix_tokens").alias("tokens"),
+        "doc_id", "source", "lang", raking.topic_of("text").alias("topic"), F.col("mix_tokens").alias("tokens"),
         F.round("mix_chance", 6).alias("chance"), F.col("mix_kept").alias("kept"),
     )
 
 
 _TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+scored AS (SELECT r, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 20 = 0)) a JOIN v b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
 

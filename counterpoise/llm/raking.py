@@ -31,13 +31,12 @@ def token_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def topic_of(text: str | Column, notice_chars: int | None = None) -> Column:
-    """A coarse topic from the form of a text, for tables that carry none; notices are sought in the whole text, or its start."""
+def topic_of(text: str | Column) -> Column:
+    """A coarse topic from the form of a whole text, for tables that carry none."""
     text = F.col(text) if isinstance(text, str) else text
-    start = text if notice_chars is None else F.substring(text, 1, notice_chars)
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty").when(F.instr(text, " | ") > 0, "table")
-        .when(F.lower(start).rlike("licen[cs]e|copyright|rights reserved"), "notice")
+        .when(F.lower(text).rlike("licen[cs]e|copyright|rights reserved"), "notice")
         .when(F.instr(text, "@") > 0, "contact").when(F.instr(text, "?") > 0, "question").otherwise("prose")
     )
 

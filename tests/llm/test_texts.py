@@ -230,3 +230,45 @@ def test_columns_encode_and_decode(frame, odd):
     rows = frame(odd).select("text", encoding.encode("text").alias("ids")).select("text", encoding.decode("ids").alias("back")).collect()
     assert all(r.text == r.back for r in rows)
     assert frame(odd).where(F.lit(False)).select(encoding.encode("text").alias("ids")).count() == 0
+
+
+def thue_morse(n):
+    """Two words that no polynomial hash modulo a power of two tells apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words_are_told_apart(frame):
+    from counterpoise.llm import minhash, subword_lm
+
+    x, y = thue_morse(4096)
+    column = pa.array([x, y, f"{x} {y}"])
+    data, offsets = hashing.text_buffers(column)
+    hashes, at, _, _ = hashing.word_hashes(data, offsets)
+    assert len(set(hashes.tolist())) == 2 and at.tolist() == [0, 1, 2, 4]
+    docs = frame([x, y, x])
+    rows = docs.select("doc_id", "text", encoding.encode_checked("text").alias("e")).collect()
+    assert all(r.e.exact for r in rows) and rows[0].e.ids != rows[1].e.ids
+    assert [r.component_id for r in minhash.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1, 0]
+    known = {r.doc_id: r.n_known for r in subword_lm.score_documents(docs.union(docs.where("doc_id = 0"))).collect()}
+    assert set(known) == {0, 1, 2}
+
+
+def test_range_hashes_follow_the_bytes_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    data[3000:3400] = data[100:500]
+    starts, ends = np.array([100, 3000, 101, 0, 4999, 7]), np.array([500, 3400, 500, 5000, 5000, 7])
+    whole = hashing.range_hashes(data, starts, ends)
+    assert whole[0] == whole[1] and len(set(whole.tolist())) == 5
+    hashing._tables.cache_clear()
+    monkeypatch.setattr(hashing, "PIECE", 64)
+    assert (hashing.range_hashes(data, starts, ends) == whole).all()
+    hashing._tables.cache_clear()
+
+
+def test_chunks_of_one_hash_are_compared(vocabulary, monkeypatch):
+    monkeypatch.setattr(encoding, "range_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["one two three", "six ten", "three two one", None, ""]
+    ids = encoding.encode_texts(vocabulary, pa.array(texts))
+    assert [b.decode() if b is not None else None for b in encoding.decode_ids(vocabulary, ids)] == texts

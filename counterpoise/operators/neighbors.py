@@ -10,7 +10,8 @@ Plan of one join, for a block (category) of any size:
    Voronoi cells around sampled centres; the centres and the radius and size of
    each cell are broadcast, about ``MAX_CELLS`` of them and ``MODEL_BYTES`` at most.
    Approximate search divides every block of n candidates into about sqrt(n)
-   cells, whatever its size.
+   cells, whatever its size; with ``recall`` the number of probes is measured
+   on a bounded pilot of queries.
 3. Exact search asks each query's home cells for an upper bound on its k-th
    distance, then visits only cells that can hold something nearer (triangle
    inequality). Approximate search visits the ``probes`` nearest cells, and as
@@ -42,6 +43,8 @@ MODEL_BYTES = 128 << 20
 SINGLE_CELL_ROWS = 8_192
 CELL_ROWS = 1_024
 TILE_ROWS = 8_192
+# Queries whose exact neighbours tell how many cells a wanted recall takes.
+PILOT_QUERIES = 256
 # Elements of one distance matrix held by a task: small enough for the processor cache.
 _MATRIX = 1 << 18
 # Pairs of one task, and a limit on tasks that keeps the shuffle's block count sane.
@@ -71,7 +74,7 @@ def standardize_by_block(
 def knn_join(
     queries: DataFrame, candidates: DataFrame, k: int, *, block: str, features: Sequence[str] | str,
     query_id: str = "unit_id", match_id: str = "unit_id", carry: Sequence[str] = (), probes: int | None = None,
-    refine: int = 1, seed: int = 42, cell_rows: int = CELL_ROWS, single_cell_rows: int = SINGLE_CELL_ROWS,
+    recall: float | None = None, pilot: int = PILOT_QUERIES, refine: int = 1, seed: int = 42, cell_rows: int = CELL_ROWS, single_cell_rows: int = SINGLE_CELL_ROWS,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """The k nearest candidates of every query inside its block, by squared L2, ties by match id.
@@ -79,10 +82,14 @@ def knn_join(
     Returns ``block, query_id, match_id, rank, dist`` and the ``carry``
     columns of the query. ``features`` names numeric columns or one array
     column. ``probes=None`` is exact; a number searches that many of a block's
-    sqrt(n) cells per query, more where they hold fewer than k candidates. A
+    sqrt(n) cells per query, more where they hold fewer than k candidates. With
+    ``recall`` instead, ``probes_for`` chooses that number for each block. A
     block with fewer than k candidates gives all of them. Rows with a null or NaN feature have no
     distance and take no part.
     """
+    if probes is not None and recall is not None:
+        raise ValueError("give either probes or recall")
+    approximate = probes is not None or recall is not None
     v = _vector(features)
     finite = F.col("block").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
     q = queries.select(F.col(block).alias("block"), F.col(query_id).alias("query_id"), v.alias("v"), *carry).filter(finite)
@@ -91,7 +98,7 @@ def knn_join(
     c = stage(c.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k).drop("_copy"), "knn-candidates")
 
     # Blocks up to this size are one tile of one cell, so a task's result is final.
-    whole = max(single_cell_rows, k) if probes is None else 0
+    whole = 0 if approximate else max(single_cell_rows, k)
     big = stage(c.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole), "knn-blocks")
     chunk = min(8_192, max(256, (1 << 20) // k))
     if big.isEmpty():
@@ -102,11 +109,13 @@ def knn_join(
         c.join(big, "block", "left_anti").withColumn("cell", F.lit(0)), k, carry, whole, chunk,
     )
     wide_q, wide_c = q.join(big, "block", "left_semi"), c.join(big, "block", "left_semi")
-    cells = _Cells.build(wide_c, big, probes is not None, cell_rows, refine, seed)
+    cells = _Cells.build(wide_c, big, approximate, cell_rows, refine, seed)
     c_cells = cells.candidates
 
+    if recall is not None:
+        probes = cells.probes_for(wide_q, k, recall, pilot, seed)
     homes = stage(cells.visit(wide_q, k, probes), "knn-homes")
-    if probes is None:
+    if not approximate:
         home = homes.withColumn("cell", F.explode("cells")).drop("cells", *carry)
         kth = _best(home, c_cells, k, (), tile_rows, chunk, distances_only=True)
         bound = (
@@ -263,10 +272,61 @@ class _Cells:
             assigned = _assign(c, centers)
         return cls(spark, centers, stage(assigned, "knn-cells"), rates)
 
-    def visit(self, q: DataFrame, k: int, probes: int | None) -> DataFrame:
+    def probes_for(self, q: DataFrame, k: int, recall: float, pilot: int, seed: int) -> dict:
+        """Per block, how many of the nearest cells hold the share ``recall`` of the true neighbours.
+
+        ``pilot`` queries, those of the smallest hashes, are compared with every candidate: they are broadcast, a task keeps
+        the k best of its own candidates for each, and only these reach the driver's merge. Of the cells that hold the true
+        neighbours, counted from each query's nearest centre, comes the smallest number that covers the share, with two
+        standard errors of the pilot added. Blocks that the pilot misses take the largest number of the others.
+        """
+        known = self.model.value
+        sample = q.filter(F.col("block").isin(*known)) if len(known) <= 1_000 else q
+        sample = sample.select("block", "query_id", "v").orderBy(keyed_uniform("query_id", "pilot", seed), "query_id").limit(pilot).toArrow()
+        points = {b: _matrix(sample["v"].take(pa.array(rows))) for b, rows in _rows_by_block(sample["block"].combine_chunks(), known)}
+        shared = q.sparkSession.sparkContext.broadcast(points)
+
+        def run(batches):
+            best, types = {}, None
+            for batch in batches:
+                types = batch.schema.field("block").type, batch.schema.field("match_id").type
+                v, ids = _matrix(batch.column("v")), batch.column("match_id")
+                cell = batch.column("cell").to_numpy(zero_copy_only=False)
+                for b, rows in _rows_by_block(batch.column("block"), shared.value):
+                    qi, ci, _, dist = _nearest(shared.value[b], v[rows], k)
+                    old = best.get(b)
+                    new = (qi, dist, cell[rows][ci], ids.take(pa.array(rows[ci])).to_pylist())
+                    if old is not None:
+                        new = tuple(np.concatenate([x, y]) for x, y in zip(old[:3], new[:3])) + (old[3] + new[3],)
+                    best[b] = _first_by_query(*new, k)
+            for b, (qi, dist, cell, ids) in best.items():
+                columns = [pa.array([b] * len(qi), types[0]), pa.array(qi), pa.array(dist), pa.array(cell), pa.array(ids, types[1])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "pilot", "dist", "cell", "match_id"])
+
+        block = q.schema["block"].dataType.simpleString()
+        match = self.candidates.schema["match_id"].dataType.simpleString()
+        found = self.candidates.select("block", "match_id", "v", "cell").mapInArrow(
+            run, f"block {block}, pilot long, dist double, cell int, match_id {match}"
+        )
+        nearest = W.partitionBy("block", "pilot").orderBy("dist", "match_id")
+        true = found.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= k).groupBy("block", "pilot", "cell").count().toArrow()
+        pilots, cells, counts = (true[c].to_numpy() for c in ("pilot", "cell", "count"))
+        wanted = {}
+        for b, rows in _rows_by_block(true["block"].combine_chunks(), known):
+            d, _ = _distances(points[b], known[b][0])
+            place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)[pilots[rows], cells[rows]]
+            order = np.argsort(place, kind="stable")
+            share = np.cumsum(counts[rows][order]) / counts[rows].sum()
+            target = min(1.0, recall + 2.0 * math.sqrt(recall * (1.0 - recall) / len(points[b])))
+            wanted[b] = int(place[order][np.searchsorted(share, target - 1e-12)]) + 1
+        # What the pilot cannot tell is searched as widely as the widest block, or whole.
+        rest = max(wanted.values(), default=None)
+        return {b: wanted.get(b, rest or len(known[b][0])) for b in known}
+
+    def visit(self, q: DataFrame, k: int, probes: int | dict | None) -> DataFrame:
         """Home cells of each query: the ``probes`` nearest, or the nearest ones holding k candidates."""
 
-        def choose(v: np.ndarray, bound: None, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
+        def choose(v: np.ndarray, bound: None, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray, probes: int | None):
             first = min(len(centers), probes or 32)
             d, _ = _distances(v, centers)
             near = np.argpartition(d, first - 1, axis=1)[:, :first]
@@ -280,7 +340,7 @@ class _Cells:
                 counts = np.maximum(counts, first)
             return counts, near[np.arange(near.shape[1]) < counts[:, None]]
 
-        return self._with_cells(q, choose)
+        return self._with_cells(q, choose, lambda b: (probes[b] if isinstance(probes, dict) else probes,))
 
     def reach(self, q: DataFrame) -> DataFrame:
         """All cells that may hold a candidate within the query's bound, home cells included."""
@@ -295,7 +355,7 @@ class _Cells:
 
         return self._with_cells(q.drop("cells"), choose)
 
-    def _with_cells(self, q: DataFrame, choose) -> DataFrame:
+    def _with_cells(self, q: DataFrame, choose, more=lambda b: ()) -> DataFrame:
         """Add the chosen cells of each query; cell 0 in blocks without centres."""
         model, names = self.model, q.columns
 
@@ -308,7 +368,7 @@ class _Cells:
                     step = max(1, _MATRIX // len(model.value[b][0]))
                     for lo in range(0, len(rows), step):
                         part = rows[lo : lo + step]
-                        counts, cells = choose(v[part], None if bound is None else bound[part], *model.value[b])
+                        counts, cells = choose(v[part], None if bound is None else bound[part], *model.value[b], *more(b))
                         parts.append((part, counts, cells))
                 yield batch.append_column("cells", _ragged(batch.num_rows, parts))
 
@@ -394,6 +454,15 @@ def _centers(blocks, points: np.ndarray, known: dict | None = None) -> dict:
     return {b: np.unique(points[r], axis=0) for b, r in rows.items()}
 
 
+def _first_by_query(qi: np.ndarray, dist: np.ndarray, cell: np.ndarray, ids: list, k: int) -> tuple:
+    """The k nearest rows of every query; of equal distances the smaller ids."""
+    by_id = np.empty(len(ids), dtype=np.int64)
+    by_id[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+    order = np.lexsort((by_id, dist, qi))
+    keep = order[np.arange(len(order)) - np.searchsorted(qi[order], qi[order]) < k]
+    return qi[keep], dist[keep], cell[keep], [ids[i] for i in keep]
+
+
 def _nearest(q: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray | None = None):
     """Best k of the id-ordered candidates for every query, within ``bound`` when given.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from counterpoise.operators.propensity import dense, gram
+from counterpoise.operators.moments import Moments, moment_states, moments, principal_components, projected
 from counterpoise.session import stage
 
 # Defaults of the published divergence-curve score: grid size, scale, grid ends.
@@ -99,11 +100,49 @@ def divergence_frontier(df: DataFrame, cluster: str, in_p: Column, grid: int = G
     return curve_area(divergence_curve(histogram, grid, scale)).withColumn("frontier_integral", F.lit(frontier))
 
 
-def assign_clusters(df: DataFrame, vector: str, clusters: int, seed: int = 42, out: str = "cluster") -> DataFrame:
-    """k-means cluster of an array column, for samples that come without one."""
-    ready = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(featuresCol="_v", predictionCol=out, k=clusters, seed=seed, maxIter=20).fit(ready)
-    return model.transform(ready).drop("_v")
+def assign_clusters(
+    df: DataFrame, vector: str, clusters: int, seed: int = 42, out: str = "cluster", *, share: float | None = None, starts: int = 1,
+) -> DataFrame:
+    """k-means cluster of an array column, for samples that come without one.
+
+    With ``share`` the vectors are first reduced to the principal components that hold this part of the variance. Of
+    ``starts`` runs the one with the least cost stays. Rows without a usable vector have no cluster then.
+    """
+    ready, reduced = df, vector
+    if share is not None:
+        state = moments(df, vector).get(0)
+        if state is None:
+            return df.withColumn(out, F.lit(None).cast("int"))
+        ready, reduced = projected(df, vector, state.mean, principal_components(state, share), "_reduced"), "_reduced"
+    ready = ready.withColumn("_v", array_to_vector(F.col(reduced).cast("array<double>")))
+    fitted = ready if share is None and starts == 1 else stage(ready.where(F.col(reduced).isNotNull()).select(reduced), "cluster-vectors")
+    if fitted is not ready:
+        fitted = fitted.withColumn("_v", array_to_vector(reduced))
+    models = [KMeans(featuresCol="_v", predictionCol=out, k=clusters, seed=seed + i, maxIter=20).fit(fitted) for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
+    if share is None:
+        return model.transform(ready).drop("_v")
+    return nearest_centre(ready.drop("_v"), reduced, np.array(model.clusterCenters()), out).drop("_reduced")
+
+
+def nearest_centre(df: DataFrame, vector: str, centres: np.ndarray, out: str = "cluster") -> DataFrame:
+    """Number of the nearest of a chosen set of centres (ties: the smaller); null where the vector is null."""
+    model = df.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
+
+    def run(batches):
+        for batch in batches:
+            raw, points = batch.column("_x"), model.value
+            valid = raw.is_valid().to_numpy(zero_copy_only=False)
+            x = raw.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, points.shape[1])
+            found = np.zeros(batch.num_rows, dtype=np.int32)
+            step = max(1, (1 << 20) // points.size)
+            nearest = [((x[i : i + step, None] - points) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(x), step)]
+            found[valid] = np.concatenate(nearest) if nearest else 0
+            yield batch.drop_columns(["_x"]).append_column(out, pa.array(found, mask=~valid))
+
+    kept = [f for f in df.schema.fields if f.name != out]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{out}` int"
+    return df.select(*[f"`{f.name}`" for f in kept], F.col(vector).cast("array<double>").alias("_x")).mapInArrow(run, schema)
 
 
 def feature_moments(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
@@ -116,16 +155,13 @@ def feature_moments(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataF
 
 
 def covariance(df: DataFrame, vector: str) -> DataFrame:
-    """Sample covariance in long form ``i, j, cov``; centred first, one small matrix per task after that."""
-    n = df.count()
-    means = [row["m"] for row in _means(df, vector).orderBy("i").collect()]
-    center = F.array(*[F.lit(float(m)) for m in means])
-    centered = df.select(F.zip_with(F.col(vector).cast("array<double>"), center, lambda a, m: a - m).alias("_x"))
-    return gram(centered, "_x").select("i", "j", (F.col("total") / F.lit(float(max(n - 1, 1)))).alias("cov"))
-
-
-def _means(df: DataFrame, vector: str) -> DataFrame:
-    return df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    """Sample covariance in long form ``i, j, cov``, from one pass over the rows."""
+    state = moment_states(df, vector).select("scatter", F.size("mean").alias("d"), F.greatest(F.col("weight") - 1, F.lit(1.0)).alias("n1"))
+    row = lambda i: F.transform(F.sequence(i, F.col("d") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.col("d") - 1), row))
+    upper = state.select("n1", F.inline(F.arrays_zip(places.alias("at"), F.col("scatter").alias("total"))))
+    upper = upper.select("at.i", "at.j", (F.col("total") / F.col("n1")).alias("cov"))
+    return upper.unionByName(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
 
 
 def frechet_diagonal(df: DataFrame, vector: str, in_first: Column) -> DataFrame:
@@ -140,18 +176,24 @@ def frechet_diagonal(df: DataFrame, vector: str, in_first: Column) -> DataFrame:
     )
 
 
-def frechet(first: DataFrame, second: DataFrame, vector: str) -> float:
-    """Full distance; the samples are reduced to d means and a d x d matrix each before the driver sees them."""
-    (m1, c1), (m2, c2) = (_moments(x, vector) for x in (first, second))
+def frechet_between(first: Moments, second: Moments) -> float:
+    """Full distance of two samples from their moments."""
+    c1, c2 = first.covariance(), second.covariance()
     values, vectors = np.linalg.eigh(c1)
     root = (vectors * np.sqrt(values.clip(min=0))) @ vectors.T
     cross = np.sqrt(np.linalg.eigvalsh(root @ c2 @ root).clip(min=0)).sum()
-    return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * cross)
+    return float(((first.mean - second.mean) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * cross)
+
+
+def frechet(first: DataFrame, second: DataFrame, vector: str) -> float:
+    """Full distance; each sample is read once and reduced to d means and a d x d matrix before the driver sees it."""
+    return frechet_between(moments(first, vector)[0], moments(second, vector)[0])
 
 
-def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    means = np.array([row["m"] for row in _means(df, vector).orderBy("i").collect()])
-    return means, dense(covariance(df, vector), len(means), "cov")
+def frechet_within(df: DataFrame, vector: str, in_first: Column) -> float:
+    """Full distance between the rows with and without ``in_first`` of one table, read once; nulls belong to neither."""
+    both = moments(df, vector, by=in_first)
+    return frechet_between(both[True], both[False])
 
 
 def region_weighted_mean(error: str | Column, mask: str | Column, boost: float = 8.0) -> Column:

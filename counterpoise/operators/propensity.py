@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.functions.features import flag_label
 from counterpoise.functions.hashing import keyed_uniform
 from counterpoise.functions.numeric import LOGIT_SHIFT, clipped, shifted_probability
 from counterpoise.operators import boosting
+from counterpoise.operators.moments import moments
+from counterpoise.session import stage
 
 LABEL = "_label"
 # Probabilities are kept off 0 before they are inverted.
@@ -77,19 +79,21 @@ def fit_boosted(
     return Pipeline(stages=stages).fit(rows.withColumn(LABEL, flag_label(flag)))
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
+def score(model: PipelineModel | LogisticFit, df: DataFrame, out: str = "p") -> DataFrame:
     """Original columns plus the probability of class 1, taken from the vector without a UDF."""
+    if isinstance(model, LogisticFit):
+        return model.score(df, out)
     return model.transform(df).select(*df.columns, vector_to_array("_probability")[1].alias(out))
 
 
-def score_shifted(model: PipelineModel, df: DataFrame, out: str = "p", shift: float = LOGIT_SHIFT) -> DataFrame:
+def score_shifted(model: PipelineModel | LogisticFit, df: DataFrame, out: str = "p", shift: float = LOGIT_SHIFT) -> DataFrame:
     """Scored rows with the logit-shifted probability of the semi-synthetic design."""
     return score(model, df, out).withColumn(out, shifted_probability(out, shift))
 
 
-def coefficient_ranking(model: PipelineModel, features: Sequence[str], n: int | None = None) -> DataFrame:
+def coefficient_ranking(model: PipelineModel | LogisticFit, features: Sequence[str], n: int | None = None) -> DataFrame:
     """Coefficients by absolute size; as many rows as the model has features."""
-    values = [float(x) for x in model.stages[-1].coefficients]
+    values = [float(x) for x in (model if isinstance(model, LogisticFit) else model.stages[-1]).coefficients]
     ranked = SparkSession.active().createDataFrame(list(zip(features, values)), "feature string, coefficient double").orderBy(
         F.abs("coefficient").desc(), "feature"
     )
@@ -152,46 +156,93 @@ def tune_boosted(
     )
 
 
-def gram(df: DataFrame, vector: str, weight: str | None = None) -> DataFrame:
-    """``sum(w x x')`` as rows (i, j, total), from one small matrix per task."""
-    columns = [F.col(vector).cast("array<double>").alias("x")]
-    columns.append((F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"))
+@dataclass(frozen=True)
+class LogisticFit:
+    """A fitted logistic model: coefficients of the z-scored features, and the steps and mean loss it took."""
 
-    def partial(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                part = (x * batch.column("w").to_numpy(zero_copy_only=False)[:, None]).T @ x
-                total = part if total is None else total + part
-        if total is not None:
-            d = len(total)
-            i, j = np.divmod(np.arange(d * d, dtype=np.int32), np.int32(d))
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "total"])
+    features: tuple[str, ...]
+    mean: np.ndarray
+    scale: np.ndarray
+    coefficients: np.ndarray
+    intercept: float
+    steps: int
+    loss: float
 
-    parts = df.select(*columns).mapInArrow(partial, "i int, j int, total double")
-    return parts.groupBy("i", "j").agg(F.sum("total").alias("total"))
+    def logit(self) -> Column:
+        raw = self.coefficients / self.scale
+        value = F.lit(float(self.intercept - self.mean @ raw))
+        for c, b in zip(self.features, raw):
+            value = value + F.col(c).cast("double") * F.lit(float(b))
+        return value
 
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """Rows without null or NaN features, with the probability of class 1; a plain expression."""
+        return complete_rows(df, self.features).withColumn(out, 1.0 / (1.0 + F.exp(-self.logit())))
 
-def dense(entries: DataFrame, d: int, value: str = "total") -> np.ndarray:
-    """d x d entries as a matrix on the driver; d is the number of features."""
-    out = np.zeros((d, d))
-    for row in entries.collect():
-        out[row["i"], row["j"]] = row[value]
-    return out
+
+def newton_logistic(
+    df: DataFrame, features: Sequence[str], flag: str = "s", *, ridge: float = 0.01, steps: int = 50, tol: float = 1e-10,
+) -> LogisticFit:
+    """The model of ``fit_logistic`` by reweighted least squares: one pass over the rows and d x d sums per step.
+
+    A row's weight is p (1 - p), its response the working one, so the step is a weighted regression whose moments
+    ``moments`` merges; the mean loss travels as one more coordinate, and a step that raises it is halved. Features are
+    z-scored by the sample's own deviation; a constant feature has coefficient 0. Without ``ridge``, collinear features get
+    the least coefficients that solve the equations. A null flag counts as 0; rows with a null or NaN feature are left out.
+    """
+    d = len(features)
+    x = F.array(*[F.col(c).cast("double") for c in features], flag_label(flag).cast("double"))
+    rows = stage(complete_rows(df, features).select(x.alias("x")), "logistic-rows")
+    first = moments(rows, "x").get(0)
+    if first is None:
+        raise ValueError("no complete row to fit")
+    mean, scale = first.mean[:d], np.sqrt(np.diag(first.covariance())[:d])
+    fixed = scale <= 1e-12 * np.maximum(1.0, np.abs(mean))
+    scale = np.where(fixed, 1.0, scale)
+
+    def at(b: np.ndarray, b0: float):
+        def prepare(x: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            z = np.where(fixed, 0.0, (x[:, :d] - mean) / scale)
+            y, eta = x[:, d], z @ b + b0
+            p = np.exp(-np.logaddexp(0.0, -eta))
+            w = np.maximum(p * (1.0 - p), 1e-12)
+            return np.column_stack([z, eta + (y - p) / w, (np.logaddexp(0.0, eta) - y * eta) / w]), w
+
+        m = moments(rows, "x", prepare=prepare)[0]
+        return m, float(m.weight * m.mean[-1] / m.n + ridge / 2.0 * (b @ b))
+
+    b, b0 = np.zeros(d), 0.0
+    state, loss = at(b, b0)
+    taken = 0
+    while taken < steps:
+        taken += 1
+        left = state.scatter[:d, :d] + ridge * state.n * np.eye(d)
+        goal = np.linalg.lstsq(left, state.scatter[:d, d], rcond=1e-12)[0]
+        goal0 = float(state.mean[d] - state.mean[:d] @ goal)
+        share = 1.0
+        while True:
+            new, new0 = b + share * (goal - b), b0 + share * (goal0 - b0)
+            new_state, new_loss = at(new, new0)
+            if new_loss <= loss + 1e-12 or share < 1e-3:
+                break
+            share /= 2.0
+        moved = max(np.abs(new - b).max(initial=0.0), abs(new0 - b0))
+        b, b0, state, loss = new, new0, new_state, new_loss
+        if moved <= tol * max(1.0, np.abs(b).max(initial=0.0), abs(b0)):
+            break
+    return LogisticFit(tuple(features), mean, scale, b, b0, taken, loss)
 
 
 def riesz_linear(df: DataFrame, features: Sequence[str], treatment: str = "s", ridge: float = 1e-9) -> np.ndarray:
     """Coefficients (intercept first) of the linear minimiser of ``mean(S f^2 - 2 f)``: ``E[S x x'] b = E[x]``."""
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
-    d = len(features) + 1
-    rows = complete_rows(df, features).withColumn("_x", x)
-    n = rows.count()
-    left = dense(gram(rows, "_x", treatment), d) / n
-    means = rows.agg(*[F.avg(F.get("_x", F.lit(i))).alias(f"m{i}") for i in range(d)]).first()
+    rows = complete_rows(df, features)
+    n, *means = rows.agg(F.count(F.lit(1)), *[F.avg(F.col(c).cast("double")) for c in features]).first()
+    means, d = np.array([1.0, *means]), len(features) + 1
+    left = moments(rows, x, treatment)[0].second() / n
     scale = np.sqrt(np.diag(left)).clip(min=1e-12)
     system = left / np.outer(scale, scale) + ridge * np.eye(d)
-    return np.linalg.solve(system, np.array(means) / scale) / scale
+    return np.linalg.solve(system, means / scale) / scale
 
 
 def apply_linear(df: DataFrame, features: Sequence[str], b: np.ndarray, out: str = "f") -> DataFrame:

@@ -245,6 +245,5 @@ def region_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def frechet_full(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    value = metrics.frechet(v.filter("label < 5"), v.filter("label >= 5"), "embedding")
+    value = metrics.frechet_within(table(spark, sf, "embeddings"), "embedding", F.col("label") < 5)
     return spark.createDataFrame([(value,)], "frechet double")

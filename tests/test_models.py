@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from counterpoise.operators import ipw, propensity
+from counterpoise.operators import ipw, metrics, moments, propensity
 from counterpoise.plans import attributes, causal, reviews
 from counterpoise.plans.fixtures import units
 from counterpoise.session import scratch_path, stage
@@ -77,11 +77,68 @@ def test_linear_riesz_normal_equations(df):
         assert lhs == pytest.approx(rhs, rel=1e-4)
 
 
-def test_gram_equals_numpy(spark):
-    x = np.random.default_rng(0).normal(size=(100, 4))
-    frame = spark.createDataFrame([(r.tolist(), float(i % 3)) for i, r in enumerate(x)], "v array<double>, w double").repartition(5)
-    got = propensity.dense(propensity.gram(frame, "v", "w"), 4)
-    assert np.allclose(got, (x * (np.arange(100) % 3)[:, None]).T @ x)
+def _dense_logit(x, y, ridge):
+    """Newton steps on the whole matrix: coefficients of z-scored features, intercept first."""
+    z = np.column_stack([np.ones(len(x)), (x - x.mean(0)) / x.std(0, ddof=1)])
+    b, pen = np.zeros(z.shape[1]), ridge * np.diag([0.0, *[1.0] * x.shape[1]])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ b))
+        b = b - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / len(x) + pen, z.T @ (p - y) / len(x) + pen @ b)
+    return b
+
+
+def test_newton_equals_dense_solution_and_library(spark, df):
+    model = propensity.newton_logistic(df, FEATURES)
+    rows = df.select(*[F.col(c).cast("double") for c in FEATURES], F.col("s").cast("double")).na.drop(subset=FEATURES).toPandas().fillna(0.0)
+    want = _dense_logit(rows[FEATURES].to_numpy(), rows["s"].to_numpy(), 0.01)
+    assert np.allclose([model.intercept, *model.coefficients], want, atol=1e-8)
+    library = propensity.fit_logistic(df, FEATURES).stages[-1]
+    assert np.allclose(model.coefficients, library.coefficients.toArray(), atol=1e-3)
+
+
+def test_newton_far_features_constant_features_nulls_and_separated_rows(spark):
+    rng = np.random.default_rng(3)
+    x, t = rng.normal(size=400), rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-2 * x))).astype(int)
+    rows = [(float(a), float(c * 50 + 1.7e9), 4.0, int(b)) for a, c, b in zip(x, t, y)] + [(None, 1.7e9, 4.0, 1), (float("nan"), 1.7e9, 4.0, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, s int").repartition(7)
+    model = propensity.newton_logistic(df, ["a", "b", "c"])
+    want = _dense_logit(np.column_stack([x, t]), y, 0.01)
+    assert np.allclose([model.intercept, *model.coefficients[:2]], want, atol=1e-6) and model.coefficients[2] == 0
+    assert model.score(df).count() == 400
+    # Separated rows: the penalty keeps the coefficients finite, halved steps keep the loss falling.
+    apart = df.na.drop().withColumn("s", (F.col("a") > 0).cast("int"))
+    steep = propensity.newton_logistic(apart, ["a"], ridge=1e-6)
+    assert np.isfinite(steep.coefficients).all() and steep.loss < 0.02
+    with pytest.raises(ValueError):
+        propensity.newton_logistic(df.limit(0), ["a"])
+
+
+def test_moments_merge_far_from_zero_in_rounds_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(moments, "FAN_IN", 3)
+    x = np.random.default_rng(0).normal(size=(300, 4)) + 1e8
+    rows = [(r.tolist(), float(i % 3), None if i % 50 == 49 else i % 2 == 0) for i, r in enumerate(x)]
+    frame = spark.createDataFrame([*rows, (None, 1.0, True), ([1.0, None, 1.0, 1.0], 1.0, True)], "v array<double>, w double, g boolean").repartition(20)
+    got = moments.moments(frame, "v")[0]
+    assert got.n == 300 and np.allclose(got.covariance(), np.cov(x.T), rtol=1e-6, atol=1e-7)
+    w = np.arange(300) % 3
+    got = moments.moments(frame, "v", "w")[0]
+    assert got.weight == w.sum() and np.allclose(got.covariance(), np.cov(x.T, fweights=w), rtol=1e-6, atol=1e-7)
+    groups = moments.moments(frame, "v", by="g")
+    assert {k: m.n for k, m in groups.items()} == {True: 150, False: 144}
+    assert moments.moments(frame.limit(0), "v") == {}
+
+
+def test_reduced_clusters_and_directions(spark):
+    rng = np.random.default_rng(1)
+    plane = rng.normal(size=(200, 2)) * 0.1 + np.where(np.arange(200)[:, None] % 2, 5.0, -5.0)
+    x = np.column_stack([plane, rng.normal(size=200) * 1e-3])
+    df = spark.createDataFrame([*[(i, r.tolist()) for i, r in enumerate(x)], (200, None)], "id int, v array<double>")
+    m = moments.moments(df, "v")[0]
+    assert moments.principal_components(m, 0.9).shape == (3, 1) and moments.principal_components(m, 1.0).shape == (3, 3)
+    found = {r["id"]: r["cluster"] for r in metrics.assign_clusters(df, "v", 2, share=0.9, starts=3).collect()}
+    assert found[200] is None and {found[i] for i in range(0, 200, 2)} != {found[i] for i in range(1, 200, 2)} and len(set(found.values())) == 3
+    assert metrics.assign_clusters(df.limit(0), "v", 2, share=0.9).isEmpty()
 
 
 def test_studies_run_the_operators_own_size(spark, small, monkeypatch):

@@ -74,11 +74,12 @@ def unpacked(row: dict) -> Moments:
 
 def moment_states(
     df: DataFrame, vector: str | Column, weight: str | Column | None = None, by: str | Column | None = None,
-    prepare: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
+    prepare: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """One merged state per group: ``g, n, weight, mean, scatter``; groups are the few values of ``by``.
 
-    ``prepare`` turns a batch's rows and weights into those to be summed up.
+    ``prepare`` turns a batch's rows and weights into those to be summed up. ``tasks``, the number of input tasks where it is
+    known, saves the levels that so many do not need; up to ``FAN_IN`` of them the states come unmerged.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(
@@ -116,14 +117,21 @@ def moment_states(
         return out.append_column("slot", table["slot"].slice(0, 1))
 
     states = rows.mapInArrow(gather, schema).withColumn("slot", F.spark_partition_id())
-    for slots in (FAN_IN**2, FAN_IN, 1):
+    for slots in [n for n in (FAN_IN**2, FAN_IN, 1) if tasks is None or tasks > max(n, FAN_IN)]:
         states = states.withColumn("slot", F.col("slot") % slots).groupBy("g", "slot").applyInArrow(merge, f"{schema}, slot int")
     return states.drop("slot")
 
 
-def moments(df: DataFrame, vector: str | Column, weight: str | Column | None = None, by: str | Column | None = None, prepare=None) -> dict:
-    """The states on the driver: one matrix of d x d per group."""
-    return {row["g"]: unpacked(row.asDict()) for row in moment_states(df, vector, weight, by, prepare).collect()}
+def moments(
+    df: DataFrame, vector: str | Column, weight: str | Column | None = None, by: str | Column | None = None, prepare=None,
+    tasks: int | None = None,
+) -> dict:
+    """The states on the driver: one matrix of d x d per group, and of at most ``FAN_IN`` tasks where ``tasks`` is given."""
+    rows = [r.asDict() for r in moment_states(df, vector, weight, by, prepare, tasks).collect()]
+    out: dict = {}
+    for row in sorted(rows, key=lambda r: (r["mean"], r["scatter"])):
+        out[row["g"]] = merged(out.get(row["g"]), unpacked(row))
+    return out
 
 
 def _batch(groups: list, rows: list[dict], kind: pa.DataType) -> pa.RecordBatch:

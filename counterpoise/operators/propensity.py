@@ -193,7 +193,9 @@ def newton_logistic(
     d = len(features)
     x = F.array(*[F.col(c).cast("double") for c in features], flag_label(flag).cast("double"))
     rows = stage(complete_rows(df, features).select(x.alias("x")), "logistic-rows")
-    first = moments(rows, "x").get(0)
+    # A plain scan of files: its number of tasks is known without running it, and the same in every step.
+    tasks = rows.rdd.getNumPartitions()
+    first = moments(rows, "x", tasks=tasks).get(0)
     if first is None:
         raise ValueError("no complete row to fit")
     mean, scale = first.mean[:d], np.sqrt(np.diag(first.covariance())[:d])
@@ -208,7 +210,7 @@ def newton_logistic(
             w = np.maximum(p * (1.0 - p), 1e-12)
             return np.column_stack([z, eta + (y - p) / w, (np.logaddexp(0.0, eta) - y * eta) / w]), w
 
-        m = moments(rows, "x", prepare=prepare)[0]
+        m = moments(rows, "x", prepare=prepare, tasks=tasks)[0]
         return m, float(m.weight * m.mean[-1] / m.n + ridge / 2.0 * (b @ b))
 
     b, b0 = np.zeros(d), 0.0

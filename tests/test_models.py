@@ -122,6 +122,9 @@ def test_moments_merge_far_from_zero_in_rounds_and_groups(spark, monkeypatch):
     got = moments.moments(frame, "v")[0]
     assert got.n == 300 and np.allclose(got.covariance(), np.cov(x.T), rtol=1e-6, atol=1e-7)
     w = np.arange(300) % 3
+    for tasks in (2, 5, 20):  # unmerged, one level, two levels
+        again = moments.moments(frame.coalesce(tasks), "v", tasks=tasks)[0]
+        assert again.n == 300 and np.allclose(again.scatter, got.scatter, rtol=1e-6, atol=1e-5)
     got = moments.moments(frame, "v", "w")[0]
     assert got.weight == w.sum() and np.allclose(got.covariance(), np.cov(x.T, fweights=w), rtol=1e-6, atol=1e-7)
     groups = moments.moments(frame, "v", by="g")

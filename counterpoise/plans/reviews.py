@@ -15,7 +15,7 @@ from counterpoise.operators import ipw, lookup, metrics, propensity, reports, sy
 from counterpoise.operators.splits import assign_split
 from counterpoise.plans.fixtures import DOCS_SQL, table, u_sql, weighted_documents, words_sql
 from counterpoise.plans.registry import query, rounded
-from counterpoise.session import scratch_path, stage
+from counterpoise.session import scratch_path, settled, stage
 from counterpoise.sources.readers import PRODUCT_SCHEMA, REVIEW_SCHEMA, dictionary_values, read_json_by_file, read_json_lines
 
 # Fixed columns of the study.
@@ -183,7 +183,11 @@ def review_features_by_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def review_study(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw files to training rows in one go; reported as the summary of all weights."""
+    """Raw files to training rows in one go; reported as the summary of all weights. Only this report stays written."""
+    return settled(spark, lambda: _study(spark, sf), "review-study")
+
+
+def _study(spark: SparkSession, sf: str) -> DataFrame:
     features = stage(assign_split(review_features(*_raw(spark, sf))), "features")
     indicators = cx.columns_with_prefix(features, ["category_"])
     # The study's shift suits flags that are nearly always set; these are set for a fifth of the rows.

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Paths handed out inside each open scope, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", app: str = "counterpoise") -> SparkSession:
     """A session for tests and single-node runs; cluster jobs bring their own."""
     partitions = "8" if cores == "*" else str(cores)
@@ -41,7 +48,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under this application's scratch folder; no two calls share one."""
-    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
+    return path
 
 
 def _application_folder(spark: SparkSession) -> str:
@@ -50,10 +60,41 @@ def _application_folder(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    _delete(spark, _application_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside once the block ends, by an error too.
+
+    What a DataFrame of the block still has to read must be written before; ``settled`` does so for a result. Scopes nest:
+    a table belongs to the innermost one. Work that the block starts in other threads is not covered.
+    """
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``build`` as a written table, without the intermediate tables it was made of."""
+    path = scratch_path(spark, name)
+    with stage_scope(spark):
+        df = build()
+        df.write.parquet(path)
+        schema = df.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -72,6 +72,56 @@ def test_write_if_missing_and_files(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.parquet"))) == 3 and spark.read.parquet(path).count() == 100
 
 
+def test_half_written_and_damaged_folders_are_written_again(spark, tmp_path, monkeypatch):
+    path, df = str(tmp_path / "out"), spark.range(100).withColumn("x", F.col("id") * 2)
+    df.write.parquet(path)  # no manifest: it may be half a table
+    assert writers.read_manifest(spark, path) is None and writers.write_if_missing(df, path, ["x"])
+    assert writers.read_manifest(spark, path) == {"rows": 100, "columns": {"id": "bigint", "x": "bigint"}}
+    assert not writers.write_if_missing(df, path, ["x"])
+    df.limit(3).write.mode("append").parquet(path)
+    assert not writers.is_complete(spark, path) and writers.write_if_missing(df, path, ["x"])
+    (tmp_path / "out" / writers.MANIFEST).write_text("{")
+    (tmp_path / "out" / f".{writers.MANIFEST}.crc").unlink(missing_ok=True)
+    assert writers.write_if_missing(df, path, ["x"]) and spark.read.parquet(path).count() == 100
+    # Rows that fail before anything is removed leave the old table whole.
+    with pytest.raises(Exception):
+        writers.write_committed(df.withColumn("x", F.raise_error(F.lit("stop")).cast("long")), path)
+    assert writers.is_complete(spark, path) and spark.read.parquet(path).count() == 100
+
+    def interrupted(df, path, **_):
+        df.limit(7).write.mode("overwrite").parquet(path)
+        raise RuntimeError
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(writers, "write_parquet", interrupted)
+        writers.write_committed(df, path)
+    assert not writers.is_complete(spark, path) and writers.write_if_missing(df, path, ["x"])
+    empty = str(tmp_path / "empty")
+    assert writers.write_if_missing(df.limit(0), empty, ["x"]) and not writers.write_if_missing(df, empty, ["x"])
+
+
+def test_scopes_leave_only_the_result(spark):
+    from counterpoise import session
+
+    paths = []
+
+    def build():
+        inner = session.stage(spark.range(10), "inner")
+        nested = session.settled(spark, lambda: session.stage(inner.where("id > 4"), "deep"), "nested")
+        paths.extend([*inner.inputFiles(), *nested.inputFiles()])
+        return nested.withColumn("x", F.lit(1))
+
+    exists = lambda p: writers._file_system(spark, p)[0].exists(writers._file_system(spark, p)[1])
+    out = session.settled(spark, build, "result")
+    assert out.count() == 5 and paths and not any(exists(p) for p in paths)
+    with pytest.raises(RuntimeError), session.stage_scope(spark):
+        paths.extend(session.stage(spark.range(3), "lost").inputFiles())
+        raise RuntimeError
+    assert not exists(paths[-1]) and out.count() == 5
+    kept = session.stage(spark.range(2), "kept")
+    assert all(exists(p) for p in kept.inputFiles())
+
+
 def test_generated_samples_document(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"weight_column": "naive", "num_samples": 2, "samples": ["5 stars: a", "b"]}, indent=1))
     rows = readers.read_generated_samples(spark, str(tmp_path / "*.json")).collect()

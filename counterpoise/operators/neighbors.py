@@ -12,10 +12,14 @@ Plan of one join, for a block (category) of any size:
    Approximate search divides every block of n candidates into about sqrt(n)
    cells, whatever its size; with ``recall`` the number of probes is measured
    on a bounded pilot of queries.
-3. Exact search asks each query's home cells for an upper bound on its k-th
-   distance, then visits only cells that can hold something nearer (triangle
-   inequality). Approximate search visits the ``probes`` nearest cells, and as
-   many more as it takes to hold k candidates.
+3. Exact search is best first: each query's home cells give an upper bound on
+   its k-th distance, then the open cells follow in rounds of growing width
+   (``ROUNDS``), nearest first, and every round tightens the bound. A cell is open
+   while it may hold something nearer: by the triangle inequality on its radius,
+   and by the plane halfway between its centre and the query's nearest one, which
+   still excludes cells in many dimensions. Queries without an open cell drop out.
+   Approximate search visits the ``probes`` nearest cells, and as many more as it
+   takes to hold k candidates.
 4. Visits are equi-joined on (block, cell). Cells with many candidates are cut
    into tiles and cells with many queries are salted, so a task never holds
    more than ``TILE_ROWS`` candidates and one chunk of queries. Each task keeps
@@ -45,6 +49,8 @@ CELL_ROWS = 1_024
 TILE_ROWS = 8_192
 # Queries whose exact neighbours tell how many cells a wanted recall takes.
 PILOT_QUERIES = 256
+# Cells that a query visits in each round of the exact search after its home cells; the last round takes all that are open.
+ROUNDS = (4, 16, 64, None)
 # Elements of one distance matrix held by a task: small enough for the processor cache.
 _MATRIX = 1 << 18
 # Pairs of one task, and a limit on tasks that keeps the shuffle's block count sane.
@@ -114,18 +120,12 @@ def knn_join(
 
     if recall is not None:
         probes = cells.probes_for(wide_q, k, recall, pilot, seed)
-    homes = stage(cells.visit(wide_q, k, probes), "knn-homes")
-    if not approximate:
-        home = homes.withColumn("cell", F.explode("cells")).drop("cells", *carry)
-        kth = _best(home, c_cells, k, (), tile_rows, chunk, distances_only=True)
-        bound = (
-            kth.groupBy("block", "query_id")
-            .agg(F.sort_array(F.flatten(F.collect_list("dists"))).alias("dists"))
-            .select("block", "query_id", F.get("dists", F.lit(k - 1)).alias("bound"))
-        )
-        homes = stage(cells.reach(homes.join(bound, ["block", "query_id"])), "knn-visits")
-    visits = homes.withColumn("cell", F.explode("cells")).drop("cells")
-    parts = _best(visits, c_cells, k, carry, tile_rows, chunk)
+    homes = cells.visit(wide_q, k, probes)
+    if approximate:
+        visits = stage(homes, "knn-homes").withColumn("cell", F.explode("cells")).drop("cells")
+        parts = _best(visits, c_cells, k, carry, tile_rows, chunk)
+    else:
+        parts = _best_first(stage(homes, "knn-homes"), cells, k, carry, tile_rows, chunk)
     nearest = W.partitionBy("block", "query_id").orderBy("dist", "match_id")
     merged = parts.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return plain.unionByName(merged)
@@ -159,9 +159,32 @@ def _vector(features: Sequence[str] | str) -> Column:
     return F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features])
 
 
-def _best(
-    q: DataFrame, c: DataFrame, k: int, carry: Sequence[str], tile_rows: int, chunk: int, distances_only: bool = False
-) -> DataFrame:
+def _best_first(homes: DataFrame, cells: "_Cells", k: int, carry: Sequence[str], tile_rows: int, chunk: int) -> DataFrame:
+    """The exact search in rounds; every cell is visited once per query at most, so the parts hold no pair twice."""
+    visits = homes.withColumn("cell", F.explode("cells")).drop("cells")
+    parts = stage(_best(visits, cells.candidates, k, carry, tile_rows, chunk), "knn-found")
+    state, found = homes.withColumn("dists", F.array().cast("array<double>")), parts
+    for limit in ROUNDS:
+        kth = found.groupBy("block", "query_id").agg(F.collect_list("dist").alias("_new"))
+        # Only the k distances found so far travel with a query, not its neighbours.
+        state = state.join(kth, ["block", "query_id"], "left").withColumn(
+            "dists", F.slice(F.sort_array(F.concat("dists", F.coalesce("_new", F.array().cast("array<double>")))), 1, k)
+        ).drop("_new")
+        state = state.withColumn("bound", F.get("dists", F.lit(k - 1)))
+        visits = stage(cells.reach(state, limit), "knn-visits")
+        if visits.isEmpty():
+            break
+        asked = visits.withColumn("cell", F.explode("next")).drop("cells", "next", "more", "dists")
+        found = _best(asked, cells.candidates, k, carry, tile_rows, chunk)
+        state = visits.filter("more").drop("next", "more", "bound")
+        if limit is None or state.isEmpty():
+            return parts.unionByName(found)
+        found = stage(found, "knn-found")
+        parts = parts.unionByName(found)
+    return parts
+
+
+def _best(q: DataFrame, c: DataFrame, k: int, carry: Sequence[str], tile_rows: int, chunk: int) -> DataFrame:
     """Best k per query inside every (block, cell, tile), with queries salted into chunks.
 
     Input columns: q ``block, cell, query_id, v[, bound], *carry``; c ``block,
@@ -171,25 +194,16 @@ def _best(
     q, c = _spread(q, c, tile_rows, chunk)
     keys = ["block", "cell", "tile", "salt"]
     fields = {f.name: f.dataType for f in q.schema.fields}
-    if distances_only:
-        schema = f"block {fields['block'].simpleString()}, query_id {fields['query_id'].simpleString()}, dists array<double>"
-    else:
-        out = ["block", "query_id"] + list(carry)
-        match_type = c.schema["match_id"].dataType.simpleString()
-        schema = ", ".join(
-            [f"`{n}` {fields[n].simpleString()}" for n in out] + [f"match_id {match_type}", "rank int", "dist double"]
-        )
     carried = ["block", "query_id", *carry]
+    match_type = c.schema["match_id"].dataType.simpleString()
+    schema = ", ".join(
+        [f"`{n}` {fields[n].simpleString()}" for n in carried] + [f"match_id {match_type}", "rank int", "dist double"]
+    )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pc.sort_indices(right, sort_keys=[("match_id", "ascending")]))
         bound = left["bound"].to_numpy() if "bound" in left.column_names else None
         qi, ci, rank, dist = _nearest(_matrix(left["v"]), _matrix(right["v"]), k, bound)
-        if distances_only:
-            counts = np.bincount(qi, minlength=left.num_rows)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dist))
-            return left.select(["block", "query_id"]).append_column("dists", lists)
         out = left.select(carried).take(pa.array(qi))
         out = out.append_column("match_id", right["match_id"].take(pa.array(ci)))
         return out.append_column("rank", pa.array(rank.astype(np.int32))).append_column("dist", pa.array(dist))
@@ -326,7 +340,7 @@ class _Cells:
     def visit(self, q: DataFrame, k: int, probes: int | dict | None) -> DataFrame:
         """Home cells of each query: the ``probes`` nearest, or the nearest ones holding k candidates."""
 
-        def choose(v: np.ndarray, bound: None, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray, probes: int | None):
+        def choose(v: np.ndarray, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray, probes: int | None):
             first = min(len(centers), probes or 32)
             d, _ = _distances(v, centers)
             near = np.argpartition(d, first - 1, axis=1)[:, :first]
@@ -340,36 +354,73 @@ class _Cells:
                 counts = np.maximum(counts, first)
             return counts, near[np.arange(near.shape[1]) < counts[:, None]]
 
-        return self._with_cells(q, choose, lambda b: (probes[b] if isinstance(probes, dict) else probes,))
+        return self._with_cells(q, choose, lambda b: probes[b] if isinstance(probes, dict) else probes)
+
+    def reach(self, q: DataFrame, limit: int | None) -> DataFrame:
+        """Queries with open cells that are not among their ``cells``: the ``limit`` nearest of those as ``next``, added to
+        ``cells``, and whether there are ``more``.
 
-    def reach(self, q: DataFrame) -> DataFrame:
-        """All cells that may hold a candidate within the query's bound, home cells included."""
+        What a cell holds is at least as far as its centre less its radius. It is also nearer to that centre than to the
+        query's nearest one, so at least as far as the plane between the two. Rounding can only add visits.
+        """
+        model, names = self.model, q.columns
 
-        def choose(v: np.ndarray, bound: np.ndarray, centers: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
+        def choose(v, bound, seen, centers, sizes, radii):
             d, error = _distances(v, centers)
-            # Least possible distance to the centre, largest radius and bound: rounding can only add visits.
-            least = np.sqrt(np.maximum(d * d - error, 0.0))
-            most = (np.sqrt(bound)[:, None] + radii) * (1 + 1e-12)
-            open_ = (least <= most) & (sizes > 0)
-            return open_.sum(axis=1), np.nonzero(open_)[1]
+            most = np.sqrt(bound)[:, None]
+            near = np.sqrt(np.maximum(d * d - error, 0.0)) <= (most + radii) * (1 + 1e-12)
+            # Candidates chose their cells by distances of the same kind, so the plane is known up to their error.
+            spread = (np.sqrt(((centers - centers.mean(axis=0)) ** 2).sum(axis=1)) + radii).max()
+            slack = 2.0 * error.max(axis=1)[:, None] + 16e-16 * (v.shape[1] + 8) * spread * spread
+            home = d.argmin(axis=1)
+            gap, gap_error = _distances(centers[home], centers)
+            ahead = d * d - (d[np.arange(len(v)), home] ** 2)[:, None] - slack
+            # Kept as a product: the nearest centre itself has no gap.
+            open_ = near & (ahead <= 2.0 * np.sqrt(gap * gap + gap_error) * most * (1 + 1e-12)) & (sizes > 0)
+            lengths = np.array([len(s) for s in seen])
+            open_[np.repeat(np.arange(len(v)), lengths), np.concatenate(seen)] = False
+            counts = open_.sum(axis=1)
+            if limit is None or counts.max() <= limit:
+                return counts, np.nonzero(open_)[1], np.zeros(len(v), dtype=bool)
+            order = np.argsort(np.where(open_, d, np.inf), axis=1, kind="stable")[:, :limit]
+            taken = np.minimum(counts, limit)
+            return taken, order[np.arange(limit) < taken[:, None]], counts > limit
 
-        return self._with_cells(q.drop("cells"), choose)
+        def run(batches):
+            for batch in batches:
+                v, bound = _matrix(batch.column("v")), batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
+                bound = np.where(np.isnan(bound), np.inf, bound)
+                lists = batch.column("cells")
+                offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                parts, more = [], np.zeros(batch.num_rows, dtype=bool)
+                counted = np.zeros(batch.num_rows, dtype=np.int64)
+                for b, rows in _rows_by_block(batch.column("block"), model.value):
+                    step = max(1, _MATRIX // len(model.value[b][0]))
+                    for lo in range(0, len(rows), step):
+                        part = rows[lo : lo + step]
+                        seen = [flat[offsets[r] : offsets[r + 1]] for r in part]
+                        counts, cells, more[part] = choose(v[part], bound[part], seen, *model.value[b])
+                        counted[part] = counts
+                        parts.append((part, counts, cells))
+                added = _ragged(batch.num_rows, parts, 0)
+                yield batch.append_column("next", added).append_column("more", pa.array(more)).filter(pa.array(counted > 0))
+
+        schema = _ddl(q) + ", next array<int>, more boolean"
+        return q.mapInArrow(run, schema).select(*[n for n in names if n != "cells"], F.concat("cells", "next").alias("cells"), "next", "more")
 
-    def _with_cells(self, q: DataFrame, choose, more=lambda b: ()) -> DataFrame:
+    def _with_cells(self, q: DataFrame, choose, probes) -> DataFrame:
         """Add the chosen cells of each query; cell 0 in blocks without centres."""
-        model, names = self.model, q.columns
+        model = self.model
 
         def run(batches):
             for batch in batches:
                 v = _matrix(batch.column("v"))
-                bound = batch.column("bound").to_numpy(zero_copy_only=False) if "bound" in names else None
                 parts = []
                 for b, rows in _rows_by_block(batch.column("block"), model.value):
                     step = max(1, _MATRIX // len(model.value[b][0]))
                     for lo in range(0, len(rows), step):
                         part = rows[lo : lo + step]
-                        counts, cells = choose(v[part], None if bound is None else bound[part], *model.value[b], *more(b))
-                        parts.append((part, counts, cells))
+                        parts.append((part, *choose(v[part], *model.value[b], probes(b))))
                 yield batch.append_column("cells", _ragged(batch.num_rows, parts))
 
         return q.mapInArrow(run, _ddl(q) + ", cells array<int>")
@@ -432,9 +483,9 @@ def _rows_by_block(blocks: pa.Array, known: dict):
             yield name, np.flatnonzero(codes == code)
 
 
-def _ragged(n: int, parts: list) -> pa.Array:
-    """Lists for n rows from (rows, list lengths, values in that order); rows not mentioned hold a single 0."""
-    lengths = np.ones(n, dtype=np.int64)
+def _ragged(n: int, parts: list, other: int = 1) -> pa.Array:
+    """Lists for n rows from (rows, list lengths, values in that order); rows not mentioned hold ``other`` zeros."""
+    lengths = np.full(n, other, dtype=np.int64)
     for rows, counts, _ in parts:
         lengths[rows] = counts
     offsets = np.concatenate([[0], np.cumsum(lengths)])

@@ -167,3 +167,39 @@ def test_recall_of_one_small_pilots_and_empty_sides(spark):
     assert nb.knn_join(df, df.limit(0), 5, block="block", features="v", recall=0.9).isEmpty()
     with pytest.raises(ValueError):
         nb.knn_join(df, df, 5, block="block", features="v", recall=0.9, probes=3)
+
+
+def _visited(monkeypatch, df, k):
+    """Rows of the exact search, cells visited after the home cells, and cells within radius and first bound."""
+    tables, balls, real, reach = [], [], nb.stage, nb._Cells.reach
+
+    def spy(self, q, limit):
+        if not balls:
+            for r in q.collect():
+                centers, sizes, radii = self.model.value[r["block"]]
+                open_ = np.sqrt(((np.array(r["v"]) - centers) ** 2).sum(axis=1)) <= np.sqrt(r["bound"]) + radii
+                balls.append(int((open_ & (sizes > 0)).sum()) - len(r["cells"]))
+        return reach(self, q, limit)
+
+    monkeypatch.setattr(nb._Cells, "reach", spy)
+    monkeypatch.setattr(nb, "stage", lambda d, name: tables.append((name, real(d, name))) or tables[-1][1])
+    out = nb.knn_join(df, df, k, block="block", features="v", single_cell_rows=200, cell_rows=40, tile_rows=400)
+    return out, sum(t.agg(F.sum(F.size("next"))).first()[0] or 0 for name, t in tables if name == "knn-visits"), sum(balls)
+
+
+def test_best_first_rounds_visit_fewer_cells(spark, monkeypatch):
+    """Six tenths at most of the cells that radius and first bound leave open, with the same neighbours."""
+    df = _clustered(spark, 2_000)
+    out, visited, balls = _visited(monkeypatch, df, 30)
+    assert edges(out) == edges(nb.knn_join(df, df, 30, block="block", features="v"))
+    assert 0 < visited < 0.6 * balls
+
+
+def test_no_pair_comes_twice_and_repeats_stay(spark, monkeypatch):
+    """Repeated vectors over many cells and rounds of one cell each."""
+    monkeypatch.setattr(nb, "ROUNDS", (1, 1, 1, None))
+    q, c, rows = frames(spark, np.random.default_rng(21), 700, dims=3, ties=True)
+    out = nb.knn_join(q, c, 9, block="block", features="v", **SMALL_CELLS)
+    assert out.groupBy("query_id", "match_id").count().filter("count > 1").isEmpty()
+    got = edges(out)
+    assert all([j for _, j in got[i]] == [j for _, j in near] for i, near in brute(rows, 9).items())

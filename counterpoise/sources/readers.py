@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterpoise.session import stage
 
+_BLANKS = " \t\r\n"
 # Fixed schemas of the raw review and product files.
 REVIEW_SCHEMA = (
     "rating float, title string, text string, images array<string>, asin string, parent_asin string, "
@@ -39,41 +40,59 @@ def read_json_by_file(
 
 
 def read_key_dictionary(spark: SparkSession, path: str, key: str = "key", value: str = "category") -> DataFrame:
-    """A single JSON object ``{"k": "v", ...}`` as rows (key, value); compact, spaced or with an entry per line.
+    """A single JSON object ``{"k": "v", ...}`` per file as rows (key, value); compact, spaced or with an entry per line.
 
-    The object may be gigabytes on one line, so the text is cut at the separator between two entries and every task parses
-    its own share. Each piece must hold exactly one entry. A string that ends in an escaped quote and a comma looks like a
-    separator and leaves two pieces that do not parse; such a file is read once more as one text per file. What is no
-    object of strings even then raises a ``ValueError``: no entry is lost without a word.
+    The object may be gigabytes on one line, so the text is cut at every comma and Spark reads its slices in parallel. A comma
+    parts two entries if an even number of quotes, escaped ones aside, stands before it in the file: each slice counts its
+    quotes and its commas for both possible starts, prefix sums over the slices of a file say which start is true, and the
+    pieces of an entry are put together by its number. A task holds one slice, or the pieces of one entry. Blank files and
+    empty objects have no rows. What is no object of strings raises a ``ValueError``: no entry is lost without a word.
     """
-    # What follows the commas tells the form; most of them stand between entries.
-    after = [r[0] for r in spark.read.option("lineSep", ",").text(path).head(200)][1:]
-    forms = {"\n": r"\s*\n\s*\"", '","': '"', '", "': ' "'}
-    separator = max(forms, key=lambda f: sum(bool(re.match(forms[f], piece)) for piece in after))
-    if separator == "\n":
-        line = F.regexp_replace(F.regexp_replace("value", r"^\s*\{?\s*|\s+$", ""), r",$|\s*\}$", "")
-        body = F.when(line != "", F.concat(F.lit("{"), line, F.lit("}")))
-    else:
-        # Only the object's own braces go; blanks at the ends of a string are part of it.
-        entry = F.regexp_replace(F.regexp_replace("value", r'^\s*\{\s*"', ""), r'(?<!\\)"\s*\}\s*$', "")
-        body = F.when(~entry.rlike(r"^\s*(\{\s*\})?\s*$"), F.concat(F.lit('{"'), entry, F.lit('"}')))
-    pieces = spark.read.option("lineSep", separator).text(path)
-    # A file that does not end in the closing brace is cut off.
-    pieces = pieces.select(body.alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("value").rlike(r"\}\s*$").alias("closed"))
-    # An entry has four quotes that are not escaped; more of them would be text that the parser leaves out.
-    bare = F.regexp_replace("piece", r"\\.", "")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
     quotes = F.length(bare) - F.length(F.translate(bare, '"', ""))
-    m = F.from_json("piece", "map<string,string>").alias("m")
-    parsed = stage(pieces.select(m, quotes.alias("quotes"), F.col("piece").isNotNull().alias("entry"), "file", "closed"), "key-dictionary")
-    whole_files = parsed.groupBy("file").agg(F.bool_or("closed").alias("closed")).where("NOT closed").isEmpty()
-    if whole_files and parsed.where("entry AND (m IS NULL OR size(m) <> 1 OR quotes <> 4)").isEmpty():
-        return parsed.select(F.explode("m").alias(key, value))
-    whole = spark.read.option("wholetext", True).text(path).where(F.trim("value") != "")
-    whole = whole.withColumnRenamed("value", "piece")
-    parsed = stage(whole.select(F.from_json("piece", "map<string,string>").alias("m"), quotes.alias("quotes")), "key-dictionary")
-    if not parsed.where("m IS NULL OR quotes <> 4 * size(m)").isEmpty():
+    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    # Ids grow with the place in a slice, starts of slices with the place in a file.
+    read = spark.read.option("lineSep", ",").text(path).select("value", file, block, F.monotonically_increasing_id().alias("at"), quotes.alias("quotes"))
+    so_far = W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = so_far.rowsBetween(W.unboundedPreceding, -1)
+    pieces = read.withColumn("odd", F.sum("quotes").over(so_far) % 2)
+    for start, name in ((0, "if_even"), (1, "if_odd")):
+        pieces = pieces.withColumn(name, F.coalesce(F.count(F.when(F.col("odd") == start, 1)).over(before), F.lit(0)))
+    pieces = stage(pieces, "dictionary-pieces")
+
+    cuts = lambda start: F.count(F.when(F.col("odd") == start, 1))
+    slices = pieces.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("parity"), cuts(0).alias("even"), cuts(1).alias("odd"), F.max(F.trim("value", F.lit(_BLANKS)) != "").alias("text"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("starts_odd", F.coalesce(F.sum("parity").over(earlier), F.lit(0)) % 2 == 1)
+    slices = slices.withColumn("cuts", F.when(F.col("starts_odd"), F.col("odd")).otherwise(F.col("even")))
+    whole = W.partitionBy("file")
+    # The last piece of a closed object counts as cut, so cuts are entries; an open string at the end leaves one entry more.
+    slices = stage(
+        slices.select(
+            "file", "block", "starts_odd", F.coalesce(F.sum("cuts").over(earlier), F.lit(0)).alias("first"),
+            F.sum("cuts").over(whole).alias("entries"), F.max("text").over(whole).alias("text"),
+        ).filter("text").drop("text"), "dictionary-slices",
+    )
+    number = F.col("first") + F.when(F.col("starts_odd"), F.col("if_odd")).otherwise(F.col("if_even"))
+    numbered = pieces.join(slices, ["file", "block"]).select("file", "entries", number.alias("number"), F.struct("block", "at", "value").alias("piece"), "quotes")
+    entries = numbered.groupBy("file", "entries", "number").agg(
+        F.trim(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["value"]), ","), F.lit(_BLANKS)).alias("body"),
+        F.sum("quotes").alias("quotes"),
+    )
+    is_first, is_last = F.col("number") == 0, F.col("number") == F.col("entries") - 1
+    opened = ~is_first | F.startswith("body", F.lit("{"))
+    closed = (~is_last | F.endswith("body", F.lit("}"))) & (F.col("number") < F.col("entries"))
+    # Only the object's own braces go; blanks at the ends of a string are part of it.
+    start, cut = F.when(is_first, 2).otherwise(1), is_first.cast("int") + is_last.cast("int")
+    inner = F.trim(F.substring("body", start, F.length("body") - cut), F.lit(_BLANKS))
+    empty = (F.col("entries") == 1) & (inner == "")
+    # An entry has four quotes that are not escaped; more of them would be text that the parser leaves out.
+    m = F.from_json(F.concat(F.lit("{"), inner, F.lit("}")), "map<string,string>")
+    parsed = entries.select((opened & closed).alias("ends"), empty.alias("empty"), "quotes", m.alias("m"))
+    parsed = stage(parsed, "key-dictionary")
+    if not parsed.where("NOT ends OR NOT empty AND (m IS NULL OR size(m) <> 1 OR quotes <> 4)").isEmpty():
         raise ValueError(f"{path} holds something else than one JSON object of strings per file")
-    return parsed.select(F.explode("m").alias(key, value))
+    return parsed.where("NOT empty").select(F.explode("m").alias(key, value))
 
 
 def dictionary_values(dictionary: DataFrame, value: str = "category") -> DataFrame:

@@ -8,14 +8,17 @@ from counterpoise.plans.reviews import review_features
 from counterpoise.sources import readers, writers
 
 
-def test_key_dictionary_is_read_in_pieces(spark, tmp_path):
+def test_key_dictionary_is_read_in_pieces(spark, tmp_path, monkeypatch):
     entries = {f"B{i:05d}": ["Arts, Crafts & Sewing", 'a "quoted", "pair"', "plain", "back\\slash"][i % 4] for i in range(5_000)}
     path = tmp_path / "d.json"
     path.write_text(json.dumps(entries))
+    slices, real = [], readers.stage
+    monkeypatch.setattr(readers, "stage", lambda df, name: slices.append(df.count()) or real(df, name) if name == "dictionary-slices" else real(df, name))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         frame = readers.read_key_dictionary(spark, str(path))
-        assert frame.rdd.getNumPartitions() > 4
+        # As many slices as the file has room for, each counted on its own.
+        assert slices == [-(-path.stat().st_size // 20_000)] and slices[0] > 4
         assert {r["key"]: r["category"] for r in frame.collect()} == entries
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -31,7 +34,31 @@ def test_key_dictionary_keeps_every_entry(spark, tmp_path, form):
     assert {r["key"]: r["category"] for r in readers.read_key_dictionary(spark, str(path)).collect()} == entries
 
 
-@pytest.mark.parametrize("text", ['{"a": "b", "c": 1 2}', '{"a": "b"', '{"a": "b"} {"c": "d"}'])
+def test_key_dictionary_entries_cross_slices(spark, tmp_path):
+    """Slices of 500 bytes: values over several slices, quotes and commas at their edges, several files of several forms."""
+    long = ['x, "y" ' * 300, '\\",\\', '",' * 400, "\\" * 999 + '"', "", "plain, "]
+    forms = [{"separators": (",", ":")}, {"indent": 1}, {}]
+    want = {}
+    for f, form in enumerate(forms):
+        entries = {f"{f}-{i}": long[(i * 5 + f) % len(long)] for i in range(60)}
+        want |= entries
+        (tmp_path / f"d{f}.json").write_text(json.dumps(entries, **form))
+    (tmp_path / "blank.json").write_text(" \n")
+    (tmp_path / "none.json").write_text("{ }\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = readers.read_key_dictionary(spark, str(tmp_path / "*.json")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 180 and {r["key"]: r["category"] for r in rows} == want
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{"a": "b", "c": 1 2}', '{"a": "b"', '{"a": "b"} {"c": "d"}', '{"a": "b",, "c": "d"}', '{"a": {"b": "c", "d": "e"}}', '{"a": "b",}', '"a": "b"', '{"a": "b, "c": "d"}', "{"],
+)
 def test_key_dictionary_names_what_it_cannot_read(spark, tmp_path, text):
     path = tmp_path / "d.json"
     path.write_text(text)

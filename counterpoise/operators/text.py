@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -115,28 +116,91 @@ def weighted_bigrams(df: DataFrame, weight: str | None = None, text: str = "text
 
     A null weight counts as 0, and the row's pairs and word types stay. A word that very many others follow is spread over tasks.
     """
-    w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
-    rows = df.select(w.alias("_w"), words(text).alias("_t"))
-    pairs = rows.filter(F.size("_t") > 1).select(
-        "_w",
-        F.explode(
-            F.zip_with(
-                F.slice("_t", F.lit(1), F.size("_t") - 1), F.slice("_t", F.lit(2), F.size("_t") - 1),
-                lambda a, b: F.struct(a.alias("previous"), b.alias("token")),
-            )
-        ).alias("_p"),
-    )
-    counts = stage(
-        pairs.groupBy(F.col("_p.previous").alias("previous"), F.col("_p.token").alias("token")).agg(F.sum("_w").alias("c")),
-        "bigrams",
-    )
-    types = rows.select(F.explode("_t").alias("token")).distinct().count()
+    counts = _pair_counts(df, weight, text)
+    types = df.select(F.explode(words(text)).alias("token")).distinct().count()
     context = counts.groupBy("previous").agg(F.sum("c").alias("_context"))
     return salted_join(counts, context, ["previous"], "token", "inner").select(
         "previous", "token", "c", ((F.col("c") + alpha) / (F.col("_context") + alpha * types)).alias("p")
     )
 
 
+def _pair_counts(df: DataFrame, weight: str | None, text: str) -> DataFrame:
+    """``previous, token, c, n``: summed weights and occurrences of neighbouring words."""
+    w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    pairs = df.select(w.alias("_w"), F.explode(_neighbours(text)).alias("_p")).filter(F.col("_p.previous").isNotNull())
+    return stage(
+        pairs.groupBy(F.col("_p.previous").alias("previous"), F.col("_p.token").alias("token")).agg(F.sum("_w").alias("c"), F.count(F.lit(1)).alias("n")),
+        "bigrams",
+    )
+
+
+def _neighbours(text: str) -> Column:
+    """Every word with the one before it, which is null for the first."""
+    t = words(text)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))))
+    return F.zip_with(F.when(F.size(t) > 0, before).otherwise(t), t, lambda a, b: F.struct(a.alias("previous"), b.alias("token")))
+
+
+class BackoffModel(NamedTuple):
+    """Interpolated bigrams: seen pairs with their probability, contexts with their back-off weight, and the unigrams."""
+
+    pairs: DataFrame
+    contexts: DataFrame
+    unigrams: DataFrame
+
+
+def backoff_bigrams(df: DataFrame, weight: str | None = None, text: str = "text", alpha: float = 1.0) -> BackoffModel:
+    """Row-weighted bigrams interpolated with the unigrams of ``weighted_unigrams``.
+
+    ``p(token | previous) = c / (C + T) + T / (C + T) * p(token)`` with the context's summed weight C and its T different
+    followers, so that a context of many followers trusts its pairs less. Pairs never seen keep the second term, contexts
+    never seen the unigram alone. Null weights count 0. ``pairs``: ``pair, n, p``, ``contexts``: ``previous, n, back``.
+    """
+    unigrams = stage(weighted_unigrams(df, weight, text, alpha), "backoff-unigrams")
+    counts = _pair_counts(df, weight, text)
+    contexts = stage(
+        counts.groupBy("previous").agg(F.sum("n").alias("n"), F.sum("c").alias("_sum"), F.count(F.lit(1)).alias("_followers")), "backoff-contexts"
+    )
+    below = F.col("_sum") + F.col("_followers")
+    # A word that follows many others is answered from the head of the unigrams, a context of many followers is salted.
+    single = frequent_first_lookup(counts.withColumnRenamed("n", "_n"), unigrams.select("token", "n", F.col("p").alias("_single")), "token", "n", "previous")
+    joined = salted_join(single, contexts.drop("n"), ["previous"], "token", "inner")
+    pairs = joined.select(_pair(), F.col("_n").alias("n"), ((F.col("c") + F.col("_followers") * F.col("_single")) / below).alias("p"))
+    return BackoffModel(stage(pairs, "backoff-pairs"), contexts.select("previous", "n", (F.col("_followers") / below).alias("back")), unigrams)
+
+
+def _pair() -> Column:
+    # Words hold no newline, so it parts them.
+    return F.concat("previous", F.lit("\n"), "token").alias("pair")
+
+
+def backoff_perplexity(df: DataFrame, model: BackoffModel, unit_id: str = "unit_id", text: str = "text") -> DataFrame:
+    """``exp(-mean log p)`` of every whole document under the bigrams; its first word goes by the unigrams: ``unit_id, perplexity, tokens``.
+
+    A pair that a document repeats is looked up once; only unseen pairs go on to their context and word. A document without
+    words stays, with 0 tokens and a null perplexity.
+    """
+    first = model.unigrams.select("p_unknown").first()
+    unknown = F.lit(float(first[0]) if first else 1.0)
+    pairs = df.select(unit_id, F.explode_outer(_neighbours(text)).alias("_p")).groupBy(
+        unit_id, F.col("_p.previous").alias("previous"), F.col("_p.token").alias("token")
+    ).agg(F.count("_p").alias("_m"))
+    # What needs no answer asks for a key that no table holds, spread by document.
+    nothing = F.concat(F.lit(" "), F.col(unit_id).cast("string"))
+    ask = lambda open_, key: F.when(open_, key).otherwise(nothing)
+    scored = pairs.withColumn("_pair", ask(F.col("previous").isNotNull(), _pair()))
+    scored = frequent_first_lookup(scored, model.pairs.select(F.col("pair").alias("_pair"), "n", F.col("p").alias("_seen")), "_pair", "n", unit_id)
+    open_ = F.col("_seen").isNull() & F.col("token").isNotNull()
+    scored = scored.withColumn("_context", ask(open_ & F.col("previous").isNotNull(), F.col("previous")))
+    scored = frequent_first_lookup(scored, model.contexts.select(F.col("previous").alias("_context"), "n", "back"), "_context", "n", unit_id)
+    scored = scored.withColumn("_word", ask(open_, F.col("token")))
+    scored = frequent_first_lookup(scored, model.unigrams.select(F.col("token").alias("_word"), "n", F.col("p").alias("_single")), "_word", "n", unit_id)
+    p = F.coalesce("_seen", F.coalesce("back", F.lit(1.0)) * F.coalesce("_single", unknown))
+    return scored.groupBy(unit_id).agg(
+        F.exp(-F.try_divide(F.sum(F.when(F.col("token").isNotNull(), F.col("_m") * F.log(p))), F.sum("_m"))).alias("perplexity"), F.sum("_m").alias("tokens")
+    )
+
+
 def perplexities(
     df: DataFrame, models: DataFrame, weights: Sequence[str], unit_id: str = "unit_id", text: str = "text"
 ) -> DataFrame:

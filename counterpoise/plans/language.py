@@ -114,6 +114,33 @@ def doc_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return _perplexity(spark, sf, "w_right").withColumn("perplexity", rounded("perplexity", 4))
 
 
+def _backoff_sql(weight: str) -> str:
+    return f"""WITH {DOCS_SQL}, {_unigram_sql('lm', f'coalesce({weight},0)', 's=1')}, t AS (SELECT coalesce({weight},0) AS w, {words_sql('text')} AS t FROM docs WHERE s=1),
+g AS (SELECT w, unnest(t[1:len(t)-1]) AS previous, unnest(t[2:len(t)]) AS token FROM t WHERE len(t)>1),
+c AS (SELECT previous, token, sum(w) AS c FROM g GROUP BY 1,2), x AS (SELECT previous, sum(c) AS s, count(*) AS f FROM c GROUP BY 1),
+l AS (SELECT unit_id, {words_sql('text')} AS t FROM docs), e AS (SELECT unit_id, unnest(t) AS token, unnest(list_concat([NULL], t[1:len(t)-1])) AS previous FROM l WHERE len(t)>0),
+z AS (SELECT e.unit_id, ln(coalesce(c.c/(x.s+x.f),0) + coalesce(x.f/(x.s+x.f),1)*coalesce(lm.p,(SELECT any_value(p_unknown) FROM lm))) AS q
+  FROM e LEFT JOIN lm ON lm.token=e.token LEFT JOIN x ON x.previous=e.previous LEFT JOIN c ON c.previous=e.previous AND c.token=e.token)
+SELECT d.unit_id, round(exp(-avg(q)),4) AS perplexity, count(q) AS tokens FROM docs d LEFT JOIN z ON z.unit_id=d.unit_id GROUP BY d.unit_id"""
+
+
+def _backoff(spark: SparkSession, sf: str, weight: str) -> DataFrame:
+    docs = weighted_documents(spark, sf)
+    out = text.backoff_perplexity(docs, text.backoff_bigrams(cx.treated(docs), weight))
+    return out.withColumn("perplexity", rounded("perplexity", 4))
+
+
+@query(_backoff_sql("w_right"))
+def bigram_perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    return _backoff(spark, sf, "w_right")
+
+
+@query(_backoff_sql("w_wrong"))
+def bigram_perplexity_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """With weights that are null in some rows."""
+    return _backoff(spark, sf, "w_wrong")
+
+
 _EMPTY_DOCS = """docs AS (SELECT unit_id, category, CASE WHEN unit_id%3=0 THEN '' WHEN unit_id%7=0 THEN NULL ELSE text END AS text, s, w_right FROM full_docs)"""
 
 

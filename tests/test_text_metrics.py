@@ -120,3 +120,43 @@ def test_bigrams_with_null_weights(spark):
     df = spark.createDataFrame([("a b a b", None), ("a c", 2.0), ("d", 1.0), ("", 1.0), (None, 1.0)], "text string, w double")
     got = {(r.previous, r.token): (r.c, r.p) for r in text.weighted_bigrams(df, "w").collect()}
     assert got == {("a", "b"): (0.0, 1 / 6), ("b", "a"): (0.0, 1 / 4), ("a", "c"): (2.0, 3 / 6)}
+
+
+@pytest.mark.parametrize("head", [50_000, 2])
+def test_backoff_bigrams_equal_a_plain_count(spark, docs, head, monkeypatch):
+    """Against sums in dictionaries, also where the lookups go through a head and a tail."""
+    import functools
+
+    monkeypatch.setattr(text, "frequent_first_lookup", functools.partial(text.frequent_first_lookup, head_rows=head))
+    rows = [(1, "a b a\nc a b", 1.0), (2, "b  b a", 2.0), (3, "", 1.0), (4, None, 1.0), (5, "z " * 30, 0.5), (6, "q r a b", None), (7, "b", 1.0), (8, "c z", 0.0)]
+    train = spark.createDataFrame(rows, "unit_id long, text string, w double")
+    scored = spark.createDataFrame([(10, "a b z new a"), (11, "new"), (12, " "), (13, None), (14, "q r r b z z z"), (15, "c z c a")], "unit_id long, text string")
+    single, pair, follow = {}, {}, {}
+    for _, t, w in rows:
+        ws = (t or "").split()
+        for x in ws:
+            single[x] = single.get(x, 0) + (w or 0)
+        for x, y in zip(ws, ws[1:]):
+            pair[x, y] = pair.get((x, y), 0) + (w or 0)
+            follow.setdefault(x, set()).add(y)
+    total = sum(single.values()) + len(single) + 1
+    one = lambda y: (single.get(y, 0) + 1) / total
+
+    def p(x, y):
+        if x not in follow:
+            return one(y)
+        big, kinds = sum(pair[x, z] for z in follow[x]), len(follow[x])
+        return (pair.get((x, y), 0) + kinds * one(y)) / (big + kinds)
+
+    model = text.backoff_bigrams(train, "w")
+    for x in list(follow) + ["new"]:
+        assert sum(p(x, y) for y in single) + p(x, "unseen") == pytest.approx(1)
+    got = {r["unit_id"]: r for r in text.backoff_perplexity(scored, model).collect()}
+    for r in scored.collect():
+        ws = (r["text"] or "").split()
+        logs = [math.log(p(x, y)) for x, y in zip([None] + ws, ws)]
+        assert got[r["unit_id"]]["tokens"] == len(ws)
+        want = math.exp(-sum(logs) / len(ws)) if ws else None
+        assert got[r["unit_id"]]["perplexity"] == (pytest.approx(want) if ws else None)
+    empty = text.backoff_bigrams(train.limit(0), "w")
+    assert text.backoff_perplexity(scored, empty).filter("perplexity <> 1").isEmpty() and text.backoff_perplexity(scored.limit(0), model).isEmpty()

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from counterpoise.functions.features import UNKNOWN, normalize_name, present
 
+# Values of one column that may become columns of their own.
+MAX_CATEGORIES = 1_000
+
 
 def columns_with_prefix(df: DataFrame, prefixes: Sequence[str], exclude: Iterable[str] = ()) -> list[str]:
     """Columns starting with any prefix, sorted, without the excluded ones."""
@@ -22,6 +25,14 @@ def without_columns(df: DataFrame, names: Iterable[str] = (), prefixes: Sequence
     return df.select(*[c for c in df.columns if c not in drop and not (prefixes and c.startswith(tuple(prefixes)))])
 
 
+def category_list(df: DataFrame, column: str = "category", most: int = MAX_CATEGORIES) -> list:
+    """Distinct values in order, to become columns; more than ``most`` of them are refused, not collected. Nulls are left out."""
+    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values: too many to become columns")
+    return sorted(values)
+
+
 def one_hot(df: DataFrame, column: str, values: Iterable[str], prefix: str = "category_") -> DataFrame:
     """0/1 columns for a known list of values in one projection; rows of unknown category leave first."""
     known = df.filter(F.col(column) != UNKNOWN)

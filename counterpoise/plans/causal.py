@@ -360,7 +360,8 @@ def resample_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model_units(spark: SparkSession, sf: str) -> DataFrame:
-    base = cx.one_hot(units(spark, sf), "category", [r[0] for r in units(spark, sf).select("category").distinct().collect()])
+    rows = units(spark, sf)
+    base = cx.one_hot(rows, "category", cx.category_list(rows))
     return stage(base, "model-units")
 
 

@@ -16,7 +16,7 @@ from counterpoise.operators.splits import assign_split
 from counterpoise.plans.fixtures import DOCS_SQL, table, u_sql, weighted_documents, words_sql
 from counterpoise.plans.registry import query, rounded
 from counterpoise.session import scratch_path, settled, stage
-from counterpoise.sources.readers import PRODUCT_SCHEMA, REVIEW_SCHEMA, dictionary_values, read_json_by_file, read_json_lines
+from counterpoise.sources.readers import PRODUCT_SCHEMA, REVIEW_SCHEMA, read_json_by_file, read_json_lines
 
 # Fixed columns of the study.
 BASELINE = ["title_length", "description_length", "image_count", "video_count", "details_length"]
@@ -45,7 +45,7 @@ def review_features(
     known = lookup.lookup_category(facts, dictionary.select(F.col("key").alias("parent_asin"), "category"), "parent_asin", unit_id)
     known = known.filter(F.col("category") != fx.UNKNOWN)
     joined = lookup.salted_join(known, slim, keys, unit_id, "left").na.fill(0, subset=BASELINE)
-    values = [row["category"] for row in dictionary_values(dictionary).collect()]
+    values = cx.category_list(dictionary)
     encoded = cx.one_hot(joined, "category", values)
     return encoded.select(
         unit_id, "category", *cx.columns_with_prefix(encoded, ["category_"]), *BASELINE, "verified_purchase", "rating", "title", "text"

@@ -12,7 +12,6 @@ from counterpoise.operators import columns as cx
 from counterpoise.operators import lookup, reports, splits
 from counterpoise.plans.fixtures import DOCS_SQL, UNITS_SQL, labelled_documents, table, u_sql, units, weighted_documents
 from counterpoise.plans.registry import query, rounded as r6
-from counterpoise.sources.readers import dictionary_values
 
 @query("""SELECT doc_id AS unit_id, CAST(coalesce(length(t),0) AS INT) AS text_length, CAST(coalesce(len(string_split(t,' ')),0) AS INT) AS piece_count,
   CAST(coalesce(length(array_to_string(string_split(t,' '),' ')),0) AS INT) AS joined_length
@@ -48,7 +47,7 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
 ) + """ FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name<>'AFRICA'""")
 def onehot_category(spark: SparkSession, sf: str) -> DataFrame:
     dictionary = _regions(spark, sf)
-    values = [row["category"] for row in dictionary_values(dictionary).collect()]
+    values = cx.category_list(dictionary)
     found = lookup.lookup_category(table(spark, sf, "customer"), dictionary, "c_nationkey", "c_custkey")
     encoded = cx.one_hot(found, "category", values)
     return encoded.select(

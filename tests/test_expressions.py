@@ -95,3 +95,10 @@ def test_choose_weight(spark):
 def test_nonzero_weight_keeps_negative(spark):
     df = spark.createDataFrame([(0.0,), (-1.0,), (2.0,)], "w double")
     assert cx.nonzero_weight(df, "w").count() == 2
+
+
+def test_category_list_refuses_what_is_too_long(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "category string")
+    assert cx.category_list(df) == ["a", "b"] == cx.category_list(df, most=2)
+    with pytest.raises(ValueError, match="category has more than 1 values"):
+        cx.category_list(df, most=1)

@@ -76,6 +76,36 @@ def test_personal_data_found_and_clean_numbers_left(frame, odd):
     assert pii.find_personal_data(frame([])).count() == 0
 
 
+def test_personal_data_in_a_zone_as_long_as_the_text():
+    """A hundred thousand characters of numbers in one zone: under 40 bytes of memory a character."""
+    import tracemalloc
+
+    text = "tel +1 (736) 555-2678, 4111 1111 1111 1111; " * 2_500
+    assert list(pii._zones(text)) == [(0, len(text))]
+    pii.find_spans(text[:400], pii.PRIOR)
+    tracemalloc.start()
+    base, every = pii.find_spans(text, pii.PRIOR)
+    results, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(base) == 5_000 <= len(every) and peak - results < 40 * len(text)
+
+
+def test_personal_data_sample_does_not_depend_on_files(spark):
+    rows = [(i, f"call 555{i:05d} or a{i}@b.org") for i in range(3_000)] + [(9_000 + i, "no sign") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = pii.sample_texts(df.coalesce(1), sample_rows=40), pii.sample_texts(df.orderBy(F.col("doc_id").desc()).repartition(13), sample_rows=40)
+    assert one == many and len(set(one)) == 40
+
+
+def test_personal_data_examples_come_from_every_kind_and_text(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "_examples", lambda zone, spans: seen.append((zone, spans)) or [(zone, spans)])
+    mails = ["mail a%d@b.org now" % i + "\n" + "x" * 300 + "\nmail c@d.org" for i in range(100)]
+    rare = ["ip 42.144.35.254", "pay 4111 1111 1111 1111", "tel +1 (736) 555-2678"]
+    pii.fit(mails + rare, zones=40, steps=1)
+    assert {s[0][1] for _, s in seen if s} == {0, 1, 2, 3} and len({z for z, _ in seen if "a" in z and "@b" in z}) >= 30
+
+
 def test_quality_separates_held_out_rows(spark, small):
     scored = quality.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where(quality.held_out("doc_id"))

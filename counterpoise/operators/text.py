@@ -154,7 +154,7 @@ def backoff_bigrams(df: DataFrame, weight: str | None = None, text: str = "text"
 
     ``p(token | previous) = c / (C + T) + T / (C + T) * p(token)`` with the context's summed weight C and its T different
     followers, so that a context of many followers trusts its pairs less. Pairs never seen keep the second term, contexts
-    never seen the unigram alone. Null weights count 0. ``pairs``: ``pair, n, p``, ``contexts``: ``previous, n, back``.
+    never seen the unigram alone. Null weights count 0. ``pairs``: ``previous, token, p``, ``contexts``: ``previous, n, back``.
     """
     unigrams = stage(weighted_unigrams(df, weight, text, alpha), "backoff-unigrams")
     counts = _pair_counts(df, weight, text)
@@ -163,42 +163,36 @@ def backoff_bigrams(df: DataFrame, weight: str | None = None, text: str = "text"
     )
     below = F.col("_sum") + F.col("_followers")
     # A word that follows many others is answered from the head of the unigrams, a context of many followers is salted.
-    single = frequent_first_lookup(counts.withColumnRenamed("n", "_n"), unigrams.select("token", "n", F.col("p").alias("_single")), "token", "n", "previous")
+    single = frequent_first_lookup(counts.drop("n"), unigrams.select("token", "n", F.col("p").alias("_single")), "token", "n", "previous")
     joined = salted_join(single, contexts.drop("n"), ["previous"], "token", "inner")
-    pairs = joined.select(_pair(), F.col("_n").alias("n"), ((F.col("c") + F.col("_followers") * F.col("_single")) / below).alias("p"))
-    return BackoffModel(stage(pairs, "backoff-pairs"), contexts.select("previous", "n", (F.col("_followers") / below).alias("back")), unigrams)
-
-
-def _pair() -> Column:
-    # Words hold no newline, so it parts them.
-    return F.concat("previous", F.lit("\n"), "token").alias("pair")
+    pairs = joined.select("previous", "token", ((F.col("c") + F.col("_followers") * F.col("_single")) / below).alias("p"))
+    return BackoffModel(pairs, contexts.select("previous", "n", (F.col("_followers") / below).alias("back")), unigrams)
 
 
 def backoff_perplexity(df: DataFrame, model: BackoffModel, unit_id: str = "unit_id", text: str = "text") -> DataFrame:
     """``exp(-mean log p)`` of every whole document under the bigrams; its first word goes by the unigrams: ``unit_id, perplexity, tokens``.
 
-    A pair that a document repeats is looked up once; only unseen pairs go on to their context and word. A document without
-    words stays, with 0 tokens and a null perplexity.
+    Each different pair of all documents is scored once, unseen ones by their context and word; the documents then look up
+    finished scores, the most frequent pairs first. A document without words stays, with 0 tokens and a null perplexity.
     """
     first = model.unigrams.select("p_unknown").first()
     unknown = F.lit(float(first[0]) if first else 1.0)
-    pairs = df.select(unit_id, F.explode_outer(_neighbours(text)).alias("_p")).groupBy(
-        unit_id, F.col("_p.previous").alias("previous"), F.col("_p.token").alias("token")
-    ).agg(F.count("_p").alias("_m"))
-    # What needs no answer asks for a key that no table holds, spread by document.
-    nothing = F.concat(F.lit(" "), F.col(unit_id).cast("string"))
-    ask = lambda open_, key: F.when(open_, key).otherwise(nothing)
-    scored = pairs.withColumn("_pair", ask(F.col("previous").isNotNull(), _pair()))
-    scored = frequent_first_lookup(scored, model.pairs.select(F.col("pair").alias("_pair"), "n", F.col("p").alias("_seen")), "_pair", "n", unit_id)
-    open_ = F.col("_seen").isNull() & F.col("token").isNotNull()
-    scored = scored.withColumn("_context", ask(open_ & F.col("previous").isNotNull(), F.col("previous")))
-    scored = frequent_first_lookup(scored, model.contexts.select(F.col("previous").alias("_context"), "n", "back"), "_context", "n", unit_id)
-    scored = scored.withColumn("_word", ask(open_, F.col("token")))
-    scored = frequent_first_lookup(scored, model.unigrams.select(F.col("token").alias("_word"), "n", F.col("p").alias("_single")), "_word", "n", unit_id)
-    p = F.coalesce("_seen", F.coalesce("back", F.lit(1.0)) * F.coalesce("_single", unknown))
-    return scored.groupBy(unit_id).agg(
-        F.exp(-F.try_divide(F.sum(F.when(F.col("token").isNotNull(), F.col("_m") * F.log(p))), F.sum("_m"))).alias("perplexity"), F.sum("_m").alias("tokens")
-    )
+    asked = df.select(F.explode(_neighbours(text)).alias("_p")).groupBy(F.col("_p.previous").alias("previous"), F.col("_p.token").alias("token"))
+    scored = asked.agg(F.count(F.lit(1)).alias("_asked")).join(model.pairs, ["previous", "token"], "left")
+    # What needs no answer asks for a key that no table holds, spread by word.
+    ask = lambda open_, key: F.when(open_, F.col(key)).otherwise(F.concat(F.lit(" "), F.col("token")))
+    scored = scored.withColumn("_context", ask(F.col("p").isNull() & F.col("previous").isNotNull(), "previous"))
+    scored = frequent_first_lookup(scored, model.contexts.select(F.col("previous").alias("_context"), "n", "back"), "_context", "n", "token")
+    scored = scored.withColumn("_word", ask(F.col("p").isNull(), "token"))
+    scored = frequent_first_lookup(scored, model.unigrams.select(F.col("token").alias("_word"), "n", F.col("p").alias("_single")), "_word", "n", "token")
+    p = F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.coalesce("_single", unknown))
+    # Words hold no newline, so it parts them; the first word of a text has nothing before it.
+    pair = F.concat(F.coalesce("previous", F.lit("")), F.lit("\n"), "token").alias("_pair")
+    table = scored.select(pair, F.col("_asked").alias("n"), F.log(p).alias("_log"))
+    rows = df.select(unit_id, F.explode_outer(_neighbours(text)).alias("_p")).select(unit_id, "_p.previous", "_p.token").select(unit_id, pair)
+    found = frequent_first_lookup(rows, table, "_pair", "n", unit_id)
+    # Every pair has a score, so the scores tell how many words there are.
+    return found.groupBy(unit_id).agg(F.exp(-F.avg("_log")).alias("perplexity"), F.count("_log").alias("tokens"))
 
 
 def perplexities(

@@ -6,8 +6,9 @@ log(trusted / raw), so its length does not count. A document is kept when its wo
 windows, and its score reaches ``threshold``: a fixed rule, no sampling.
 
 Raw counts cover all documents, in one pass: each task sums its buckets, and what reaches the driver are two numbers a bucket.
-The trusted counts come from all trusted documents up to about ``trusted_rows`` keys, beyond that from those with the smallest
-hashes, about that many: their keys are broadcast, so that no text is shuffled.
+The trusted counts cover all trusted documents. Their keys are written once, and the written size decides: small ones are
+broadcast, so that no text is shuffled, others are joined by a shuffle. ``trusted_rows`` bounds them to a sample where a caller
+wants one.
 
 Defined results: a null text counts as empty; an empty text scores 0 and is not kept; a key is trusted when any of its labels
 is 1, and each of its rows counts; null labels are ignored; without trusted or without any documents every ratio is that of
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from counterpoise.session import stage
+
 BUCKETS, ALPHA, THRESHOLD = 1 << 14, 1.0, -0.06
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 _WORD, _SPACE = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
-# Trusted keys that the target is estimated from: the bound of what is broadcast.
-TRUSTED_ROWS = 1 << 18
 _MULTIPLIER, _PRIME = 1_000_003, (1 << 31) - 1
 # Characters split at a time; words and characters that a worker remembers between documents.
 _SLICE, _REMEMBERED, _CHARACTERS = 1 << 20, 1 << 20, 1 << 25
@@ -143,9 +144,9 @@ class Ratios:
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = BUCKETS, alpha: float = ALPHA,
-    trusted_rows: int = TRUSTED_ROWS,
+    trusted_rows: int | None = None,
 ) -> Ratios:
-    """Count the n-grams of all documents and of those labelled 1, of the latter in at most about ``trusted_rows`` keys."""
+    """Count the n-grams of all documents and of those labelled 1; with ``trusted_rows`` of about that many keys of the smallest hashes."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, buckets), dtype=np.int64)
@@ -162,10 +163,11 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(c[some]) for c in counts]], names=["bucket", "raw", "trusted"])
 
     trusted = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(True).alias("trusted")).distinct()
-    share = trusted_rows / max(trusted.count(), 1)
+    trusted = stage(trusted, "trusted-keys")
+    share = 1.0 if trusted_rows is None else trusted_rows / max(trusted.count(), 1)
     if share < 1:
         trusted = trusted.where(F.pmod(F.xxhash64(F.lit("trusted"), "k"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(trusted), "k", "left").select("t", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(trusted, "k", "left").select("t", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     sums = rows.mapInArrow(counted, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     counts = np.zeros((2, buckets), dtype=np.int64)
     for row in sums.collect():

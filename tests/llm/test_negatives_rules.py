@@ -107,6 +107,18 @@ def test_target_of_a_bounded_sample(spark, frame):
     assert np.allclose(whole, 0) and 0 < np.abs(part).max() < 0.6
 
 
+def test_target_of_all_trusted_documents(spark, frame):
+    docs = frame([f"w{i % 50} v{i % 7} u{i % 3}" for i in range(2000)])
+    labels = spark.range(600_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            assert np.allclose(ratio_rules.fit(docs, labels, buckets=32).logs, 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_windows_of_many_words():
     rng = np.random.default_rng(6)
     for n, kinds in ((0, 1), (3, 1), (4, 1), (500, 6), (3_000_000, 2_900_000)):

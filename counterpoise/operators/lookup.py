@@ -128,21 +128,17 @@ def frequent_first_lookup(
 
     The ``head_rows`` most frequent keys hold every hot key; they are joined
     first, by broadcast when their written size passes the planner's check.
-    Rows still open go to the rest of the table, where no key is hot. ``key``
-    must not contain a blank.
+    Only rows still open are shuffled, to the rest of the table, where no key is hot;
+    answered rows stay in their task, so that an aggregate that follows starts there.
+    ``rows`` is evaluated once for either kind: write it first when it is costly.
     """
     values = [c for c in table.columns if c not in (key, frequency)]
     table = stage(table, "lookup")
     if table.count() <= head_rows:
         return rows.join(table.drop(frequency), key, "left")
     head = stage(most_frequent(table, key, frequency, head_rows), "lookup-head").drop(frequency)
-    tail = table.join(head.select(key), key, "left_anti").select(
-        F.col(key).alias("_tail_key"), *[F.col(v).alias(f"_tail_{v}") for v in values]
-    )
-    first = rows.join(head.withColumn("_in_head", F.lit(True)), key, "left")
-    # Rows already answered get a key no table row has, spread by row id.
-    open_key = F.when(F.col("_in_head"), F.concat(F.lit(" "), F.col(row_id).cast("string"))).otherwise(F.col(key))
-    both = first.withColumn("_tail_key", open_key).join(tail, "_tail_key", "left")
-    return both.withColumns({v: F.coalesce(v, f"_tail_{v}") for v in values}).drop(
-        "_tail_key", "_in_head", *[f"_tail_{v}" for v in values]
-    )
+    tail = table.drop(frequency).join(head.select(key), key, "left_anti")
+    # Rows without a key have no answer anywhere; they stay too.
+    answered = rows.join(head.withColumn("_in_head", F.lit(True)), key, "left").where(F.col("_in_head") | F.col(key).isNull()).drop("_in_head")
+    rest = rows.where(F.col(key).isNotNull()).join(head.select(key), key, "left_anti").join(tail, key, "left")
+    return answered.select(key, *[c for c in rows.columns if c != key], *values).unionByName(rest)

@@ -47,6 +47,13 @@ def test_lookup_default(spark, skewed):
     assert counts == {"A": 3_000, "Unknown": 6_000}
 
 
+def test_only_open_rows_are_shuffled_to_the_tail(spark, skewed):
+    table = skewed.groupBy("key").count().withColumnRenamed("count", "n").where("key is not null").withColumn("v", F.length("key"))
+    plan = lookup.frequent_first_lookup(skewed, table, "key", "n", "unit_id", head_rows=2)._jdf.queryExecution().optimizedPlan().toString()
+    # The tail of the table, and the rows that go there, are both without the head.
+    assert plan.count("LeftAnti") == 2
+
+
 @pytest.mark.parametrize("head", [1, 3, 10_000])
 def test_frequent_first_lookup_equals_plain_join(spark, skewed, head):
     table = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("key <> 'k7'").withColumn("v", F.length("key") + F.col("n"))

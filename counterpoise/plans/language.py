@@ -154,15 +154,18 @@ def perplexity_all_rows(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("perplexity", rounded("perplexity", 4))
 
 
-_NAMES = (("naive", "1.0::DOUBLE", "s=1", None), ("w_right", "w_right", "s=1", "w_right"), ("w_wrong", "coalesce(w_wrong,0)", "s=1", "w_wrong"))
+_NAMES = (("naive", "1.0::DOUBLE", "s=1"), ("w_right", "w_right", "s=1"), ("w_wrong", "coalesce(w_wrong,0)", "s=1"))
 
 
-@query(f"WITH {DOCS_SQL}, " + ", ".join(_perplexity_sql(n, w, c) for n, w, c, _ in _NAMES) + " " + " UNION ALL ".join(
+@query(f"WITH {DOCS_SQL}, " + ", ".join(_perplexity_sql(n, w, c) for n, w, c in _NAMES) + " " + " UNION ALL ".join(
     f"SELECT '{n}' AS weight, count(*) AS documents, round(avg(perplexity),4) AS mean, round(min(perplexity),4) AS min, round(max(perplexity),4) AS max, round(stddev_pop(perplexity),4) AS std FROM {n}_ppl"
     for n, *_ in _NAMES))
 def perplexity_summary(spark: SparkSession, sf: str) -> DataFrame:
-    frames = [_perplexity(spark, sf, column).withColumn("weight", F.lit(name)) for name, _, _, column in _NAMES]
-    out = text.perplexity_summary(cx.concat_by_name(*frames), ["weight"])
+    docs, names = weighted_documents(spark, sf).withColumn("naive", F.lit(1.0)), [name for name, *_ in _NAMES]
+    # All three models are counted, and all documents scored, in one pass each.
+    wide = text.perplexities(docs, text.unigram_table(cx.treated(docs), names), names)
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(name).alias("weight"), F.col(f"perplexity_{name}").alias("perplexity")) for name in names])))
+    out = text.perplexity_summary(long, ["weight"])
     return out.withColumns({c: rounded(c, 4) for c in ("mean", "min", "max", "std")})
 
 

@@ -107,6 +107,13 @@ def test_weighted_loss(spark):
     assert math.isfinite(text.weighted_loss(df, "l", "w").first()[0])
 
 
+def test_summary_of_all_models_scores_the_texts_once(spark, small):
+    from counterpoise.plans import language
+
+    plan = language.perplexity_summary(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_documents_without_words_keep_their_row(spark):
     docs = spark.createDataFrame([(1, "a b", 1.0), (2, "", None), (3, None, 2.0), (4, "c", None)], "unit_id long, text string, w double")
     model = text.weighted_unigrams(docs, "w")

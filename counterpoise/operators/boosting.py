@@ -5,7 +5,9 @@ curvature, and a tree grows level by level from histograms: each task sums gradi
 feature and bin, the sums of all tasks are added up, and the driver picks the splits from a table whose size depends on the
 settings alone. The value of a leaf is the Newton step ``-G / H``, for the inverse propensity from 0 exactly ``n / n1``.
 
-Rows are binned once and written. All candidates of a search, and both folds of a cross-fit, grow in the same passes over
+Rows are binned once; rows alike in bins, flag, part and validation become one with their number, and are written. Every sum is
+taken with that number, so the trees are those of the single rows, while a pass reads at most as many rows as the bins have
+combinations, however long the table. All candidates of a search, and both folds of a cross-fit, grow in the same passes over
 that table. A candidate ends when its loss on the validation rows has not improved for ``patience`` trees; at each tree
 number of ``halve_at`` only the better half of a part's candidates goes on. The scores so far are written every few trees, so
 that no pass has to apply a whole ensemble and none depends on more than one table.
@@ -220,10 +222,10 @@ def _inside(candidate: Candidate, part: np.ndarray) -> np.ndarray:
 
 
 def _read(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, ...]:
-    """Bins, flag, part, validation flag and written scores of a batch of the binned table."""
+    """Bins, flag, part, validation flag, number of rows and written scores of a batch of the binned table."""
     bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
     f = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
-    return bins, batch.column("s").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(zero_copy_only=False), batch.column("valid").to_numpy(zero_copy_only=False), f
+    return bins, *[batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "part", "valid", "rows")], f
 
 
 def _level(table: DataFrame, live: list[_Growing], n: int, loss: str, cuts: list[int]) -> dict[tuple[int, int], np.ndarray]:
@@ -236,13 +238,13 @@ def _level(table: DataFrame, live: list[_Growing], n: int, loss: str, cuts: list
         sums = {number: np.zeros((3, len(nodes) * features * width)) for number, _, _, _, nodes in jobs}
         losses = {number: np.zeros(2) for number, *_ in jobs}
         for batch in batches:
-            bins, s, part, valid, written = _read(batch, n)
+            bins, s, part, valid, alike, written = _read(batch, n)
             for number, settings, fresh, tree, nodes in jobs:
                 inside = _inside(settings, part)
                 f = written[:, number] + sum((t.scores(bins) for t in fresh), np.zeros(len(bins)))
                 if nodes == [0]:
                     tested = inside & valid
-                    losses[number] += value(f[tested], s[tested]).sum(), tested.sum()
+                    losses[number] += alike[tested] @ value(f[tested], s[tested]), alike[tested].sum()
                 slot = np.full(len(tree.feature), -1)
                 slot[nodes] = np.arange(len(nodes))
                 own = slot[tree.node(bins)]
@@ -250,7 +252,7 @@ def _level(table: DataFrame, live: list[_Growing], n: int, loss: str, cuts: list
                 g, h = slopes(f[rows], s[rows])
                 for j in range(features):
                     place = (own[rows] * features + j) * width + bins[rows, j]
-                    for i, w in enumerate((g, h, None)):
+                    for i, w in enumerate((g * alike[rows], h * alike[rows], alike[rows])):
                         sums[number][i] += np.bincount(place, w, sums[number].shape[1])
         for number, total in sums.items():
             some = np.flatnonzero(total[2])
@@ -279,7 +281,7 @@ def _applied(table: DataFrame, fresh: dict[int, list[Tree]], n: int) -> DataFram
 
     def added(batches):
         for batch in batches:
-            bins, _, _, _, f = _read(batch, n)
+            bins, *_, f = _read(batch, n)
             f = f.copy()
             for number, trees in fresh.items():
                 for tree in trees:
@@ -336,12 +338,10 @@ def search(
         bins = binning.bins(values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(cuts)))
         return pa.ListArray.from_arrays(np.arange(0, bins.size + 1, len(cuts), dtype=np.int32), bins.ravel())
 
-    total = sum(rows_ for rows_, _ in counts.values())
     f = F.array(*[F.lit(c.start) for c in growing])
-    table = rows.repartition(max(1, math.ceil(total / _TASK_ROWS))).select(
-        binned(binning.column()).alias("bins"), F.col("__s").alias("s"), F.col("__p").alias("part"), F.col("__v").alias("valid"), f.alias("f"),
-    )
-    table = stage(table, "boosting-bins")
+    table = rows.select(binned(binning.column()).alias("bins"), F.col("__s").alias("s"), F.col("__p").alias("part"), F.col("__v").alias("valid"))
+    table = stage(table.groupBy("bins", "s", "part", "valid").agg(F.count(F.lit(1)).alias("rows")), "boosting-alike")
+    table = stage(table.repartition(max(1, math.ceil(table.count() / _TASK_ROWS))).withColumn("f", f), "boosting-bins")
     while live := [c for c in growing if c.status == "growing"]:
         if any(len(c.trees) - c.written >= _REFRESH for c in live):
             table = _applied(table, {c.number: c.trees[c.written :] for c in live}, n)

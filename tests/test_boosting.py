@@ -104,3 +104,17 @@ def test_odd_rows(spark, rows):
     assert boosting.fit_inverse(rows.limit(0), ["x"], trees=3).trees == ()
     one = boosting.fit_inverse(rows.where("s = 0"), ["x"], depth=2, trees=2)
     assert one.score(rows).where("f is null").count() == 0
+
+
+def test_passes_read_rows_alike_once(rows, monkeypatch):
+    """The trees of a table and of three copies of it, whose passes are no longer."""
+    read, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda table, *a: read.append(table.count()) or level(table, *a))
+    found = [
+        boosting.search(df, ["x"], [boosting.Candidate(depth=2, rate=0.3, trees=3, min_rows=30 * n)], loss="inverse", validation="held")
+        for n, df in ((1, rows), (3, rows.union(rows).union(rows)))
+    ]
+    assert set(read) == {6 * 2 * 2}
+    assert found[0].losses == pytest.approx(found[1].losses) and found[0].models[0].start == pytest.approx(found[1].models[0].start)
+    for a, b in zip(found[0].models[0].trees, found[1].models[0].trees):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)

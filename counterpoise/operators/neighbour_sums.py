@@ -68,11 +68,12 @@ def _has(i: int) -> Column:
 def neighbour_sums(
     queries: DataFrame, candidates: DataFrame, k: int, specifications: Mapping[str, Specification], sums: Sequence[str], *, block: str,
     query_id: str = "unit_id", match_id: str = "unit_id", cell_rows: int = neighbors.CELL_ROWS, single_cell_rows: int = neighbors.SINGLE_CELL_ROWS,
-    task_candidates: int = TASK_CANDIDATES, refine: int = 1, seed: int = 42,
+    task_candidates: int = TASK_CANDIDATES, tile_rows: int = neighbors.TILE_ROWS, refine: int = 1, seed: int = 42,
 ) -> DataFrame:
     """``match_id`` and, per specification and query column, ``{name}__{column}``: its sum over the queries that chose the row.
 
-    Rows that nobody chose under a specification have null there; rows chosen under none are left out.
+    Rows that nobody chose under a specification have null there; rows chosen under none are left out. ``tile_rows`` is that of
+    the tiled search.
     """
     specs = list(specifications.values())
     shared = [c for c in specs[0].features if all(c in s.features for s in specs)]
@@ -130,7 +131,7 @@ def neighbour_sums(
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(summed, schema)
     far = stage(groups.where(F.col("rows") > task_candidates).select("block", "cell"), "sums-far")
     if not far.isEmpty():
-        found = found.unionByName(_far(q.join(far, ["block", "cell"], "left_semi"), c, k, specs, places, len(shared), names))
+        found = found.unionByName(_far(q.join(far, ["block", "cell"], "left_semi"), c, k, specs, places, len(shared), names, tile_rows))
     picked = [F.sum(F.when(F.col("spec") == i, F.col(s))).alias(f"{name}__{s}") for i, name in enumerate(specifications) for s in names]
     return found.groupBy("match_id").agg(*picked).withColumnRenamed("match_id", match_id)
 
@@ -182,13 +183,13 @@ def _needs(
     return groups.mapInArrow(reach, _ddl(groups) + ", needs array<int>, rows long")
 
 
-def _far(q: DataFrame, c: DataFrame, k: int, specs: Sequence[Specification], places: list[list[int]], shared: int, names: list[str]) -> DataFrame:
+def _far(q: DataFrame, c: DataFrame, k: int, specs: Sequence[Specification], places: list[list[int]], shared: int, names: list[str], tile_rows: int) -> DataFrame:
     """The same sums from the edges of the tiled search."""
     out = None
     for i, own in enumerate(places):
         vector = F.array(*[F.get("v", F.lit(p)) if p < shared else F.get("x", F.lit(p - shared)) for p in own])
         sides = [df.where(_has(i)).withColumn("vector", vector) for df in (q, c)]
-        edges = neighbors.knn_join(*sides, k, block="block", features="vector", query_id="query_id", match_id="match_id", carry=names)
+        edges = neighbors.knn_join(*sides, k, block="block", features="vector", query_id="query_id", match_id="match_id", carry=names, tile_rows=tile_rows)
         part = edges.groupBy("match_id").agg(*[F.sum(s).alias(s) for s in names]).withColumn("spec", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return out.select("match_id", "spec", *names)

@@ -3,7 +3,8 @@
 Outcome weights need, for every candidate, sums over the queries that have it among their k nearest, under more than one
 specification: other features, other candidates. One search answers all of them:
 
-1. Candidates carry a bit per specification they may serve. They are divided into cells by the features that all
+1. Candidates carry a bit per specification they may serve. Those alike in features and bits are one stack of their k smallest
+   ids, searched as one row; a stack is taken whole or by its smallest ids. They are divided into cells by the features that all
    specifications share; in that subspace no distance is larger than in any of them.
 2. Queries go to the cell of their nearest centre. For a whole cell of queries the triangle inequality says how far the k-th
    neighbour of any of them can be, and so which candidate cells matter; features outside the shared ones widen that radius
@@ -23,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import salt
 from counterpoise.operators import neighbors
-from counterpoise.operators.neighbors import _MAX_TASKS, _TASK_PAIRS, _Cells, _assign, _ddl, _matrix, _nearest
+from counterpoise.operators.neighbors import _MAX_TASKS, _TASK_PAIRS, _Cells, _assign, _ddl, _matrix, _nearest_stacks
 from counterpoise.session import stage
 
 TASK_CANDIDATES = 1 << 17
@@ -61,6 +63,11 @@ def _bits(specs: Sequence[Specification], candidates: bool) -> Column:
     return out
 
 
+def _load() -> Column:
+    """Rows that stacks count for in a task: their ids come along, so a stack of many weighs more than one row."""
+    return F.greatest(F.count("*"), F.ceil(F.sum(F.size("ids")) / 16))
+
+
 def _has(i: int) -> Column:
     return F.col("bits").bitwiseAND(F.lit(1 << i)) != 0
 
@@ -85,16 +92,18 @@ def neighbour_sums(
     some = (F.col("bits") > 0) & F.col("block").isNotNull()
     q = queries.select(F.col(block).alias("block"), F.col(query_id).alias("query_id"), *vectors, _bits(specs, False).alias("bits"), *sums).where(some)
     c = candidates.select(F.col(block).alias("block"), F.col(match_id).alias("match_id"), *vectors, _bits(specs, True).alias("bits")).where(some)
-    # Of rows alike in everything that counts only the k smallest ids can be chosen.
-    alike = W.partitionBy("block", "v", *(["x"] if more else []), "bits").orderBy("match_id")
-    c = stage(c.withColumn("_copy", F.row_number().over(alike)).where(F.col("_copy") <= k).drop("_copy"), "sums-candidates")
+    # Of rows alike in everything that counts only the k smallest ids can be chosen; they are one stack, searched as one row.
+    alike = ["block", "v", *(["x"] if more else []), "bits"]
+    copies = F.row_number().over(W.partitionBy(*alike).orderBy("match_id"))
+    c = c.withColumn("_copy", copies).where(F.col("_copy") <= k).groupBy(*alike).agg(F.sort_array(F.collect_list("match_id")).alias("ids"))
+    c = stage(c.withColumn("match_id", F.get("ids", F.lit(0))), "sums-candidates")
     whole = max(single_cell_rows, k)
-    sizes = stage(c.groupBy("block").agg(F.count("*").alias("n")), "sums-blocks")
+    sizes = stage(c.groupBy("block").agg(F.count("*").alias("n"), _load().alias("load")), "sums-blocks")
     cells = _Cells.build(c, sizes.where(F.col("n") > whole), False, cell_rows, refine, seed)
     c = cells.candidates
     q = stage(_assign(q, {b: model[0] for b, model in cells.model.value.items()}), "sums-queries")
     groups = q.groupBy("block", "cell").agg(F.count("*").alias("n"), F.max("to_center").alias("radius"))
-    groups = stage(_needs(groups.join(sizes.withColumnRenamed("n", "held"), "block"), q, c, cells, specs, places, len(shared), more, k), "sums-groups")
+    groups = stage(_needs(groups.join(sizes.select("block", F.col("load").alias("held")), "block"), q, c, cells, specs, places, len(shared), more, k), "sums-groups")
 
     near = groups.where(F.col("rows") <= task_candidates).withColumn("salts", F.ceil(F.col("n") / _QUERIES).cast("int"))
     pairs = near.agg(F.sum(F.col("n").cast("double") * F.col("rows"))).first()[0] or 0.0
@@ -110,18 +119,31 @@ def neighbour_sums(
     names = list(sums)
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by([("match_id", "ascending")])
+        ids = right["ids"].combine_chunks()
+        if isinstance(ids, pa.ChunkedArray):
+            ids = pa.array([], ids.type)
+        ids, sizes = ids.flatten(), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.empty(len(ids), dtype=np.int64)
+        order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        starts = np.cumsum(sizes) - sizes
         a, b = (np.column_stack([_matrix(t["v"]), *([_matrix(t["x"])] if more else [])]) if t.num_rows else np.zeros((0, len(shared + more))) for t in (left, right))
         a_bits, b_bits = left["bits"].to_numpy(), right["bits"].to_numpy()
         brought = np.column_stack([left[s].to_numpy() for s in names]) if names else np.zeros((left.num_rows, 0))
         parts = []
         for i, columns in enumerate(places):
             own_a, own_b = np.flatnonzero(a_bits >> i & 1), np.flatnonzero(b_bits >> i & 1)
-            qi, ci, _, _ = _nearest(a[own_a][:, columns], b[own_b][:, columns], k)
-            chosen = np.bincount(ci, minlength=len(own_b))
-            totals = [np.bincount(ci, brought[own_a[qi], j], len(own_b)) for j in range(len(names))]
-            rows = np.flatnonzero(chosen)
-            out = right.select(["match_id"]).take(pa.array(own_b[rows])).append_column("spec", pa.array(np.full(len(rows), i, np.int32)))
+            held = sizes[own_b]
+            offsets = np.append(0, np.cumsum(held))
+            members = np.arange(offsets[-1]) + np.repeat(starts[own_b] - offsets[:-1], held)
+            (qi, ci), (pi, mi) = _nearest_stacks(a[own_a][:, columns], b[own_b][:, columns], k, offsets, order[members])
+
+            def spread(one: np.ndarray | None) -> np.ndarray:
+                whole, some = (None, None) if one is None else (one[own_a[qi]], one[own_a[pi]])
+                return np.repeat(np.bincount(ci, whole, len(own_b)), held) + np.bincount(mi, some, len(members))
+
+            rows = np.flatnonzero(spread(None))
+            totals = [spread(brought[:, j]) for j in range(len(names))]
+            out = pa.table({"match_id": ids.take(pa.array(members[rows])), "spec": pa.array(np.full(len(rows), i, np.int32))})
             for name, total in zip(names, totals):
                 out = out.append_column(name, pa.array(total[rows]))
             parts.append(out)
@@ -141,11 +163,14 @@ def _needs(
 ) -> DataFrame:
     """Adds ``needs``, the candidate cells that may hold a neighbour of one of the group's queries, and their ``rows``."""
     summary = c.where(F.col("block").isin(list(cells.model.value))) if len(cells.model.value) < 1000 else c
-    summary = summary.groupBy("block", "cell").agg(*[F.count(F.when(_has(i), 1)).alias(f"n{i}") for i in range(len(specs))]).toArrow()
+    summary = summary.groupBy("block", "cell").agg(
+        _load().alias("load"), *[F.sum(F.when(_has(i), F.size("ids")).otherwise(0)).alias(f"n{i}") for i in range(len(specs))]
+    ).toArrow()
     serving = {b: np.zeros((len(model[0]), len(specs)), dtype=np.int64) for b, model in cells.model.value.items()}
-    for b, cell, *counts in zip(*[summary[x].to_pylist() for x in summary.column_names]):
+    loads = {b: np.zeros(len(model[0]), dtype=np.int64) for b, model in cells.model.value.items()}
+    for b, cell, load, *counts in zip(*[summary[x].to_pylist() for x in summary.column_names]):
         if b in serving:
-            serving[b][cell] = counts
+            serving[b][cell], loads[b][cell] = counts, load
     wider = np.zeros(len(more))
     if more:
         ends = [F.struct(F.min(F.get("x", F.lit(j))), F.max(F.get("x", F.lit(j)))) for j in range(len(more))]
@@ -153,7 +178,7 @@ def _needs(
         wider = np.fmax(low_high[0][:, 1], low_high[1][:, 1]) - np.fmin(low_high[0][:, 0], low_high[1][:, 0])
     # What the features outside the shared ones can add to a squared distance.
     slack = [float(sum(wider[p - shared] ** 2 for p in own if p >= shared)) for own in places]
-    model = q.sparkSession.sparkContext.broadcast({b: (*m, serving[b]) for b, m in cells.model.value.items()})
+    model = q.sparkSession.sparkContext.broadcast({b: (*m, serving[b], loads[b]) for b, m in cells.model.value.items()})
 
     def reach(batches):
         for batch in batches:
@@ -164,7 +189,7 @@ def _needs(
                     needs.append([0])
                     rows.append(held)
                     continue
-                points, sizes, radii, counts = model.value[b]
+                points, sizes, radii, counts, loads = model.value[b]
                 apart = np.sqrt(((points - points[home]) ** 2).sum(axis=1))
                 furthest = radius + apart + radii
                 order = np.argsort(furthest, kind="stable")
@@ -177,7 +202,7 @@ def _needs(
                         most = max(most, math.sqrt(furthest[order[enough]] ** 2 + extra))
                 open_ = np.flatnonzero((apart - radii - radius <= most * (1 + 1e-9) + 1e-9 * apart) & (sizes > 0))
                 needs.append(open_.tolist())
-                rows.append(int(sizes[open_].sum()))
+                rows.append(int(loads[open_].sum()))
             yield batch.append_column("needs", pa.array(needs, pa.list_(pa.int32()))).append_column("rows", pa.array(rows, pa.int64()))
 
     return groups.mapInArrow(reach, _ddl(groups) + ", needs array<int>, rows long")
@@ -188,7 +213,8 @@ def _far(q: DataFrame, c: DataFrame, k: int, specs: Sequence[Specification], pla
     out = None
     for i, own in enumerate(places):
         vector = F.array(*[F.get("v", F.lit(p)) if p < shared else F.get("x", F.lit(p - shared)) for p in own])
-        sides = [df.where(_has(i)).withColumn("vector", vector) for df in (q, c)]
+        members = c.withColumn("match_id", F.explode("ids"))
+        sides = [df.where(_has(i)).withColumn("vector", vector) for df in (q, members)]
         edges = neighbors.knn_join(*sides, k, block="block", features="vector", query_id="query_id", match_id="match_id", carry=names, tile_rows=tile_rows)
         part = edges.groupBy("match_id").agg(*[F.sum(s).alias(s) for s in names]).withColumn("spec", F.lit(i))
         out = part if out is None else out.unionByName(part)

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from counterpoise.operators import neighbors
+from counterpoise.operators import neighbour_sums as sums
 from counterpoise.operators.neighbour_sums import Specification, neighbour_sums
 
 
@@ -67,3 +69,31 @@ def test_empty_sides_and_disjoint_features(spark, rows):
     assert neighbour_sums(df.limit(0), df, 5, specs(), ["one"], block="g").count() == 0
     with pytest.raises(ValueError):
         neighbour_sums(df, df, 5, {"a": Specification(("x",)), "b": Specification(("y",))}, ["one"], block="g")
+
+
+def test_copies_are_searched_as_one_row(spark, monkeypatch):
+    """Rows alike in all but their id are one stack; equal distances between stacks and inside them go by id."""
+    tables = {}
+    real = sums.stage
+    monkeypatch.setattr(sums, "stage", lambda df, name: tables.setdefault(name, real(df, name)))
+    rows = [
+        {"unit_id": i, "g": "a", "x": float(i % 7), "y": float(i % 5 // 2), "t": float(i % 2), "one": 1.0, "w": float(i % 11) - 4.5} for i in range(700)
+    ]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "unit_id long, g string, x double, y double, t double, one double, w double")
+    found = {r["unit_id"]: r for r in neighbour_sums(df, df, 25, specs(), ["one", "w"], block="g").collect()}
+    want = plain(rows, rows, 25)
+    assert set(found) == set(want) and tables["sums-candidates"].count() == 7 * 3 * 2
+    for i, own in want.items():
+        for name in specs():
+            got = None if found[i][f"{name}__one"] is None else [found[i][f"{name}__one"], found[i][f"{name}__w"]]
+            assert got == (None if own.get(name) is None else pytest.approx(own[name]))
+
+
+def test_pieces_leave_out_what_is_far():
+    """In two dimensions a query looks at a small part of the candidates, with the same neighbours."""
+    rng = np.random.default_rng(4)
+    q, c = rng.uniform(size=(6_000, 2)), rng.uniform(size=(4_000, 2))
+    assert sum(len(a) * len(b) for a, b in neighbors._near_parts(q, c, 20)) < 0.2 * len(q) * len(c)
+    qi, ci, _, _ = neighbors._nearest(q, c, 20)
+    for i in range(0, len(q), 50):
+        assert list(ci[qi == i]) == list(np.argsort(((c - q[i]) ** 2).sum(axis=1), kind="stable")[:20])

@@ -203,3 +203,15 @@ def test_no_pair_comes_twice_and_repeats_stay(spark, monkeypatch):
     assert out.groupBy("query_id", "match_id").count().filter("count > 1").isEmpty()
     got = edges(out)
     assert all([j for _, j in got[i]] == [j for _, j in near] for i, near in brute(rows, 9).items())
+
+
+def test_blocks_that_need_most_cells_are_searched_whole(spark, monkeypatch):
+    """Vectors without clusters: no query is copied to cells, measured, given or exact, and the neighbours are the true ones."""
+    tables, real = [], nb.stage
+    monkeypatch.setattr(nb, "stage", lambda d, name: tables.append(name) or real(d, name))
+    q, c, rows = frames(spark, np.random.default_rng(31), 500, dims=24)
+    want = {i: [j for _, j in near] for i, near in brute(rows, 5).items()}
+    for options in ({"probes": 10_000}, {"single_cell_rows": 10, "cell_rows": 8}):
+        got = edges(nb.knn_join(q, c, 5, block="block", features="v", **options))
+        assert {i: [j for _, j in near] for i, near in got.items()} == want
+    assert "knn-cells" in tables and "knn-homes" not in tables

@@ -215,3 +215,15 @@ def test_blocks_that_need_most_cells_are_searched_whole(spark, monkeypatch):
         got = edges(nb.knn_join(q, c, 5, block="block", features="v", **options))
         assert {i: [j for _, j in near] for i, near in got.items()} == want
     assert "knn-cells" in tables and "knn-homes" not in tables
+
+
+def test_alike_queries_are_searched_once(spark, monkeypatch):
+    """Every copy of a query gets the neighbours of its vector, with its own carried columns; the search sees each vector once."""
+    tables, real = [], nb.stage
+    monkeypatch.setattr(nb, "stage", lambda d, name: tables.append((name, real(d, name))) or tables[-1][1])
+    q, c, rows = frames(spark, np.random.default_rng(32), 600, ties=True)
+    out = nb.knn_join(q.withColumn("w", F.col("unit_id") * 2.0), c, 7, block="block", features="v", carry=["w"], **SMALL_CELLS)
+    assert out.columns == ["block", "query_id", "w", "match_id", "rank", "dist"] and out.filter(F.col("w") != F.col("query_id") * 2).isEmpty()
+    got = edges(out)
+    assert all([j for _, j in got[i]] == [j for _, j in near] for i, near in brute(rows, 7).items())
+    assert dict(tables)["knn-pooled"].count() == len({(b, tuple(v)) for _, b, v, _ in rows}) < 300

@@ -6,9 +6,10 @@ log(trusted / raw), so its length does not count. A document is kept when its wo
 windows, and its score reaches ``threshold``: a fixed rule, no sampling.
 
 Raw counts cover all documents, in one pass: each task sums its buckets, and what reaches the driver are two numbers a bucket.
-The trusted counts cover all trusted documents. Their keys are written once, and the written size decides: small ones are
-broadcast, so that no text is shuffled, others are joined by a shuffle. ``trusted_rows`` bounds them to a sample where a caller
-wants one.
+The trusted counts cover all trusted documents, and no text is shuffled to find them, however many keys there are. The same pass
+counts the documents whose hashed key is that of some trusted one, by a table of bits of bounded size; keys that only share a
+hash are found by a join of keys alone, and what their documents had added is taken off again. ``trusted_rows`` bounds the
+trusted keys to a sample where a caller wants one.
 
 Defined results: a null text counts as empty; an empty text scores 0 and is not kept; a key is trusted when any of its labels
 is 1, and each of its rows counts; null labels are ignored; without trusted or without any documents every ratio is that of
@@ -36,6 +37,8 @@ _WORD, _SPACE = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
 _MULTIPLIER, _PRIME = 1_000_003, (1 << 31) - 1
 # Characters split at a time; words and characters that a worker remembers between documents.
 _SLICE, _REMEMBERED, _CHARACTERS = 1 << 20, 1 << 20, 1 << 25
+# Bits of the table of hashed trusted keys: about this many for each, up to 8 MB; a fuller table only has more to take off.
+_BITS_PER_KEY, _MOST_BITS = 16, 1 << 26
 _SCHEMA = (
     "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_grams:long,score:double>"
 )
@@ -142,37 +145,69 @@ class Ratios:
         return measured(F.col(text) if isinstance(text, str) else text)
 
 
+class _Keys:
+    """A table of bits, one set for each hash that a trusted key has."""
+
+    def __init__(self, trusted: DataFrame) -> None:
+        self.size = min(_MOST_BITS, max(64, 1 << (_BITS_PER_KEY * trusted.count()).bit_length()))
+        bits = F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")
+        found = trusted.select(self.place("k").alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(bits).toArrow()
+        self.words = np.zeros(self.size // 64, dtype=np.int64)
+        self.words[found["word"].to_numpy()] = found["bits"].to_numpy()
+
+    def place(self, key: str) -> Column:
+        """The bit of a key; -1 for none."""
+        hashed = F.pmod(F.xxhash64(F.lit("trusted key"), key), F.lit(self.size).cast("long"))
+        return F.when(F.col(key).isNotNull(), hashed).otherwise(F.lit(-1).cast("long"))
+
+    def held(self, places: np.ndarray) -> np.ndarray:
+        return (places >= 0) & ((self.words[np.maximum(places, 0) >> 6] >> (places & 63)) & 1).astype(bool)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = BUCKETS, alpha: float = ALPHA,
     trusted_rows: int | None = None,
 ) -> Ratios:
     """Count the n-grams of all documents and of those labelled 1; with ``trusted_rows`` of about that many keys of the smallest hashes."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    trusted = labels.where(F.col(label) == 1).select(F.col(key).try_cast(docs.schema[key].dataType).alias("k")).where("k IS NOT NULL").distinct()
+    trusted = stage(trusted, "trusted-keys")
+    share = 1.0 if trusted_rows is None else trusted_rows / max(trusted.count(), 1)
+    if share < 1:
+        trusted = trusted.where(F.pmod(F.xxhash64(F.lit("trusted"), "k"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    keys = _Keys(trusted)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, buckets), dtype=np.int64)
         words = _Words()
         for batch in batches:
-            for value, trusted in zip(batch.column(0), batch.column(1)):
+            for value, held in zip(batch.column(0), keys.held(batch.column(1).to_numpy()).tolist()):
                 found = np.bincount(grams(_hashed(words, words.numbers(value.as_py() or "")), buckets), minlength=buckets)
                 counts[0] += found
-                if trusted.as_py():
+                if held:
                     counts[1] += found
                 if words.full:
                     words = _Words()
         some = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(c[some]) for c in counts]], names=["bucket", "raw", "trusted"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(c[some]) for c in counts]], names=["bucket", "raw", "held"])
 
-    trusted = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(True).alias("trusted")).distinct()
-    trusted = stage(trusted, "trusted-keys")
-    share = 1.0 if trusted_rows is None else trusted_rows / max(trusted.count(), 1)
-    if share < 1:
-        trusted = trusted.where(F.pmod(F.xxhash64(F.lit("trusted"), "k"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(trusted, "k", "left").select("t", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    sums = rows.mapInArrow(counted, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    counts = np.zeros((2, buckets), dtype=np.int64)
-    for row in sums.collect():
-        counts[:, row.bucket] = row.raw, row.trusted
-    return Ratios.of_counts(counts[0], counts[1], alpha)
+    def summed(rows: DataFrame) -> np.ndarray:
+        sums = rows.select("t", keys.place("k").alias("place")).mapInArrow(counted, "bucket int, raw long, held long")
+        found = sums.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("held").alias("held")).toArrow()
+        counts = np.zeros((2, buckets), dtype=np.int64)
+        counts[:, found["bucket"].to_numpy()] = found["raw"].to_numpy(), found["held"].to_numpy()
+        return counts
+
+    @F.arrow_udf("boolean")
+    def held(places: pa.Array) -> pa.Array:
+        return pa.array(keys.held(places.to_numpy(zero_copy_only=False)))
+
+    raw, good = summed(rows)
+    # Keys that share the hash of a trusted one without being trusted.
+    others = stage(rows.select("k").where(held(keys.place("k"))).distinct().join(trusted, "k", "left_anti"), "other-keys")
+    if not others.isEmpty():
+        good = good - summed(rows.join(others, "k"))[1]
+    return Ratios.of_counts(raw, good, alpha)
 
 
 def judged(docs: DataFrame, ratios: Ratios, text: str = "text", threshold: float = THRESHOLD, into: str = "rules") -> DataFrame:

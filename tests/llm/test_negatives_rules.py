@@ -119,6 +119,35 @@ def test_target_of_all_trusted_documents(spark, frame):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_texts_are_not_shuffled_to_trusted_keys(spark, frame, monkeypatch):
+    rows = [(i if i % 11 else None, f"w{i % 50} v{i % 7} u{i % 3}") for i in range(500)] + [(7, "twice the key")]
+    docs, good = frame(rows), [i for i in range(500) if i % 3 == 0]
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(None, 1)], "doc_id long, quality int")
+    trusted = [t for i, t in rows if i is not None and i % 3 == 0]
+    want = collections.Counter(b for _, t in rows for w in [t.split()] for b in grams_of(w))
+    target = collections.Counter(b for t in trusted for b in grams_of(t.split()))
+    plans, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *a, **k: plans.append(df._jdf.queryExecution().toString()) or plain(df, *a, **k))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        # With 64 bits nearly every key shares one with a trusted key.
+        for bits in (1 << 26, 64):
+            monkeypatch.setattr(ratio_rules, "_MOST_BITS", bits, raising=False)
+            plans.clear()
+            logs = ratio_rules.fit(docs, labels, buckets=32).logs
+            share = lambda c: np.log((np.array([c[b] for b in range(32)]) + 1) / (sum(c.values()) + 32))
+            assert np.allclose(logs, share(target) - share(want))
+            assert "Join" not in plans[0] and "Exchange" not in plans[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def grams_of(words):
+    hashes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in words], dtype=np.int64)
+    return ratio_rules.grams(hashes, 32).tolist()
+
+
 def test_windows_of_many_words():
     rng = np.random.default_rng(6)
     for n, kinds in ((0, 1), (3, 1), (4, 1), (500, 6), (3_000_000, 2_900_000)):

@@ -12,6 +12,10 @@ that table. A candidate ends when its loss on the validation rows has not improv
 number of ``halve_at`` only the better half of a part's candidates goes on. The scores so far are written every few trees, so
 that no pass has to apply a whole ensemble and none depends on more than one table.
 
+A tree may draw each row with chance ``row_share``. Of a stack of rows alike it draws a binomial number, which a hash of the
+stack, the tree and the seed fixes: the same in every pass and in a recomputed task, and distributed as if each row were drawn
+by itself. ``feature_share`` of the features, rounded up, may split a node.
+
 Null and NaN features fall into the lowest bin; a null flag counts as 0; rows without a part or with a null one train every
 candidate that names none. A candidate without rows has no trees. Equal gains take the earlier feature and the lower cut, whatever the order in which sums arrive.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +35,22 @@ from pyspark.sql import functions as F
 from counterpoise.functions.features import flag_label
 from counterpoise.session import stage
 
-_TASK_ROWS = 100_000
+_TASK_ROWS = 25_000
 # Trees that a pass applies on top of the written scores.
 _REFRESH = 10
 
 
 @dataclass(frozen=True)
 class Loss:
-    """Constant minimiser from rows and treated rows, gradient and curvature, and the loss itself, each by row."""
+    """Constant minimiser from rows and treated rows, gradient and curvature, and the loss itself, each by row.
+
+    ``first`` is the rate of the first tree where it differs from the others'.
+    """
 
     start: Callable[[float, float], float]
     slopes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     value: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    first: float | None = None
 
 
 def _logistic_slopes(f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +58,15 @@ def _logistic_slopes(f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return p - s, p * (1.0 - p)
 
 
+def _deviance_slopes(f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    y = 2.0 * s - 1.0
+    return -4.0 * y / (1.0 + np.exp(2.0 * y * f)), np.ones(len(f))
+
+
+# "deviance" is MLlib's boosting of labels -1 and 1: f is half the logit, leaves are mean residuals, and the first tree is
+# fitted to the labels, which are half the residuals at 0, with weight 1.
 LOSSES = {
+    "deviance": Loss(lambda n, n1: 0.0, _deviance_slopes, lambda f, s: 2.0 * np.logaddexp(0.0, (2.0 - 4.0 * s) * f), first=0.5),
     "inverse": Loss(lambda n, n1: n / max(n1, 1.0), lambda f, s: (2.0 * s * f - 2.0, 2.0 * s), lambda f, s: s * f * f - 2.0 * f),
     "logistic": Loss(lambda n, n1: math.log((n1 + 0.5) / (n - n1 + 0.5)), _logistic_slopes, lambda f, s: np.logaddexp(0.0, f) - s * f),
 }
@@ -64,6 +81,9 @@ class Candidate:
     trees: int = 100
     min_rows: int = 20
     part: int | None = None
+    row_share: float = 1.0
+    feature_share: float = 1.0
+    seed: int = 42
 
 
 @dataclass(frozen=True, eq=False)
@@ -151,7 +171,7 @@ class Ensemble:
         @F.arrow_udf("double")
         def scored(values: pa.Array) -> pa.Array:
             f = self.scores(values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), width))
-            return pa.array(np.maximum(f, 1.0) if self.loss == "inverse" else 1.0 / (1.0 + np.exp(-f)))
+            return pa.array(np.maximum(f, 1.0) if self.loss == "inverse" else 1.0 / (1.0 + np.exp(-2.0 * f if self.loss == "deviance" else -f)))
 
         return df.withColumn(out, scored(self.binning.column()))
 
@@ -163,6 +183,8 @@ class _Growing:
     number: int
     settings: Candidate
     start: float = 0.0
+    first: float | None = None
+    rows: int = 0
     trees: list[Tree] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
     written: int = 0
@@ -191,8 +213,8 @@ class _Growing:
             if first:
                 self.tree.value[node] = self._step(total)
             gain, feature, cut, left = 0.0, -1, 0, None
-            for j, n_cuts in enumerate(cuts):
-                low = own[j].cumsum(axis=0)[:n_cuts]
+            for j in self._features(node, len(cuts)):
+                low = own[j].cumsum(axis=0)[: cuts[j]]
                 high = total - low
                 fits = (low[:, 2] >= self.settings.min_rows) & (high[:, 2] >= self.settings.min_rows) & (low[:, 1] > 1e-9) & (high[:, 1] > 1e-9)
                 if not fits.any():
@@ -210,49 +232,95 @@ class _Growing:
         self.open = [] if deepest else following
 
     def _step(self, total: np.ndarray) -> float:
-        return -self.settings.rate * total[0] / total[1] if total[1] > 1e-9 else 0.0
+        rate = self.settings.rate if self.trees or self.first is None else self.first
+        return -rate * total[0] / total[1] if total[1] > 1e-9 else 0.0
+
+    def _features(self, node: int, n: int) -> list[int]:
+        """The features that may split a node, in order."""
+        some = math.ceil(self.settings.feature_share * n)
+        if some >= n:
+            return list(range(n))
+        return sorted(np.random.default_rng([self.settings.seed, self.number, len(self.trees), node]).choice(n, some, replace=False).tolist())
+
+    @property
+    def purpose(self) -> int:
+        """Names the draws of the tree being grown."""
+        return (self.settings.seed * 1_000_003 + self.number) * 1_000_003 + len(self.trees)
 
 
 def _gain(sums: np.ndarray) -> np.ndarray:
     return sums[:, 0] ** 2 / np.maximum(sums[:, 1], 1e-12)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(maxsize=256)
+def _binomial(n: int, share: float) -> tuple[int, np.ndarray]:
+    """Distribution function of the number drawn of ``n`` rows, from the number returned on; what lies 12 deviations off is left out."""
+    reach = 12.0 * math.sqrt(n * share * (1.0 - share)) + 12.0
+    least, most = max(0, math.floor(n * share - reach)), min(n, math.ceil(n * share + reach))
+    k = np.arange(least + 1, most + 1)
+    logs = np.append(0.0, np.cumsum(np.log((n - k + 1) / k) + math.log(share / (1.0 - share))))
+    total = np.cumsum(np.exp(logs - logs.max()))
+    return least, total / total[-1]
+
+
+def _drawn(stacks: np.ndarray, rows: np.ndarray, share: float, purpose: int) -> np.ndarray:
+    """How many rows of each stack a tree draws: one binomial number for each power of two in the stack's rows."""
+    out = np.zeros(len(rows))
+    for j in range(int(rows.max(initial=0)).bit_length()):
+        has = np.flatnonzero((rows >> j) & 1)
+        salt = _mixed(np.array([(purpose * 64 + j) % (1 << 64)], dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        chance = (_mixed(stacks[has].view(np.uint64) ^ salt) >> np.uint64(11)) * 2.0**-53
+        least, below = _binomial(1 << j, share)
+        out[has] += least + np.searchsorted(below, chance, "right")
+    return out
+
+
 def _inside(candidate: Candidate, part: np.ndarray) -> np.ndarray:
     return np.ones(len(part), dtype=bool) if candidate.part is None else part == candidate.part
 
 
 def _read(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, ...]:
-    """Bins, flag, part, validation flag, number of rows and written scores of a batch of the binned table."""
+    """Bins, flag, part, validation flag, number of rows, hash and written scores of a batch of the binned table."""
     bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
     f = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
-    return bins, *[batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "part", "valid", "rows")], f
+    return bins, *[batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "part", "valid", "rows", "stack")], f
 
 
 def _level(table: DataFrame, live: list[_Growing], n: int, loss: str, cuts: list[int]) -> dict[tuple[int, int], np.ndarray]:
     """One pass: sums of each live candidate's open nodes, and at a tree's root the loss on its validation rows."""
     width, features = max(cuts) + 1, len(cuts)
-    jobs = [(c.number, c.settings, c.trees[c.written :], c.tree, list(c.open)) for c in live]
+    jobs = [(c.number, c.settings, c.trees[c.written :], c.tree, list(c.open), c.purpose) for c in live]
     slopes, value = LOSSES[loss].slopes, LOSSES[loss].value
 
     def summed(batches):
-        sums = {number: np.zeros((3, len(nodes) * features * width)) for number, _, _, _, nodes in jobs}
+        sums = {number: np.zeros((3, len(nodes) * features * width)) for number, _, _, _, nodes, _ in jobs}
         losses = {number: np.zeros(2) for number, *_ in jobs}
         for batch in batches:
-            bins, s, part, valid, alike, written = _read(batch, n)
-            for number, settings, fresh, tree, nodes in jobs:
-                inside = _inside(settings, part)
-                f = written[:, number] + sum((t.scores(bins) for t in fresh), np.zeros(len(bins)))
+            all_bins, *others, written = _read(batch, n)
+            for number, settings, fresh, tree, nodes, purpose in jobs:
+                inside = _inside(settings, others[1])
+                bins, (s, _, valid, alike, stacks) = all_bins[inside], [x[inside] for x in others]
+                f = written[inside, number] + sum((t.scores(bins) for t in fresh), np.zeros(len(bins)))
                 if nodes == [0]:
-                    tested = inside & valid
-                    losses[number] += alike[tested] @ value(f[tested], s[tested]), alike[tested].sum()
+                    losses[number] += alike[valid] @ value(f[valid], s[valid]), alike[valid].sum()
                 slot = np.full(len(tree.feature), -1)
                 slot[nodes] = np.arange(len(nodes))
                 own = slot[tree.node(bins)]
-                rows = inside & ~valid & (own >= 0)
+                rows = ~valid & (own >= 0)
+                own, bins, alike = own[rows], bins[rows], alike[rows]
+                if settings.row_share < 1:
+                    alike = _drawn(stacks[rows], alike, settings.row_share, purpose)
                 g, h = slopes(f[rows], s[rows])
                 for j in range(features):
-                    place = (own[rows] * features + j) * width + bins[rows, j]
-                    for i, w in enumerate((g * alike[rows], h * alike[rows], alike[rows])):
+                    place = (own * features + j) * width + bins[:, j]
+                    for i, w in enumerate((g * alike, h * alike, alike)):
                         sums[number][i] += np.bincount(place, w, sums[number].shape[1])
         for number, total in sums.items():
             some = np.flatnonzero(total[2])
@@ -329,7 +397,8 @@ def search(
     growing = [_Growing(i, c) for i, c in enumerate(candidates)]
     for c in growing:
         own = [v for k, v in counts.items() if c.settings.part in (None, k)]
-        c.start = LOSSES[loss].start(float(sum(n for n, _ in own)), float(sum(n1 for _, n1 in own)))
+        c.rows, c.first = sum(n for n, _ in own), LOSSES[loss].first
+        c.start = LOSSES[loss].start(float(c.rows), float(sum(n1 for _, n1 in own)))
         c.begin()
     n, cuts = len(growing), [len(x) for x in binning.cuts]
 
@@ -340,7 +409,8 @@ def search(
 
     f = F.array(*[F.lit(c.start) for c in growing])
     table = rows.select(binned(binning.column()).alias("bins"), F.col("__s").alias("s"), F.col("__p").alias("part"), F.col("__v").alias("valid"))
-    table = stage(table.groupBy("bins", "s", "part", "valid").agg(F.count(F.lit(1)).alias("rows")), "boosting-alike")
+    alike = ["bins", "s", "part", "valid"]
+    table = stage(table.groupBy(*alike).agg(F.count(F.lit(1)).alias("rows")).withColumn("stack", F.xxhash64(*alike)), "boosting-alike")
     table = stage(table.repartition(max(1, math.ceil(table.count() / _TASK_ROWS))).withColumn("f", f), "boosting-bins")
     while live := [c for c in growing if c.status == "growing"]:
         if any(len(c.trees) - c.written >= _REFRESH for c in live):
@@ -351,7 +421,9 @@ def search(
         for c in live:
             if c.open == [0]:
                 c.losses.append(found[c.number, 1])
-                if len(c.trees) >= c.settings.trees or not found[c.number, 0].any():
+                # A draw may hold no row.
+                empty = not found[c.number, 0].any() and (c.settings.row_share == 1 or not c.rows)
+                if len(c.trees) >= c.settings.trees or empty:
                     c.status = "finished"
                 elif len(c.trees) - c.best >= patience:
                     c.status = "stopped"

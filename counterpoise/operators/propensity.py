@@ -24,8 +24,8 @@ from counterpoise.session import stage
 LABEL = "_label"
 # Probabilities are kept off 0 before they are inverted.
 _P_MIN = 1e-6
-# Rows of one boosting task.
-_BOOSTING_ROWS = 100_000
+# Rows of one boosting task, and the bins of a feature.
+_BOOSTING_ROWS, _BINS = 100_000, 64
 
 
 def specification(features: Sequence[str], indicators: Sequence[str]) -> dict[str, list[str]]:
@@ -57,32 +57,42 @@ def fit_boosted(
     df: DataFrame, features: Sequence[str], flag: str = "s", *, trees: int = 100, rate: float = 0.1, depth: int = 5,
     min_rows: int = 20, row_share: float = 0.8, feature_share: float = 0.8, seed: int = 42,
     validation: str | None = None,
-) -> PipelineModel:
+) -> PipelineModel | boosting.Ensemble:
     """Gradient-boosted propensity with logistic loss.
 
-    Depth 5 gives trees of up to 32 leaves. ``validation`` names a boolean
-    column; its rows stop the boosting early instead of training it.
+    Depth 5 gives trees of up to 32 leaves. The model is MLlib's, grown by ``boosting``, whose passes read rows alike in bins
+    once. ``validation`` names a boolean column; its rows stop the boosting early instead of training it, by MLlib itself.
+    Rows with a null or NaN feature are left out.
     """
+    if not validation:
+        settings = boosting.Candidate(depth, rate, trees, min_rows, None, row_share, feature_share, seed)
+        return _grown(complete_rows(df.select(*dict.fromkeys([*features, flag])), features), features, [settings], flag).models[0]
     gbt = GBTClassifier(
-        featuresCol="_features", labelCol=LABEL, maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=64,
+        featuresCol="_features", labelCol=LABEL, maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=_BINS,
         minInstancesPerNode=min_rows, subsamplingRate=row_share, featureSubsetStrategy=str(feature_share), seed=seed,
-        predictionCol="_prediction",
+        predictionCol="_prediction", validationIndicatorCol=validation,
     )
     gbt = gbt.setProbabilityCol("_probability").setRawPredictionCol("_raw_prediction")
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
     stages = [VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"), gbt]
     # Boosting runs a job per level of every tree: its tasks should hold enough rows to be worth starting.
-    wanted = list(dict.fromkeys([*features, flag, *([validation] if validation else [])]))
-    rows = df.select(*wanted)
+    rows = df.select(*dict.fromkeys([*features, flag, validation]))
     rows = rows.repartition(max(1, math.ceil(rows.count() / _BOOSTING_ROWS)))
     return Pipeline(stages=stages).fit(rows.withColumn(LABEL, flag_label(flag)))
 
 
-def score(model: PipelineModel | LogisticFit, df: DataFrame, out: str = "p") -> DataFrame:
-    """Original columns plus the probability of class 1, taken from the vector without a UDF."""
+def _grown(rows: DataFrame, features: Sequence[str], settings: list[boosting.Candidate], flag: str, part: str | None = None) -> boosting.Search:
+    found = boosting.search(rows, features, settings, flag, loss="deviance", part=part, max_bins=_BINS)
+    if not all(found.grown):
+        raise ValueError("no complete row to fit")
+    return found
+
+
+def score(model: PipelineModel | LogisticFit | boosting.Ensemble, df: DataFrame, out: str = "p") -> DataFrame:
+    """Original columns plus the probability of class 1; of MLlib's models taken from the vector without a UDF."""
     if isinstance(model, LogisticFit):
         return model.score(df, out)
+    if isinstance(model, boosting.Ensemble):
+        return model.score(complete_rows(df, model.binning.features), out)
     return model.transform(df).select(*df.columns, vector_to_array("_probability")[1].alias(out))
 
 
@@ -128,6 +138,20 @@ def crossfit_scores(df: DataFrame, fit, fold: str = "fold", out: str = "p", trea
     return halves[0].unionByName(halves[1])
 
 
+def crossfit_boosted(
+    df: DataFrame, features: Sequence[str], flag: str = "s", *, fold: str = "fold", out: str = "p", treated: str | None = None, trees: int = 100,
+    rate: float = 0.1, depth: int = 5, min_rows: int = 20, row_share: float = 0.8, feature_share: float = 0.8, seed: int = 42,
+) -> DataFrame:
+    """``crossfit_scores`` with the models of ``fit_boosted``; those of both folds grow in the same passes."""
+    settings = [boosting.Candidate(depth, rate, trees, min_rows, f, row_share, feature_share, seed) for f in (0, 1)]
+    found = _grown(complete_rows(df, features), features, settings, flag, fold)
+    halves = []
+    for f in (0, 1):
+        other = df.filter(F.col(fold) == 1 - f)
+        halves.append(score(found.best(f), other if treated is None else other.filter(F.col(treated) == 1), out))
+    return halves[0].unionByName(halves[1])
+
+
 def inverse(p: str, least: float = _P_MIN):
     """Reciprocal of a probability kept at ``least`` or above; null stays null."""
     return 1.0 / clipped(p, low=least)

@@ -426,7 +426,7 @@ def score_equations(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def propensity_gbt(spark: SparkSession, sf: str) -> DataFrame:
     df = _model_units(spark, sf)
-    scored = propensity.crossfit_scores(df, lambda half: propensity.fit_boosted(half, _spec(df)["right"]), treated="s")
+    scored = propensity.crossfit_boosted(df, _spec(df)["right"], treated="s")
     return scored.select("unit_id", rounded("p").alias("p"))
 
 
@@ -434,7 +434,7 @@ def _crossfitted(spark: SparkSession, sf: str, trees: int = 100) -> DataFrame:
     df = _model_units(spark, sf)
     out = df
     for name, features in _spec(df).items():
-        scored = propensity.crossfit_scores(df, lambda half: propensity.fit_boosted(half, features, trees=trees), out="p", treated="s")
+        scored = propensity.crossfit_boosted(df, features, treated="s", trees=trees)
         p = scored.select("unit_id", propensity.inverse("p").alias(f"f_{name}"))
         out = out.join(p, "unit_id", "left")
     out = ipw.stabilized_many(out, {"ipw_right": "f_right", "ipw_wrong": "f_wrong"})

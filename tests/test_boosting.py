@@ -6,7 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from counterpoise.operators import boosting
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+
+from counterpoise.operators import boosting, propensity
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +122,40 @@ def test_passes_read_rows_alike_once(rows, monkeypatch):
     assert found[0].losses == pytest.approx(found[1].losses) and found[0].models[0].start == pytest.approx(found[1].models[0].start)
     for a, b in zip(found[0].models[0].trees, found[1].models[0].trees):
         assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)
+
+
+def test_boosted_propensity_is_the_librarys_without_draws(rows):
+    data = rows.withColumns({"x": F.col("x").cast("double"), "w": F.floor(F.col("z") * 3).cast("double")})
+    settings = {"trees": 12, "depth": 3, "min_rows": 25}
+    got = propensity.score(propensity.fit_boosted(data, ["x", "w"], row_share=1.0, feature_share=1.0, **settings), data)
+    vectors = VectorAssembler(inputCols=["x", "w"], outputCol="v").transform(data.withColumn("s", F.col("s").cast("double")))
+    library = GBTClassifier(featuresCol="v", labelCol="s", maxIter=12, stepSize=0.1, maxDepth=3, maxBins=64, minInstancesPerNode=25, subsamplingRate=1.0)
+    want = library.fit(vectors).transform(vectors).select("unit_id", vector_to_array("probability")[1].alias("want"))
+    assert got.join(want, "unit_id").where(F.abs(F.col("p") - F.col("want")) < 1e-9).count() == rows.count()
+
+
+def test_boosted_propensity_reads_rows_alike_once(rows, monkeypatch):
+    read, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda table, *a: read.append(table.count()) or level(table, *a))
+    for n in (1, 4):
+        data = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", F.floor("z"))
+        scored = propensity.crossfit_boosted(data, ["x", "w"], trees=2, depth=2, min_rows=5 * n, treated="s")
+        assert scored.count() == n * rows.where("s = 1").count() and scored.where("p <= 0 OR p >= 1").count() == 0
+    assert len(read) == 10 and len(set(read)) == 1 and read[0] < rows.count() / 2
+    with pytest.raises(ValueError):
+        propensity.crossfit_boosted(rows.where("fold = 0"), ["x"], trees=2)
+    holes = rows.withColumn("x", F.when(F.col("unit_id") % 10 > 0, F.col("x")))
+    assert propensity.score(propensity.fit_boosted(holes, ["x"], trees=2), holes).count() == rows.count() * 9 // 10
+
+
+def test_draws_are_binomial_and_depend_on_stack_and_tree_alone():
+    stacks = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 40_000)
+    for n in (1, 2, 13, 1000, 5_000_000):
+        drawn = boosting._drawn(stacks, np.full(len(stacks), n), 0.8, 7)
+        assert drawn.min() >= 0 and drawn.max() <= n
+        assert drawn.mean() == pytest.approx(0.8 * n, abs=4 * math.sqrt(0.16 * n / len(stacks)))
+        assert drawn.var() == pytest.approx(0.16 * n, rel=0.05)
+        assert (boosting._drawn(stacks[::-1], np.full(len(stacks), n), 0.8, 7) == drawn[::-1]).all()
+        other = boosting._drawn(stacks, np.full(len(stacks), n), 0.8, 8)
+        assert abs(np.corrcoef(drawn, other)[0, 1]) < 0.02
+    assert len(boosting._drawn(stacks[:0], stacks[:0], 0.8, 7)) == 0

@@ -269,6 +269,26 @@ def test_fuzzy_line_recall_at_the_threshold(frame):
         assert found >= least, (n_words, name, share, found)
 
 
+def test_lines_that_share_a_passage_only_are_no_pairs(frame):
+    """A passage in many lines, at places too far apart for the similarity, gives no pairs; nor does it part lines that are alike."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = [word() for _ in range(30)]
+    base = [[word() for _ in range(70)] for _ in range(40)]
+    lines = [" ".join(words[: 2 * i] + passage + words[2 * i :]) for i, words in enumerate(base[:36])]
+    copies = [line.replace(line.split()[50], "changed") for line in lines]
+    docs = frame(lines + copies)
+    first = {r.k: r.first.k for r in fuzzy_lines.line_groups(docs).collect()}
+    assert first == {i: i % 36 for i in range(72)}
+    members = fuzzy_lines._anchors(docs, "doc_id", "text", 0.9).alias("x")
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))
+    met = members.join(members.alias("y"), near).select("x.id", "y.id", fuzzy_lines._aligned("x.", "y.", 0.9).alias("kept")).distinct()
+    assert met.count() > 1000 and met.where("kept").count() < 700
+    # Each line is cut into shingles once, and normalised once.
+    plan = fuzzy_lines._anchors(docs, "doc_id", "text", 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("array_distinct(transform") == 1
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 8)) * 2

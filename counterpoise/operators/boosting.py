@@ -8,9 +8,10 @@ settings alone. The value of a leaf is the Newton step ``-G / H``, for the inver
 Rows are binned once; rows alike in bins, flag, part and validation become one with their number, and are written. Every sum is
 taken with that number, so the trees are those of the single rows, while a pass reads at most as many rows as the bins have
 combinations, however long the table. All candidates of a search, and both folds of a cross-fit, grow in the same passes over
-that table. A candidate ends when its loss on the validation rows has not improved for ``patience`` trees; at each tree
-number of ``halve_at`` only the better half of a part's candidates goes on. The scores so far are written every few trees, so
-that no pass has to apply a whole ensemble and none depends on more than one table.
+that table. Up to ``_HELD_BYTES`` it is held as arrays on the driver, where a pass needs no job; a larger one is read by a job
+per level. A candidate ends when its loss on the validation rows has not improved for ``patience`` trees; at each tree
+number of ``halve_at`` only the better half of a part's candidates goes on. The scores so far are kept, or written every few
+trees, so that no pass has to apply a whole ensemble and none depends on more than one table.
 
 A tree may draw each row with chance ``row_share``. Of a stack of rows alike it draws a binomial number, which a hash of the
 stack, the tree and the seed fixes: the same in every pass and in a recomputed task, and distributed as if each row were drawn
@@ -36,6 +37,8 @@ from counterpoise.functions.features import flag_label
 from counterpoise.session import stage
 
 _TASK_ROWS = 25_000
+# Most bytes of rows alike, with the state of all candidates, that are held on the driver.
+_HELD_BYTES = 128 << 20
 # Trees that a pass applies on top of the written scores.
 _REFRESH = 10
 
@@ -293,8 +296,67 @@ def _read(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, ...]:
     return bins, *[batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "part", "valid", "rows", "stack")], f
 
 
-def _level(table: DataFrame, live: list[_Growing], n: int, loss: str, cuts: list[int]) -> dict[tuple[int, int], np.ndarray]:
+class _Held:
+    """A binned table as arrays, with each candidate's scores so far and the places of its rows in the tree being grown."""
+
+    def __init__(self, table: pa.Table, growing: list[_Growing], features: int):
+        # In one order whatever task a row comes from, so that the sums are the same in every run.
+        table = table.take(np.argsort(table["stack"].to_numpy(), kind="stable")).combine_chunks()
+        self._rows, self._parts, self._fitted = table.num_rows, {}, {}
+        bins = table["bins"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(self._rows, features)
+        columns = [table[c].to_numpy() for c in ("s", "part", "valid", "rows", "stack")]
+        for c in growing:
+            if c.settings.part not in self._parts:
+                inside = _inside(c.settings, columns[1])
+                self._parts[c.settings.part] = bins[inside], *[x[inside] for x in columns]
+        self._f = {c.number: np.full(len(self._parts[c.settings.part][0]), c.start) for c in growing}
+
+    @staticmethod
+    def fits(rows: int, features: int, candidates: int) -> bool:
+        return rows * (4 * features + 64 + (4 * features + 64) * candidates) <= _HELD_BYTES
+
+    def count(self) -> int:
+        return self._rows
+
+    def level(self, c: _Growing, loss: str, cuts: list[int]) -> tuple[np.ndarray, float]:
+        """What ``_level`` finds for one candidate."""
+        width, features, tested = max(cuts) + 1, len(cuts), float("nan")
+        if c.open == [0]:
+            bins, s, _, valid, alike, stacks = self._parts[c.settings.part]
+            f = self._f[c.number]
+            for tree in c.trees[c.written :]:
+                f += tree.scores(bins)
+            c.written = len(c.trees)
+            if valid.any():
+                tested = float(alike[valid] @ LOSSES[loss].value(f[valid], s[valid]) / alike[valid].sum())
+            if c.settings.row_share < 1:
+                alike = _drawn(stacks, np.where(valid, 0, alike), c.settings.row_share, c.purpose)
+            rows = np.flatnonzero(~valid & (alike > 0))
+            g, h = LOSSES[loss].slopes(f[rows], s[rows])
+            bins, at, weights = bins[rows], np.zeros(len(rows), np.int64), [x * alike[rows] for x in (g, h, 1.0)]
+        else:
+            bins, at, weights = self._fitted[c.number]
+            feature = c.tree.feature[at]
+            rows = np.flatnonzero(feature >= 0)
+            at, feature = at[rows], feature[rows]
+            bins, weights = bins[rows], [x[rows] for x in weights]
+            at = 2 * at + 1 + (bins[np.arange(len(rows)), feature] > c.tree.cut[at])
+        self._fitted[c.number] = bins, at, weights
+        slot = np.full(len(c.tree.feature), -1)
+        slot[c.open] = np.arange(len(c.open))
+        own = slot[at] * width
+        sums = np.zeros((len(c.open), features, width, 3))
+        for j in range(features):
+            place = own + bins[:, j]
+            for i, x in enumerate(weights):
+                sums[:, j, :, i] = np.bincount(place, x, len(c.open) * width).reshape(-1, width)
+        return sums, tested
+
+
+def _level(table: DataFrame | _Held, live: list[_Growing], n: int, loss: str, cuts: list[int]) -> dict[tuple[int, int], np.ndarray]:
     """One pass: sums of each live candidate's open nodes, and at a tree's root the loss on its validation rows."""
+    if isinstance(table, _Held):
+        return {(c.number, i): x for c in live for i, x in enumerate(table.level(c, loss, cuts))}
     width, features = max(cuts) + 1, len(cuts)
     jobs = [(c.number, c.settings, c.trees[c.written :], c.tree, list(c.open), c.purpose) for c in live]
     slopes, value = LOSSES[loss].slopes, LOSSES[loss].value
@@ -411,9 +473,13 @@ def search(
     table = rows.select(binned(binning.column()).alias("bins"), F.col("__s").alias("s"), F.col("__p").alias("part"), F.col("__v").alias("valid"))
     alike = ["bins", "s", "part", "valid"]
     table = stage(table.groupBy(*alike).agg(F.count(F.lit(1)).alias("rows")).withColumn("stack", F.xxhash64(*alike)), "boosting-alike")
-    table = stage(table.repartition(max(1, math.ceil(table.count() / _TASK_ROWS))).withColumn("f", f), "boosting-bins")
+    size = table.count()
+    if _Held.fits(size, len(cuts), n):
+        table = _Held(table.toArrow(), growing, len(cuts))
+    else:
+        table = stage(table.repartition(max(1, math.ceil(size / _TASK_ROWS))).withColumn("f", f), "boosting-bins")
     while live := [c for c in growing if c.status == "growing"]:
-        if any(len(c.trees) - c.written >= _REFRESH for c in live):
+        if not isinstance(table, _Held) and any(len(c.trees) - c.written >= _REFRESH for c in live):
             table = _applied(table, {c.number: c.trees[c.written :] for c in live}, n)
             for c in live:
                 c.written = len(c.trees)

@@ -159,3 +159,28 @@ def test_draws_are_binomial_and_depend_on_stack_and_tree_alone():
         other = boosting._drawn(stacks, np.full(len(stacks), n), 0.8, 8)
         assert abs(np.corrcoef(drawn, other)[0, 1]) < 0.02
     assert len(boosting._drawn(stacks[:0], stacks[:0], 0.8, 7)) == 0
+
+
+def test_a_small_binned_table_is_held_and_gives_the_trees_of_the_passes(spark, rows, monkeypatch):
+    grid = [boosting.Candidate(depth=3, rate=0.2, trees=8, part=p, row_share=share, feature_share=0.5) for p in (0, 1, None) for share in (1.0, 0.8)]
+    settings = {"loss": "deviance", "validation": "held", "part": "fold", "patience": 3, "max_bins": 16}
+    held = boosting.search(rows, ["x", "z"], grid, **settings)
+    monkeypatch.setattr(boosting, "_HELD_BYTES", 0)
+    monkeypatch.setattr(boosting, "_TASK_ROWS", 50)
+    passes = boosting.search(rows, ["x", "z"], grid, **settings)
+    assert held.statuses == passes.statuses and held.grown == passes.grown and held.losses == pytest.approx(passes.losses)
+    for a, b in zip(held.models, passes.models):
+        assert len(a.trees) == len(b.trees)
+        for x, y in zip(a.trees, b.trees):
+            assert (x.feature == y.feature).all() and (x.cut == y.cut).all() and x.value == pytest.approx(y.value)
+
+
+def test_jobs_do_not_grow_with_the_trees(spark, rows):
+    """Starting two jobs for each level of each tree took longer than the work."""
+    counts = []
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"boosting-{trees}", "")
+        boosting.search(rows, ["x", "z"], [boosting.Candidate(depth=2, trees=trees)])
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting-{trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] > 0
